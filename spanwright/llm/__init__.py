@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard_join", "fingerprints")
+_MODULES = ("jaccard_join", "fingerprints", "packing")
 
 
 def _modules():
