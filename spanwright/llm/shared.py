@@ -126,9 +126,11 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the words before each text."""
-    inside = ~_SEPARATOR[data]
+def word_bounds(data: np.ndarray, off: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or runs of ``inside``), and the words
+    before each text."""
+    if inside is None:
+        inside = ~_SEPARATOR[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     if len(data):
         before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -147,6 +149,37 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+class Remembered:
+    """Rows of numbers by 64-bit key, kept in a Python worker from one round of words to the next;
+    when full, keys that were met once or long ago go."""
+
+    def __init__(self, width: int, most: int = 1 << 19):
+        self.width, self.most = width, most
+        self.keys, self.rows, self.hits = np.zeros(0, np.uint64), np.zeros((0, width), np.float32), np.zeros(0, np.int32)
+
+    def get(self, keys: np.ndarray, make) -> np.ndarray:
+        """Rows of distinct sorted ``keys``; ``make(indices)`` gives those of unknown ones."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.empty((len(keys), self.width), np.float32)
+        out[known] = self.rows[place[known]]
+        self.hits[place[known]] += 1
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            out[fresh] = make(fresh)
+            if len(self.keys) + len(fresh) > self.most:
+                stay = self.hits > 1
+                if stay.sum() > self.most // 2:
+                    stay[:] = False
+                self.keys, self.rows, self.hits = self.keys[stay], self.rows[stay], self.hits[stay] // 2
+            every = np.concatenate([self.keys, keys[fresh]])
+            order = np.argsort(every)
+            self.keys = every[order]
+            self.rows = np.concatenate([self.rows, out[fresh]])[order]
+            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int32)])[order]
+        return out
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
