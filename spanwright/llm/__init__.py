@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard_join", "media_columns", "fingerprints", "packing")
+_MODULES = ("jaccard_join", "language_id", "media_columns", "fingerprints", "packing", "toxicity")
 
 
 def _modules():

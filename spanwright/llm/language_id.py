@@ -7,8 +7,8 @@ sampling rate).  The n-gram shares and back-off weights of all languages lie in
 is its words' negative log-probability per character; the least one decides.
 
 Calibrated rejection: of the sample, a text's excess is its least cross-entropy over the mean of its
-language.  ``accepted`` is false beyond ``REJECT`` times the largest excess seen in the sample, or if
-there is no letter; such text is unlike every language learnt.
+language.  ``accepted`` is false beyond ``REJECT`` times the largest excess seen in the sample and a
+bit more, or if there is no letter; such text is unlike every language learnt.
 
 Null, empty or letterless text: ``und``, score 0, not accepted.  Ties: the first language by name.
 Very long texts are scored whole.  Without any learnable row every text is ``und``.  An empty table
@@ -28,7 +28,7 @@ from . import shared as S
 from .char_models import ORDER, CharModel, Words, count_grams
 
 SAMPLE_DOCS = 300
-REJECT = 2.0
+REJECT = 3.0
 SHARPNESS = 8.0  # of the score: odds against a language, in powers of two, for each bit a character more
 
 
@@ -104,7 +104,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", ord
     spread = sample.select("text").mapInArrow(excess, "best int, bits double").groupBy("best").agg(F.avg("bits").alias("mean"), F.max("bits").alias("most")).collect()
     limit = np.full(len(labels), np.inf)
     for r in spread:
-        limit[r.best] = r["mean"] + REJECT * (r["most"] - r["mean"]) + 0.5
+        limit[r.best] = r["mean"] + REJECT * (r["most"] - r["mean"]) + 1.0
     wide.limit = limit
     return wide
 
