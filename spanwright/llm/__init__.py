@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard_join", "language_id", "media_columns", "fingerprints", "packing", "toxicity")
+_MODULES = ("jaccard_join", "language_id", "media_columns", "fingerprints", "packing", "source_mix", "toxicity")
 
 
 def _modules():
