@@ -8,7 +8,18 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("jaccard_join", "language_id", "media_columns", "fingerprints", "packing", "source_mix", "toxicity")
+_MODULES = (
+    "jaccard_join",
+    "language_id",
+    "media_columns",
+    "fingerprints",
+    "packing",
+    "lm_scoring",
+    "source_mix",
+    "quality",
+    "repeat_index",
+    "toxicity",
+)
 
 
 def _modules():

@@ -149,6 +149,18 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def sliding_min(keyed: np.ndarray, wide: int) -> np.ndarray:
+    """The minimum of each window of ``wide`` values, from running minima of runs of that length."""
+    n = len(keyed)
+    full = np.full(-(-n // wide) * wide, np.iinfo(keyed.dtype).max, keyed.dtype)
+    full[:n] = keyed
+    runs = full.reshape(-1, wide)
+    push = np.minimum.accumulate(runs, axis=1).reshape(-1)
+    pop = np.minimum.accumulate(runs[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    m = max(0, n - wide + 1)
+    return np.minimum(pop[:m], push[wide - 1 : wide - 1 + m])
+
+
 class Remembered:
     """Rows of numbers by 64-bit key, kept in a Python worker from one round of words to the next;
     when full, keys that were met once or long ago go."""
