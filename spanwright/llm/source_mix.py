@@ -125,7 +125,7 @@ def _slots(counts: np.ndarray, blocks: np.ndarray, per_task: int):
 
 
 def layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, list[dict]]:
-    """Rows (row, doc_id, source_no, size, start) and the sources: name, size, target, blocks, slots."""
+    """Rows (row, doc_id, hash of the text, source_no, size, start) and the sources: name, size, target, blocks, slots."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -148,11 +148,11 @@ def layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     outer = W.partitionBy("source_no").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(outer), F.lit(0))).drop("n")
     rows = rows.join(sums, ["source_no", "salt"]).withColumn("start", F.col("base") + F.col("within"))
-    return S.materialize(rows.select("row", "doc_id", "source_no", "size", "source_size", "target", "start"), "layout"), sources
+    return S.materialize(rows.select("row", "doc_id", "h", "source_no", "size", "source_size", "target", "start"), "layout"), sources
 
 
 def mixture(rows: DataFrame, sources: list[dict]) -> DataFrame:
-    """The mix: one row for each part of a text in a slot: shard, slot, source_no, pass, row, doc_id,
+    """The mix: one row for each part of a text in a slot: shard, slot, source_no, pass, row, doc_id, h,
     ``first`` word in the text and ``words``."""
     spark = rows.sparkSession
     counts = np.array([s["slots"] for s in sources], np.int64)
@@ -165,7 +165,7 @@ def mixture(rows: DataFrame, sources: list[dict]) -> DataFrame:
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))))
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.expr(f"block * {BLOCK} - start")))
     pieces = pieces.withColumn("words", F.least("size", F.expr(f"(block + 1) * {BLOCK} - start")) - F.col("first"))
-    return slots.join(pieces.select("row", "doc_id", "source_no", "block", "first", "words"), ["source_no", "block"])
+    return slots.join(pieces.select("row", "doc_id", "h", "source_no", "block", "first", "words"), ["source_no", "block"])
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
