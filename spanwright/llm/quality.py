@@ -178,10 +178,10 @@ class Scorer:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array(most)], ["doc_id", "score", "top_passage"])
 
 
-def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text", key: str = "doc_id") -> Scorer:
-    """Learns from rows (key, text, label) whose label is 0 or 1."""
-    rows = labelled.select(F.col(key).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where("label in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", key: str = "doc_id") -> Scorer:
+    """Learns from texts (key, text) and their labels (key, label) of 0 or 1.  Labels are sampled
+    first, so the side that meets the texts has a bounded size and is broadcast."""
+    rows = labels.select(F.col(key).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
@@ -189,6 +189,7 @@ def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
         return Scorer(None, share)
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE_ROWS / counts[1])).otherwise(min(1.0, SAMPLE_ROWS / counts[0]))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30))
+    sample = docs.select(F.col(key).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     bags = sample.mapInArrow(_bags(SAMPLE_PASSAGES), "id long, label int, x array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()
     y = bags.column("label").to_numpy().astype(np.float32)
     if not 0 < y.sum() < len(y):
@@ -211,7 +212,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(S.crc_mod("doc_id", 4) != 2)
-    scorer = fit(docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    scorer = fit(docs, labels)
     return score(docs, scorer).select(
         "doc_id", (S.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "top_passage"
     )
