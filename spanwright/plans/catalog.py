@@ -1,11 +1,615 @@
-"""Every registered query of the library's own operators, with its SQL counterpart."""
+"""Every registered query of the library's own operators; ``oracles`` holds the same rows in SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..operators import diagnostics as D
+from ..operators import extract as X
+from ..operators import imports as B
+from ..operators import lines as M
+from ..operators import navigate as NV
+from ..operators import resolve as R
+from ..operators import scopes as SC
+from ..operators import spans as P
+from ..operators import text as T
+from ..operators import versions as V
+from ..sources import tables as A
+from ..streaming import edits as ST
+from .graph import table
+from .oracles import ORACLES
+
+_QUERIES: dict = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _sources(spark, d):
+    path = F.concat(F.lit("/src/"), "source", F.lit("/D"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".java").otherwise(".txt"))
+    docs = _read(spark, d, "documents")
+    return A.source_rows(docs.where("text is not null"), path, F.col("text"))
+
+
+@query
+def a1_scan_sources(spark, d):
+    return _sources(spark, d).select("source.kind", "source.path", F.octet_length("contents").cast("long").alias("n_bytes"))
+
+
+@query
+def a2_uri_to_path(spark, d):
+    docs = _read(spark, d, "documents")
+    scheme = F.when(F.col("lang") == "en", "file").when(F.col("lang") == "de", "FILE").otherwise("untitled")
+    uri = F.concat(scheme, F.lit(":///w%20a+b/"), "source", F.lit("/D"), F.col("doc_id").cast("string"), F.lit(".java"))
+    return docs.select("doc_id", N.uri_to_path(uri).alias("path"))
+
+
+@query
+def a3_path_to_uri(spark, d):
+    docs = _read(spark, d, "documents")
+    path = F.concat(F.lit("/w"), F.when(F.col("lang") == "fr", " x").otherwise("/x"), F.lit("/D"), F.col("doc_id").cast("string"))
+    kind = F.when(F.col("lang") == "es", "JAR_ENTRY").otherwise("SOURCE_FILE")
+    return docs.select("doc_id", N.path_to_uri(kind, path).alias("uri"))
+
+
+@query
+def a4_accepts(spark, d):
+    return _sources(spark, d).where(N.is_java_source("source.kind", "source.path")).select("source.path")
+
+
+@query
+def a5_in_search_scope(spark, d):
+    files = table(spark, d, "g_files")
+    return V.in_search_scope(table(spark, d, "g_imports"), files.where("package is not null")).select("source", "ord", "name")
+
+
+@query
+def a6_replace_contribution(spark, d):
+    decls = R.project_classes(table(spark, d, "g_decls"), table(spark, d, "g_files"))
+    new = decls.where("fqn not like 'p.%'").select("source", F.concat(F.lit("new."), "fqn").alias("fqn"), "kind")
+    return V.replace_contribution(decls, new)
+
+
+@query
+def a7_trace_rows(spark, d):
+    events = _read(spark, d, "events").select(F.lit("in").alias("dir"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", "props")
+    path = f"{A.shared_dir(spark)}/trace-{__import__('uuid').uuid4().hex}"
+    A.write_trace(events.withColumn("msg", F.to_json(F.struct("event_id", "props"))), path)
+    rows = A.scan_trace(spark, path)
+    return rows.select("dir", "at", F.get_json_object("msg", "$.event_id").cast("long").alias("event_id"), F.get_json_object("msg", "$.props").alias("props"))
+
+
+def _log(spark, d):
+    return table(spark, d, "g_versions")
+
+
+def _clean(spark, d):
+    return V.compact_same_revision(V.drop_noop_deletes(_log(spark, d)))
+
+
+@query
+def v1_compact_same_revision(spark, d):
+    return V.compact_same_revision(_log(spark, d))
+
+
+@query
+def v2_drop_noop_deletes(spark, d):
+    return V.drop_noop_deletes(_log(spark, d)).select("key", "revision", "seq", "deleted", "value")
+
+
+@query
+def v3_latest(spark, d):
+    keys = _read(spark, d, "events").where("event_type = 'purchase'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key")).distinct()
+    return V.latest(_log(spark, d), keys)
+
+
+@query
+def v4_heads(spark, d):
+    return V.heads(_log(spark, d))
+
+
+@query
+def v5_as_of_join(spark, d):
+    keys = _log(spark, d).select("key").distinct()
+    probes = keys.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(800).cast("long"), F.lit(40).cast("long"))))
+    return V.as_of_join(probes, _clean(spark, d))
+
+
+@query
+def v6_snapshot_at(spark, d):
+    return V.snapshot_at(_log(spark, d), 300)
+
+
+@query
+def v7_assign_revisions(spark, d):
+    return V.assign_revisions(_read(spark, d, "events").select(F.col("event_id").alias("seq"))).select("seq", "revision")
+
+
+@query
+def v8_vacuum(spark, d):
+    return V.vacuum(_clean(spark, d), 300)
+
+
+@query
+def v9_stale_index_rows(spark, d):
+    index = _log(spark, d).where("not deleted").select("key", "seq")
+    return V.stale_index_rows(index, _log(spark, d))
+
+
+@query
+def v10_changed_sources(spark, d):
+    docs = _read(spark, d, "documents")
+    old = docs.select(F.col("doc_id").alias("source"), F.col("text").alias("contents"))
+    new = docs.select(F.col("doc_id").alias("source"), F.replace(F.col("text"), F.lit(" the "), F.lit(" a ")).alias("contents"))
+    return V.changed_sources(old, new)
+
+
+def _texts(spark, d):
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("source"), F.col("text").alias("contents"))
+
+
+def _points(spark, d):
+    c = F.explode(F.sequence(F.lit(0), F.length("contents"), F.lit(200)))
+    rows = _texts(spark, d).withColumn("c", c)
+    return rows.select("source", F.octet_length(F.expr("left(contents, c)")).cast("long").alias("at"), F.col("c").cast("long").alias("c"))
+
+
+@query
+def t1_line_table(spark, d):
+    return T.line_table(_texts(spark, d)).select("source", "line", "start_at", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query
+def t2_offset_to_line_column(spark, d):
+    return T.offset_to_line_column(_points(spark, d), T.line_table(_texts(spark, d)))
+
+
+@query
+def t3_span_to_line_columns(spark, d):
+    spans = _points(spark, d).groupBy("source").agg(F.min("at").alias("start_at"), F.max("at").alias("end_at"))
+    return T.span_to_line_columns(spans, T.line_table(_texts(spark, d)))
+
+
+@query
+def t4_line_column_to_offset(spark, d):
+    lines = T.line_table(_texts(spark, d))
+    asked = lines.select("source", "line", F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 7, 40)])).alias("character"))
+    return T.line_column_to_offset(asked, lines)
+
+
+@query
+def t5_span_text(spark, d):
+    spans = _points(spark, d).groupBy("source").agg(F.min("at").alias("start_at"), F.max("at").alias("end_at"))
+    return T.span_text(spans, _texts(spark, d)).select("source", "start_at", "end_at", F.md5("text").alias("md5"))
+
+
+def _names(spark, d):
+    return table(spark, d, "g_imports").select("source", "ord", F.concat("name", F.lit("$Inner")).alias("name"))
+
+
+@query
+def n1_package_and_simple_name(spark, d):
+    return _names(spark, d).select("source", "ord", N.package_of("name").alias("package"), N.simple_name("name").alias("simple"))
+
+
+@query
+def n2_segments(spark, d):
+    parts = N.segments("name")
+    return _names(spark, d).select("source", "ord", F.size(parts).cast("long").alias("n"), N.dotted(F.reverse(parts)).alias("backwards"))
+
+
+@query
+def n3_strip_package(spark, d):
+    rows = table(spark, d, "g_imports").join(table(spark, d, "g_files"), "source")
+    return rows.select("source", "ord", N.dotted(N.strip_package(N.segments("name"), N.segments("package"))).alias("rest"))
+
+
+@query
+def n4_same_package(spark, d):
+    files = table(spark, d, "g_files").groupBy("package").agg(F.count("source").alias("n"))
+    other = files.select(F.col("package").alias("other"), F.col("n").alias("m"))
+    return files.join(other, N.same_package("package", "other")).select("package", "n", "m")
+
+
+@query
+def n5_project_classes(spark, d):
+    return R.project_classes(table(spark, d, "g_decls"), table(spark, d, "g_files"))
+
+
+@query
+def n6_lookup_class(spark, d):
+    asked = table(spark, d, "g_imports").select(F.col("name").alias("fqn"))
+    return R.lookup_class(asked, R.project_classes(table(spark, d, "g_decls"), table(spark, d, "g_files")))
+
+
+@query
+def n7_classes_in_package(spark, d):
+    classes = R.project_classes(table(spark, d, "g_decls"), table(spark, d, "g_files"))
+    asked = table(spark, d, "g_imports").where("kind = 'STATIC'").select(N.package_of("name").alias("package"))
+    return R.classes_in_package(asked, classes).select("source", "fqn", "package")
+
+
+def _canonical(spark, d):
+    return R.canonical_types(table(spark, d, "g_decls"), table(spark, d, "g_scopes"), table(spark, d, "g_files"))
+
+
+@query
+def n8_canonical_types(spark, d):
+    return _canonical(spark, d)
+
+
+def _pages(spark, d):
+    return _read(spark, d, "pages").select(F.col("page_id").alias("source"), F.col("html").alias("contents"))
+
+
+@query
+def x4_nest_tokens(spark, d):
+    return P.nest_tokens(P.tokens(_pages(spark, d), "</?(?:nav|ul|article)[^>]*>", "^</")).select("source", "start_at", "end_at", "depth", "parent_at")
+
+
+def java_texts(spark, d):
+    """A source text for each file of the graph: package, imports and types with a superclass."""
+    imports = table(spark, d, "g_imports").withColumn(
+        "line", F.concat(F.when(F.col("kind") == "STATIC", "import static ").otherwise("import "), "name", F.when(F.col("kind") == "TYPE_ON_DEMAND", ".*;").otherwise(";"))
+    )
+    types = table(spark, d, "g_decls").where("kind = 'TYPE'").withColumn("line", F.concat(F.lit("/* class X { */ class "), "name", F.coalesce(F.concat(F.lit(" extends "), "type_name"), F.lit("")), F.lit(" {\n  String s = \"{\";\n}\n")))
+
+    def joined(rows, key):
+        return rows.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "line"))), lambda x: x["line"]), "\n").alias("part"))
+
+    files = table(spark, d, "g_files")
+    rows = files.join(joined(imports, "ord").withColumnRenamed("part", "i"), "source", "left").join(joined(types, "decl_id").withColumnRenamed("part", "t"), "source", "left")
+    head = F.coalesce(F.concat(F.lit("package "), "package", F.lit(";\n")), F.lit(""))
+    return rows.select("source", F.concat(head, F.coalesce("i", F.lit("")), F.lit("\n"), F.coalesce("t", F.lit(""))).alias("contents"))
+
+
+@query
+def x1_extract_package(spark, d):
+    return X.extract_package(java_texts(spark, d))
+
+
+@query
+def x2_extract_imports(spark, d):
+    return X.extract_imports(java_texts(spark, d))
+
+
+@query
+def x3_extract_types(spark, d):
+    found = X.extract_types(java_texts(spark, d))
+    return found.groupBy("source", "name", "kind", "superclass", "depth").agg(F.count("header_at").alias("n"))
+
+
+def _index(spark, d):
+    return P.position_index(table(spark, d, "g_decls"), table(spark, d, "g_scopes"), None, table(spark, d, "g_nodes"))
+
+
+def _node_points(spark, d):
+    return table(spark, d, "g_nodes").select("source", F.col("node_id").alias("request_id"), (F.col("end_at") - 1).alias("at"))
+
+
+@query
+def p1_position_index(spark, d):
+    return _index(spark, d).groupBy("source", "entity_kind", "ord").agg(F.count("entity_id").alias("n"), F.sum(F.col("end_at") - F.col("start_at")).alias("width"))
+
+
+@query
+def p2_containing(spark, d):
+    hits = P.containing(_node_points(spark, d), _index(spark, d))
+    return hits.groupBy("source", "request_id").agg(F.count("entity_id").alias("n"), F.sum(F.col("end_at") - F.col("start_at")).alias("width"))
+
+
+@query
+def p3_tightest_containing(spark, d):
+    return P.tightest_containing(_node_points(spark, d), _index(spark, d), ["source", "request_id"])
+
+
+def _chain(spark, d):
+    return SC.scope_chain(table(spark, d, "g_scopes"))
+
+
+@query
+def s1_scope_chain(spark, d):
+    return _chain(spark, d)
+
+
+@query
+def s2_declaration_chain(spark, d):
+    rows = SC.declaration_chain(_chain(spark, d), table(spark, d, "g_decls"))
+    return rows.groupBy("source", "scope_id", "distance").agg(F.count("decl_id").alias("n"), F.sum("decl_id").alias("ids"))
+
+
+@query
+def s3_enclosing_type(spark, d):
+    return SC.enclosing_type(_chain(spark, d), table(spark, d, "g_scopes"), table(spark, d, "g_decls"))
+
+
+def _labels(spark, d):
+    return SC.declaration_label(table(spark, d, "g_decls"), table(spark, d, "g_scopes"), table(spark, d, "g_files"), _chain(spark, d))
+
+
+@query
+def s4_declaration_label(spark, d):
+    return _labels(spark, d)
+
+
+@query
+def s5_label_at(spark, d):
+    decls = table(spark, d, "g_decls")
+    return SC.label_at(decls.select("source", "name_start").distinct(), decls, _labels(spark, d)).select("source", "name_start", "label")
+
+
+@query
+def s6_declaration_facts(spark, d):
+    return SC.declaration_facts(table(spark, d, "g_decls"))
+
+
+def _refs(spark, d):
+    return table(spark, d, "g_decls").where("type_name is not null").select("source", F.col("decl_id").alias("ref_id"), "scope_id", F.col("type_name").alias("name"))
+
+
+@query
+def r1_resolve_lexical(spark, d):
+    return R.resolve_lexical(_refs(spark, d), _chain(spark, d), table(spark, d, "g_decls"))
+
+
+@query
+def r2_resolve_exact_imports(spark, d):
+    return R.resolve_exact_imports(_refs(spark, d), table(spark, d, "g_imports"), _canonical(spark, d))
+
+
+@query
+def r3_resolve_same_package(spark, d):
+    hits = R.resolve_same_package(_refs(spark, d), table(spark, d, "g_files"), table(spark, d, "g_decls"))
+    return hits.groupBy("source", "ref_id").agg(F.count("target_id").alias("n"), F.sum("target_id").alias("ids"))
+
+
+def _candidates(spark, d, refs=None, more=None):
+    decls, files = table(spark, d, "g_decls"), table(spark, d, "g_files")
+    return R.resolve_type_names(_refs(spark, d) if refs is None else refs, _chain(spark, d), decls, table(spark, d, "g_imports"), files, _canonical(spark, d), more)
+
+
+@query
+def r4_classify(spark, d):
+    hits = R.resolve_exact_imports(_refs(spark, d), table(spark, d, "g_imports"), _canonical(spark, d))
+    return R.classify(_refs(spark, d), hits)
+
+
+@query
+def r5_resolve_type_names(spark, d):
+    found = _candidates(spark, d)
+    return R.classify(_refs(spark, d), found).join(found.select("source", "ref_id", "stage").distinct(), ["source", "ref_id"], "left")
+
+
+@query
+def r6_find_members(spark, d):
+    decls = table(spark, d, "g_decls")
+    owners = decls.where("kind = 'TYPE'").select(F.col("source").alias("owner_source"), F.col("decl_id").alias("owner_id"), F.explode(F.array(*[F.lit(f"v{k}") for k in range(9)])).alias("name"))
+    return R.find_members(owners, decls, "VARIABLE")
+
+
+def _variables(spark, d):
+    uses = table(spark, d, "g_nodes").where("kind = 'NAME_REF'").select("source", F.col("node_id").alias("ref_id"), "scope_id", "name", F.col("name_start").alias("at"))
+    return R.resolve_variables(uses, _chain(spark, d), table(spark, d, "g_decls"))
+
+
+@query
+def r7_resolve_variables(spark, d):
+    return _variables(spark, d)
+
+
+@query
+def r8_resolve_type_refs(spark, d):
+    hits = R.resolve_type_refs(_refs(spark, d), _candidates(spark, d))
+    return hits.groupBy("source", "ref_id").agg(F.count("target_id").alias("n"), F.sum("target_id").alias("ids"))
+
+
+def _declared(found: DataFrame) -> DataFrame:
+    first = found.groupBy("source", "ref_id").agg(F.min(F.struct("target_source", "target_id")).alias("t"))
+    return first.select("source", F.col("ref_id").alias("decl_id"), F.col("t.target_source").alias("class_source"), F.col("t.target_id").alias("class_id"))
+
+
+def _receivers(spark, d):
+    nodes, decls = table(spark, d, "g_nodes"), table(spark, d, "g_decls")
+    named = nodes.where("kind = 'NAME_REF'").select("source", F.col("node_id").alias("ref_id"), "scope_id", "name")
+    enclosing = SC.enclosing_type(_chain(spark, d), table(spark, d, "g_scopes"), decls)
+    found = R.receiver_class(nodes, _variables(spark, d), _candidates(spark, d, named), _declared(_candidates(spark, d)), enclosing, decls)
+    return found, enclosing
+
+
+@query
+def r9_receiver_class(spark, d):
+    return _receivers(spark, d)[0]
+
+
+def _expressions(spark, d):
+    nodes, decls = table(spark, d, "g_nodes"), table(spark, d, "g_decls")
+    receivers, enclosing = _receivers(spark, d)
+    members = R.resolve_members(nodes, receivers, enclosing, decls)
+    nothing = members.limit(0)  # the graph has no ``this`` and creates nothing
+    return R.resolve_expressions(_variables(spark, d), members, nothing, nothing)
+
+
+@query
+def r10_resolve_expressions(spark, d):
+    return _expressions(spark, d)
+
+
+def _occurrences(spark, d, points):
+    return NV.resolve_occurrences(points, _index(spark, d), _expressions(spark, d), _candidates(spark, d), table(spark, d, "g_decls"))
+
+
+@query
+def r11_resolve_occurrences(spark, d):
+    return _occurrences(spark, d, _node_points(spark, d)).select("request_id", "source", "target_source", "target_id", "name_start", "name_end")
+
+
+@query
+def r13_hover(spark, d):
+    return NV.hover(_occurrences(spark, d, _node_points(spark, d)), _labels(spark, d))
+
+
+@query
+def d1_without_static_imports(spark, d):
+    return D.without_static_imports(table(spark, d, "g_files"), table(spark, d, "g_imports"))
+
+
+@query
+def d2_without_superclass(spark, d):
+    scopes = table(spark, d, "g_scopes")
+    return D.without_superclass(scopes.select("source", "scope_id"), _chain(spark, d), scopes, table(spark, d, "g_decls"))
+
+
+@query
+def d3_without_receivers(spark, d):
+    nodes = table(spark, d, "g_nodes")
+    return D.without_receivers(nodes.where("kind = 'NAME_REF'"), nodes).select("source", "node_id", "name")
+
+
+@query
+def d4_unresolved_names(spark, d):
+    nodes, scopes, decls = table(spark, d, "g_nodes"), table(spark, d, "g_scopes"), table(spark, d, "g_decls")
+    chain = _chain(spark, d)
+    uses = nodes.where("kind = 'NAME_REF'").select("source", F.col("node_id").alias("ref_id"), "scope_id", "name", F.col("name_start").alias("at"))
+    return D.unresolved_names(nodes, table(spark, d, "g_imports"), chain, scopes, decls, R.resolve_variables(uses, chain, decls))
+
+
+@query
+def d5_publish_rows(spark, d):
+    found = d4_unresolved_names(spark, d)
+    texts = java_texts(spark, d)
+    places = T.span_to_line_columns(found.select("source", "start_at", "end_at").distinct(), T.line_table(texts))
+    versions = table(spark, d, "g_files").select("source", F.lit(1).alias("version"))
+    rows = D.publish_rows(found, places, versions)
+    return rows.select("source", "node_id", "level", "tag", "code", "message", "version")
+
+
+def _lines(spark, d):
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return docs.select("doc", F.col("pos").cast("long").alias("pos"), "line")
+
+
+@query
+def m1_slice_body(spark, d):
+    return M.slice_body(_lines(spark, d), "T", "On").select("doc", "pos", F.md5("line").alias("md5"))
+
+
+@query
+def m2_clean_lines(spark, d):
+    pages = _read(spark, d, "pages").select(F.col("page_id").alias("doc"), F.posexplode(F.split("html", "<p>", -1)).alias("pos", "line"))
+    return M.clean_lines(pages).select("doc", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("md5"))
+
+
+@query
+def m3_rewrite_links(spark, d):
+    lines = _read(spark, d, "pages").select(F.col("page_id").alias("doc"), F.lit(0).cast("long").alias("pos"), F.concat("url", F.lit(" jls-6.html#x jls-61.html#y jls-7.html")).alias("line"))
+    return M.rewrite_links(lines, [("jls-6.html", "ch06-names.md"), ("jls-7.html", "ch07-packages-modules.md")], "jls")
+
+
+@query
+def m4_collapse_blanks(spark, d):
+    lines = _lines(spark, d).withColumn("line", F.when(F.length("line") < 60, "").otherwise(F.col("line")))
+    return M.collapse_blanks(lines).groupBy("doc").agg(F.count("pos").alias("n"), F.sum("pos").alias("positions"))
+
+
+@query
+def m5_assemble(spark, d):
+    turns = _read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.concat_ws(": ", "role", "text").alias("line"))
+    return M.assemble(turns).select("doc", F.md5("text").alias("md5"), "n_lines")
+
+
+@query
+def m6_toc(spark, d):
+    nations = _read(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").cast("int").alias("num"), F.lower("n_name").alias("slug"), F.col("n_name").alias("title"))
+    return M.toc(nations, ["n_regionkey"])
+
+
+@query
+def b1_resolve_on_demand(spark, d):
+    return B.resolve_on_demand(_refs(spark, d), _packages(table(spark, d, "g_imports")), _canonical(spark, d))
+
+
+def _packages(imports: DataFrame) -> DataFrame:
+    """The graph's on-demand imports name a type of the package they open."""
+    return imports.withColumn("name", F.when(F.col("kind") == "TYPE_ON_DEMAND", N.package_of("name")).otherwise(F.col("name")))
+
+
+@query
+def b3_four_stages(spark, d):
+    imports = _packages(table(spark, d, "g_imports"))
+    every = imports.unionByName(B.implicit_import(table(spark, d, "g_files")))
+    found = _candidates(spark, d, None, [B.resolve_on_demand(_refs(spark, d), every, _canonical(spark, d))])
+    return found.groupBy("source", "ref_id", "stage").agg(F.count("target_id").alias("n"), F.sum("target_id").alias("ids"))
+
+
+@query
+def b5_inherited_members(spark, d):
+    decls = table(spark, d, "g_decls")
+    types = decls.where("kind = 'TYPE'").select("source", "decl_id", "name", "body_scope_id")
+    first = types.groupBy("source", "name").agg(F.min("decl_id").alias("super"))
+    up = decls.where("kind = 'FIELD'").select("source", F.col("scope_id").alias("body_scope_id"), F.col("type_name").alias("name")).distinct()
+    direct = types.select("source", F.col("decl_id").alias("type"), "body_scope_id").join(up, ["source", "body_scope_id"]).join(first, ["source", "name"]).where("type <> super").select("type", "super")
+    closure = B.supertypes(direct, A.materialize)
+    body = types.select("source", F.col("decl_id").alias("type"), F.col("body_scope_id").alias("scope_id"))
+    members = body.join(decls.where("kind = 'METHOD'").select("source", "scope_id", "name", F.col("decl_id").alias("member")), ["source", "scope_id"]).select("type", "name", "member")
+    return B.inherited_members(types.select(F.col("decl_id").alias("type")), closure, members)
+
+
+@query
+def b7_import_collisions(spark, d):
+    return B.import_collisions(table(spark, d, "g_imports"))
+
+
+@query
+def b7_unresolvable_imports(spark, d):
+    return B.unresolvable_imports(table(spark, d, "g_imports"), _canonical(spark, d))
+
+
+@query
+def b8_unresolvable_types(spark, d):
+    return B.unresolvable_types(R.classify(_refs(spark, d), _candidates(spark, d)), _refs(spark, d))
+
+
+@query
+def b9_import_suggestions(spark, d):
+    missing = B.unresolvable_types(R.classify(_refs(spark, d), _candidates(spark, d)), _refs(spark, d))
+    found = B.import_suggestions(missing, _canonical(spark, d))
+    return found.select("name", F.size("candidates").cast("long").alias("n"), F.md5(F.array_join("candidates", ",")).alias("md5"))
+
+
+def _edits(spark, d):
+    folder = f"{d}/events.parquet"
+    # a pattern, so that a table of one file and one of many are both read
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(f"{d}/events*.parquet")
+    kind = F.when(F.col("event_type") == "error", "CLOSE").otherwise("CHANGE")
+    return stream.select(F.col("event_id").alias("seq"), kind.alias("event"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri"), F.lit(1).alias("version"), F.array("event_type", "props").alias("changes"))
+
+
+@query
+def st1_edit_stream(spark, d):
+    at = f"{A.shared_dir(spark)}/edits-{__import__('uuid').uuid4().hex}"
+    ST.run_batches(ST.edit_stream(_edits(spark, d)), f"{at}/checkpoint", ST.append_versions(f"{at}/log"))
+    return spark.read.parquet(f"{at}/log").select("source", "revision", "contents")
+
+
+@query
+def st2_heads_stream(spark, d):
+    at = f"{A.shared_dir(spark)}/heads-{__import__('uuid').uuid4().hex}"
+    ST.run_batches(ST.heads_stream(ST.edit_stream(_edits(spark, d))), f"{at}/checkpoint", ST.append_versions(f"{at}/heads"), "update")
+    newest = spark.read.parquet(f"{at}/heads").groupBy("source").agg(F.max_by(F.struct("revision", "contents"), "revision").alias("h"))
+    return newest.select("source", "h.revision", "h.contents")
