@@ -165,7 +165,8 @@ def mixture(rows: DataFrame, sources: list[dict]) -> DataFrame:
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))))
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.expr(f"block * {BLOCK} - start")))
     pieces = pieces.withColumn("words", F.least("size", F.expr(f"(block + 1) * {BLOCK} - start")) - F.col("first"))
-    return slots.join(pieces.select("row", "doc_id", "h", "source_no", "block", "first", "words"), ["source_no", "block"])
+    # both sides grow with the corpus, whatever their size is estimated to be: never a broadcast
+    return slots.hint("merge").join(pieces.select("row", "doc_id", "h", "source_no", "block", "first", "words"), ["source_no", "block"])
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
