@@ -10,10 +10,12 @@ the first ``n/4 + 1`` lanes, in an order both sides share, must have one in comm
 
 1. one row per text: set size, two 64-bit set signatures, the bit sketch; equal sets are one class;
 2. lane rows ``(key, class)``, shuffled once by key; only keys shared by two classes go on;
-3. star round: each class meets the hub that it shares most keys with; links are verified on the
-   sets, and linked classes merge;
+3. star rounds: each key has a hub, each class meets the hub that it shares most keys with; links
+   are verified on the sets, and linked classes merge, so that a group of copies needs no pairs;
 4. all pairs that still share a key across different components, past size and bit-sketch bounds,
-   are verified, so no link between components is lost, while a group of copies needs no pairs.
+   are verified.  Where a key is crowded with rows of many components (a passage that many texts
+   quote), its texts are compared by their tokens that are rarest among such texts instead, of which
+   linked texts also share one: so no link between components is lost.
 
 Nulls, empty texts: set size 0, linked with nothing.  Equal texts are one class.  Very long texts
 are one round each.  Empty tables give no rows.  Extra columns are ignored.
@@ -27,10 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import shared as S
 
 WORDS = 5
+FOLD = 8  # longs of the sketches that joins compare
+STARS = 3  # rounds in which each class meets one hub
+HOT = 1024  # rows of a key outside its main component, beyond which rarer tokens are asked instead
 _U = np.uint64
 _FIELD = 40  # low bits of a sort key that order a lane's value
 
@@ -66,8 +72,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketch_bits(n: int) -> int:
-    """Bits of a text's parity sketch: a power of two from 64 to 4096, about twice the set."""
-    return int(min(4096, max(64, 1 << int(2 * n - 1).bit_length())))
+    """Bits of a text's parity sketch: a power of two from 512 to 4096, about twice the set."""
+    return int(min(4096, max(64 * FOLD, 1 << int(2 * n - 1).bit_length())))
 
 
 def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -170,7 +176,7 @@ def _sets(batches):
 
 
 def _shared_keys(batches):
-    """Rows sorted by (key, sig): keeps the keys of two or more classes, with their first class."""
+    """Rows sorted by (key, sig): keeps those of keys of two or more classes."""
     key = sig = None  # the last row, whose key may go on
     hub = None
     emitted = True
@@ -200,7 +206,7 @@ def _shared_keys(batches):
         emitted = bool(last_many)
         key, sig, hub = k[-1], s[-1], first[-1]
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(s[out]), pa.array(first[run][out])], ["key", "sig", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(s[out])], ["key", "sig"])
 
 
 def _verify(batches):
@@ -237,45 +243,98 @@ def _close(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
+def _folded(batches):
+    """The bit sketch of each class folded to FOLD longs: a lower bound of the same distance."""
+    for batch in batches:
+        bits = batch.column("bits")
+        out = np.zeros((len(bits), FOLD), np.int64)
+        for i in range(len(bits)):
+            x = np.frombuffer(bits[i].as_buffer(), "<i8")
+            out[i] = np.bitwise_xor.reduce(x.reshape(-1, FOLD), axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("sig"), batch.column("n"), batch.column("rep"), *(pa.array(out[:, k]) for k in range(FOLD))],
+            ["sig", "n", "rep", *(f"s{k}" for k in range(FOLD))],
+        )
+
+
+def _tokens(batches):
+    for batch in batches:
+        x = [np.frombuffer(v.as_buffer(), "<i8") for v in batch.column("shingles")]
+        size = [len(v) for v in x]
+        sig, n = np.repeat(batch.column("sig").to_numpy(), size), np.repeat(size, size)
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))], ["sig", "n", "key"])
+
+
+def _rows_of_open_keys(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows (key, sig, root) of keys with several components, with what a pair's test needs; ``out``
+    is true outside the key's most frequent component, ``rest`` counts those rows."""
+    per = rows.groupBy("key", "root").agg(F.count("sig").alias("c"))
+    main = per.groupBy("key").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"), F.count("root").alias("roots")
+    )
+    rows = rows.join(main.where("roots > 1").drop("roots"), "key").withColumn("out", F.expr("root <> main"))
+    return rows.select("key", "sig", "root", "out", "rest").join(info, "sig")
+
+
+def _cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a key in different components that sizes and folded sketches allow.  One side of a
+    pair is always outside the key's main component, so a group of linked copies makes no pairs."""
+    side = ["root", "sig", "n", "out", *(f"s{k}" for k in range(FOLD))]
+    x = rows.where("out").select("key", *(F.col(c).alias(f"a_{c}") for c in side))
+    y = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in side))
+    far = " + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(FOLD))
+    fits = f"a_root <> b_root and (not b_out or a_root < b_root) and 5 * a_n >= 4 * b_n and 5 * b_n >= 4 * a_n and 9 * ({far}) <= a_n + b_n"
+    return x.join(y, "key").where(fits).select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, sig): component_id is the smallest id that links reach."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = S.materialize(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sig long, sig2 long, bits binary"), "sets")
     classes = rows.where("n_shingles > 0").groupBy("sig", "sig2").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits")
     )
     classes = S.materialize(classes.select("sig", "rep", "n", "bits"), "classes")
+    info = classes.mapInArrow(_folded, "sig long, n long, rep long, " + ", ".join(f"s{k} long" for k in range(FOLD))).drop("rep")
 
     lanes = texts.mapInArrow(_lanes, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
-    keyed = S.materialize(lanes.mapInArrow(_shared_keys, "key long, sig long, hub long"), "keys")
+    keyed = S.materialize(lanes.mapInArrow(_shared_keys, "key long, sig long"), "keys")
     wanted = keyed.select("sig").distinct().join(classes, "sig").select(F.col("rep").alias("doc_id"))
     sets = S.materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "sig long, shingles binary"), "shingles")
 
-    votes = keyed.where("sig <> hub").groupBy("sig", "hub").count()
-    star = votes.groupBy("sig").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    links = S.materialize(_verified(star.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets), "star")
-    merged = S.components(links)
-
-    info = classes.select("sig", "n", "bits")
-    labelled = (
-        keyed.select("key", "sig")
-        .join(merged.withColumnRenamed("node", "sig"), "sig", "left")
-        .select("key", "sig", F.coalesce("root", "sig").alias("root"))
-    )
-    labelled = S.materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_rows = S.materialize(labelled.join(mixed, "key", "left_semi").join(info.select("sig", "n"), "sig"), "open")
-    x = open_rows.select("key", F.col("sig").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = open_rows.select("key", F.col("sig").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = x.join(y, "key").where("ra < rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b").distinct()
-    left = info.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = info.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    links = roots = None
+    for turn in range(STARS):
+        named = keyed.withColumn("root", F.col("sig")) if roots is None else _named(keyed, roots)
+        hub = F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "root"))
+        hubs = named.groupBy("key").agg(hub.alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        opened = S.materialize(
+            named.join(hubs, "key").select("key", "sig", "root", F.col("h.sig").alias("hub"), F.col("h.root").alias("hub_root")), "open"
+        )
+        S.discard(keyed)
+        keyed = opened
+        votes = keyed.where("root <> hub_root").groupBy("sig", "hub").count()
+        star = votes.groupBy("sig").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+        found = S.materialize(_verified(star.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets), "star")
+        links = found if links is None else links.unionByName(found)
+        roots = S.components(links)
+        keyed = keyed.select("key", "sig")
+
+    rows_open = S.materialize(_rows_of_open_keys(_named(keyed, roots), info), "open")
+    hot = rows_open.where(f"rest > {HOT}").select("sig").distinct()
+    pairs = _cross_pairs(rows_open.where(f"rest <= {HOT}"))
+    # texts that meet in crowded keys: the tokens that are rarest among them decide (prefix filter)
+    tokens = S.materialize(sets.join(hot, "sig", "left_semi").mapInArrow(_tokens, "sig long, n long, key long"), "tokens")
+    seen_by = tokens.groupBy("key").agg(F.count("sig").alias("df"))
+    ranked = tokens.join(seen_by, "key").withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("df", "key")))
+    ranked = ranked.where("df > 1 and rank <= n - ceil(0.8 * n) + 1").select("key", "sig")
+    pairs = pairs.unionByName(_cross_pairs(S.materialize(_rows_of_open_keys(_named(ranked, roots), info), "rare"))).distinct()
+
+    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     near = pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a long, b long")
     rest = _verified(S.materialize(near, "near"), sets)
-    links = links.unionByName(rest)
-    roots = S.components(links)
-    member = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "rep")
+    roots = S.components(links.unionByName(rest))
+    member = _named(classes.select("sig", "rep"), roots)
     smallest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_sig = member.join(smallest, "root").select("sig", "component_id")
     return (
@@ -285,6 +344,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds the component ``root`` of ``sig``; a class without links is its own."""
+    return rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_classes(docs).select("doc_id", "n_shingles", "component_id")
