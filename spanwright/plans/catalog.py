@@ -427,9 +427,11 @@ def _declared(found: DataFrame) -> DataFrame:
 def _receivers(spark, d):
     nodes, decls = table(spark, d, "g_nodes"), table(spark, d, "g_decls")
     named = nodes.where("kind = 'NAME_REF'").select("source", F.col("node_id").alias("ref_id"), "scope_id", "name")
-    enclosing = SC.enclosing_type(_chain(spark, d), table(spark, d, "g_scopes"), decls)
-    found = R.receiver_class(nodes, _variables(spark, d), _candidates(spark, d, named), _declared(_candidates(spark, d)), enclosing, decls)
-    return found, enclosing
+    enclosing = A.materialize(SC.enclosing_type(_chain(spark, d), table(spark, d, "g_scopes"), decls), "enclosing")
+    # every round joins these again
+    declared = A.materialize(_declared(_candidates(spark, d)), "declared")
+    variables, types = A.materialize(_variables(spark, d), "variables"), A.materialize(_candidates(spark, d, named), "types")
+    return R.receiver_class(nodes, variables, types, declared, enclosing, decls), enclosing
 
 
 @query

@@ -31,7 +31,7 @@ package{tag} AS (
   FROM {refs} r JOIN g_files f ON f.source = r.source
   JOIN (SELECT d.source, d.decl_id, d.name, f.package FROM g_decls d JOIN g_files f USING (source) WHERE d.kind = 'TYPE' AND d.scope_id = 0) d
     ON d.name = r.name AND d.package IS NOT DISTINCT FROM f.package),
-staged{tag} AS (
+staged{tag} AS MATERIALIZED (
   SELECT DISTINCT * FROM (
     SELECT *, 1 AS stage FROM lexical{tag}
     UNION ALL SELECT *, 2 FROM exact{tag} e WHERE NOT EXISTS (SELECT 1 FROM lexical{tag} l WHERE l.source = e.source AND l.ref_id = e.ref_id)
@@ -39,7 +39,7 @@ staged{tag} AS (
       AND NOT EXISTS (SELECT 1 FROM exact{tag} e WHERE e.source = p.source AND e.ref_id = p.ref_id)))"""
 
 
-_VARIABLES = """variables AS (
+_VARIABLES = """variables AS MATERIALIZED (
   SELECT source, ref_id, source AS target_source, target_id, target_kind FROM (
     SELECT n.source, n.node_id AS ref_id, d.decl_id AS target_id, d.kind AS target_kind, rank() OVER (PARTITION BY n.source, n.node_id ORDER BY c.distance) AS k
     FROM g_nodes n JOIN chain c ON c.source = n.source AND c.scope_id = n.scope_id
@@ -53,28 +53,30 @@ _ENCLOSING = """enclosing AS (
     JOIN g_decls d ON d.source = s.source AND d.decl_id = s.owner_id AND d.kind = 'TYPE') WHERE k = 1)"""
 
 _RECEIVERS = (
-    """declared AS (
+    """declared AS MATERIALIZED (
   SELECT source, ref_id AS decl_id, min((target_source, target_id)) AS t FROM staged GROUP BY source, ref_id),
 names AS (SELECT source, node_id AS ref_id, scope_id, name FROM g_nodes WHERE kind = 'NAME_REF'), """
     + _stages("names", "_n")
     + """,
 first_variable AS (SELECT source, ref_id, min(target_id) AS decl_id FROM variables GROUP BY source, ref_id),
-round0 AS (
+round0 AS MATERIALIZED (
   SELECT v.source, v.ref_id AS node_id, d.t FROM first_variable v JOIN declared d ON d.source = v.source AND d.decl_id = v.decl_id
   UNION ALL SELECT source, ref_id, min((target_source, target_id)) FROM staged_n s
   WHERE NOT EXISTS (SELECT 1 FROM first_variable v WHERE v.source = s.source AND v.ref_id = s.ref_id) GROUP BY source, ref_id HAVING count(*) = 1),
-members AS (
+members AS MATERIALIZED (
   SELECT t.source AS owner_source, t.decl_id AS owner_id, m.name, CASE m.kind WHEN 'METHOD' THEN 'METHOD_CALL' ELSE 'FIELD_ACCESS' END AS kind, m.decl_id AS member_id
   FROM g_decls t JOIN g_decls m ON m.source = t.source AND m.scope_id = t.body_scope_id WHERE t.kind = 'TYPE' AND m.kind IN ('FIELD', 'LOCAL', 'METHOD')),
-hit1 AS (
-  SELECT n.source, n.node_id, n.kind, m.owner_source, m.member_id FROM g_nodes n JOIN round0 r ON r.source = n.source AND r.node_id = n.receiver_id
-  JOIN members m ON m.owner_source = r.t[1] AND m.owner_id = r.t[2] AND m.name = n.name AND m.kind = n.kind),
-round1 AS (
+owner1 AS MATERIALIZED (
+  SELECT n.source, n.node_id, n.kind, n.name, r.t[1] AS owner_source, r.t[2] AS owner_id FROM g_nodes n JOIN round0 r ON r.source = n.source AND r.node_id = n.receiver_id),
+hit1 AS MATERIALIZED (
+  SELECT n.source, n.node_id, n.kind, m.owner_source, m.member_id FROM owner1 n JOIN members m USING (owner_source, owner_id, name, kind)),
+round1 AS MATERIALIZED (
   SELECT h.source, h.node_id, d.t FROM (SELECT source, node_id, owner_source, min(member_id) AS member_id FROM hit1 GROUP BY ALL) h
   JOIN declared d ON d.source = h.owner_source AND d.decl_id = h.member_id),
-hit2 AS (
-  SELECT n.source, n.node_id, n.kind, m.owner_source, m.member_id FROM g_nodes n JOIN round1 r ON r.source = n.source AND r.node_id = n.receiver_id
-  JOIN members m ON m.owner_source = r.t[1] AND m.owner_id = r.t[2] AND m.name = n.name AND m.kind = n.kind),
+owner2 AS MATERIALIZED (
+  SELECT n.source, n.node_id, n.kind, n.name, r.t[1] AS owner_source, r.t[2] AS owner_id FROM g_nodes n JOIN round1 r ON r.source = n.source AND r.node_id = n.receiver_id),
+hit2 AS MATERIALIZED (
+  SELECT n.source, n.node_id, n.kind, m.owner_source, m.member_id FROM owner2 n JOIN members m USING (owner_source, owner_id, name, kind)),
 round2 AS (
   SELECT h.source, h.node_id, d.t FROM (SELECT source, node_id, owner_source, min(member_id) AS member_id FROM hit2 GROUP BY ALL) h
   JOIN declared d ON d.source = h.owner_source AND d.decl_id = h.member_id)"""
@@ -89,7 +91,7 @@ _INDEX = """spans AS (
   UNION ALL SELECT source, name_start, name_start + strlen(name), 'NODE', node_id, 6 FROM g_nodes WHERE kind IN ('FIELD_ACCESS', 'METHOD_CALL')),
 points AS (SELECT source, node_id AS request_id, end_at - 1 AS at FROM g_nodes)"""
 
-_TIGHTEST = """tightest AS (
+_TIGHTEST = """tightest AS MATERIALIZED (
   SELECT source, request_id, e.* FROM (
     SELECT p.source, p.request_id, arg_min({'entity_kind': s.entity_kind, 'entity_id': s.entity_id, 'start_at': s.start_at, 'end_at': s.end_at},
       {'w': s.end_at - s.start_at, 'a': s.start_at, 'b': s.end_at, 'o': s.ord, 'i': s.entity_id}) AS e
