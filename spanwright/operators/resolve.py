@@ -102,6 +102,27 @@ def resolve_type_names(refs: DataFrame, chain: DataFrame, decls: DataFrame, impo
     return rows.withColumn("_least", least).where("stage = _least").drop("_least").distinct()
 
 
+def summarise_type_names(refs: DataFrame, chain: DataFrame, decls: DataFrame, imports: DataFrame, files: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(source, ref_id, stage, targets, first_source, first_id): how many targets the first stage with
+    a result gives each reference, and the smallest.  Types are counted by (package, name) before
+    they meet the references, so a package with very many types of a name costs one row for each
+    reference and not one for each target; the candidates themselves are in resolve_type_names."""
+    refs = refs.where("name is not null and not contains(name, '.')")
+    target = F.struct("target_source", "target_id")
+
+    def counted(hits: DataFrame, stage: int) -> DataFrame:
+        hits = hits.distinct().groupBy("source", "ref_id").agg(F.count("target_id").alias("targets"), F.min(target).alias("first"))
+        return hits.withColumn("stage", F.lit(stage))
+
+    keyed = files.select("source", F.coalesce("package", F.lit("\0")).alias("package"))
+    top = decls.where("kind = 'TYPE' and scope_id = 0").join(keyed, "source")
+    top = top.groupBy("package", "name").agg(F.count("decl_id").alias("targets"), F.min(F.struct(F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))).alias("first"))
+    packaged = refs.join(keyed, "source").join(top, ["package", "name"]).select("source", "ref_id", "targets", "first", F.lit(3).alias("stage"))
+    every = counted(resolve_lexical(refs, chain, decls), 1).unionByName(counted(resolve_exact_imports(refs, imports, canonical), 2)).unionByName(packaged)
+    best = every.groupBy("source", "ref_id").agg(F.min("stage").alias("stage"), F.min_by(F.struct("targets", "first"), "stage").alias("b"))
+    return best.select("source", "ref_id", "stage", "b.targets", F.col("b.first.target_source").alias("first_source"), F.col("b.first.target_id").alias("first_id"))
+
+
 def find_members(owners: DataFrame, decls: DataFrame, namespace: str) -> DataFrame:
     """Owners (owner_source, owner_id, name, ..) with the direct members of that name and namespace
     (member_id), all overloads."""
@@ -127,15 +148,15 @@ def resolve_type_refs(refs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def receiver_class(nodes: DataFrame, variables: DataFrame, name_types: DataFrame, declared: DataFrame, enclosing: DataFrame, decls: DataFrame) -> DataFrame:
     """(source, node_id, class_source, class_id): the class through which a member of the expression
-    is looked up.  ``variables`` are targets of name references, ``name_types`` type candidates of
-    their names, ``declared`` (source, decl_id, class_source, class_id) the first class of each
+    is looked up.  ``variables`` are targets of name references, ``name_types`` the summaries of
+    their names as types, ``declared`` (source, decl_id, class_source, class_id) the first class of each
     declaration's type.  Rounds go up from the receivers: each solves the nodes whose receiver the
     round before solved, and stops when there is none.  First means smallest (source, id)."""
     first = variables.groupBy("source", "ref_id").agg(F.min("target_id").alias("decl_id"))
     names = nodes.where("kind = 'NAME_REF'").select("source", "node_id")
     by_variable = names.join(first.withColumnRenamed("ref_id", "node_id"), ["source", "node_id"]).join(declared, ["source", "decl_id"])
-    only = name_types.groupBy("source", "ref_id").agg(F.count("target_id").alias("n"), F.min("target_source").alias("class_source"), F.min("target_id").alias("class_id"))
-    by_type = names.join(first.withColumnRenamed("ref_id", "node_id"), ["source", "node_id"], "left_anti").join(only.where("n = 1").withColumnRenamed("ref_id", "node_id"), ["source", "node_id"])
+    only = name_types.where("targets = 1").select("source", F.col("ref_id").alias("node_id"), F.col("first_source").alias("class_source"), F.col("first_id").alias("class_id"))
+    by_type = names.join(first.withColumnRenamed("ref_id", "node_id"), ["source", "node_id"], "left_anti").join(only, ["source", "node_id"])
     this = nodes.where("kind = 'THIS'").join(enclosing, ["source", "scope_id"])
     columns = ["source", "node_id", "class_source", "class_id"]
     solved = by_variable.select(*columns).unionByName(by_type.select(*columns)).unionByName(this.select("source", "node_id", F.col("source").alias("class_source"), F.col("type_id").alias("class_id")))

@@ -384,6 +384,11 @@ def _candidates(spark, d, refs=None, more=None):
     return R.resolve_type_names(_refs(spark, d) if refs is None else refs, _chain(spark, d), decls, table(spark, d, "g_imports"), files, _canonical(spark, d), more)
 
 
+def _summaries(spark, d, refs=None):
+    decls, files = table(spark, d, "g_decls"), table(spark, d, "g_files")
+    return R.summarise_type_names(_refs(spark, d) if refs is None else refs, _chain(spark, d), decls, table(spark, d, "g_imports"), files, _canonical(spark, d))
+
+
 @query
 def r4_classify(spark, d):
     hits = R.resolve_exact_imports(_refs(spark, d), table(spark, d, "g_imports"), _canonical(spark, d))
@@ -392,8 +397,9 @@ def r4_classify(spark, d):
 
 @query
 def r5_resolve_type_names(spark, d):
-    found = _candidates(spark, d)
-    return R.classify(_refs(spark, d), found).join(found.select("source", "ref_id", "stage").distinct(), ["source", "ref_id"], "left")
+    found = _summaries(spark, d).select("source", "ref_id", "targets", "stage")
+    rows = _refs(spark, d).select("source", "ref_id").join(found, ["source", "ref_id"], "left").withColumn("targets", F.coalesce("targets", F.lit(0)))
+    return rows.withColumn("result", F.when(F.col("targets") == 0, "UNRESOLVED").when(F.col("targets") == 1, "RESOLVED").otherwise("AMBIGUOUS"))
 
 
 @query
@@ -420,8 +426,7 @@ def r8_resolve_type_refs(spark, d):
 
 
 def _declared(found: DataFrame) -> DataFrame:
-    first = found.groupBy("source", "ref_id").agg(F.min(F.struct("target_source", "target_id")).alias("t"))
-    return first.select("source", F.col("ref_id").alias("decl_id"), F.col("t.target_source").alias("class_source"), F.col("t.target_id").alias("class_id"))
+    return found.select("source", F.col("ref_id").alias("decl_id"), F.col("first_source").alias("class_source"), F.col("first_id").alias("class_id"))
 
 
 def _receivers(spark, d):
@@ -429,8 +434,8 @@ def _receivers(spark, d):
     named = nodes.where("kind = 'NAME_REF'").select("source", F.col("node_id").alias("ref_id"), "scope_id", "name")
     enclosing = A.materialize(SC.enclosing_type(_chain(spark, d), table(spark, d, "g_scopes"), decls), "enclosing")
     # every round joins these again
-    declared = A.materialize(_declared(_candidates(spark, d)), "declared")
-    variables, types = A.materialize(_variables(spark, d), "variables"), A.materialize(_candidates(spark, d, named), "types")
+    declared = A.materialize(_declared(_summaries(spark, d)), "declared")
+    variables, types = A.materialize(_variables(spark, d), "variables"), A.materialize(_summaries(spark, d, named), "types")
     return R.receiver_class(nodes, variables, types, declared, enclosing, decls), enclosing
 
 
@@ -584,12 +589,12 @@ def b7_unresolvable_imports(spark, d):
 
 @query
 def b8_unresolvable_types(spark, d):
-    return B.unresolvable_types(R.classify(_refs(spark, d), _candidates(spark, d)), _refs(spark, d))
+    return B.unresolvable_types(r5_resolve_type_names(spark, d), _refs(spark, d))
 
 
 @query
 def b9_import_suggestions(spark, d):
-    missing = B.unresolvable_types(R.classify(_refs(spark, d), _candidates(spark, d)), _refs(spark, d))
+    missing = B.unresolvable_types(r5_resolve_type_names(spark, d), _refs(spark, d))
     found = B.import_suggestions(missing, _canonical(spark, d))
     return found.select("name", F.size("candidates").cast("long").alias("n"), F.md5(F.array_join("candidates", ",")).alias("md5"))
 
