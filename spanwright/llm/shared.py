@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled by one round of numpy calls; a longer text is a round of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Texts in a round at most: 12 bits of a 64-bit sort key name the text, 52 hold the hash.
 CHUNK_DOCS = 1 << 12
 HASH_BITS = 52
