@@ -8,6 +8,7 @@ from spanwright.functions import names as N
 from spanwright.operators import extract as X
 from spanwright.operators import imports as B
 from spanwright.operators import lines as M
+from spanwright.operators import navigate as NV
 from spanwright.operators import spans as P
 from spanwright.operators import text as T
 from spanwright.operators import versions as V
@@ -54,11 +55,11 @@ def test_lines_and_columns(spark):
 
 def test_names(spark):
     row = spark.range(1).select(
-        N.package_of(F.lit("org.beans.app.Foo$Inner")).alias("p"), N.simple_name(F.lit("org.beans.app.Foo$Inner")).alias("s"), N.package_of(F.lit("Foo")).alias("q"),
+        N.package_of(F.lit("org.acme.app.Foo$Inner")).alias("p"), N.simple_name(F.lit("org.acme.app.Foo$Inner")).alias("s"), N.package_of(F.lit("Foo")).alias("q"),
         N.uri_to_path(F.lit("file:///home/my%20project/Foo.java")).alias("u"), N.uri_to_path(F.lit("untitled:x")).alias("n"), N.path_to_uri(F.lit("SOURCE_FILE"), F.lit("/a b")).alias("b"),
         N.strip_package(F.array(F.lit("p"), F.lit("Outer")), F.array(F.lit("p"))).alias("a"), N.strip_package(F.array(F.lit("p")), F.array(F.lit("q"))).alias("z"),
     ).first()
-    assert tuple(row) == ("org.beans.app", "Inner", "", "/home/my project/Foo.java", None, None, ["Outer"], None)
+    assert tuple(row) == ("org.acme.app", "Inner", "", "/home/my project/Foo.java", None, None, ["Outer"], None)
 
 
 def test_right_edge_hits(spark):
@@ -92,6 +93,22 @@ def test_supertypes_end_on_cycles(spark):
     assert got == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(4, 1), (4, 2), (4, 3)}
 
 
+def test_goto(spark):
+    text = "class A {\n int x;\n int y = x;\n}\n"
+    lines = T.line_table(spark.createDataFrame([("/w/A.java", text)], "source string, contents string"))
+    use = text.index("x;", text.index("y"))
+    target = [("/w/A.java", use, text.index("x"), text.index("x") + 1)]
+    known = spark.createDataFrame(target, "source string, at long, name_start long, name_end long")
+
+    def resolve(points):
+        return points.join(known, ["source", "at"]).select("request_id", "source", "at", F.col("source").alias("target_source"), F.lit(1).alias("target_id"), "name_start", "name_end")
+
+    asked = spark.createDataFrame([(1, "file:///w/A.java", 2, 9), (2, "file:///w/A.java", 0, 0), (3, "git:x", 0, 0)], "request_id long, uri string, line long, character long")
+    got = {r.request_id: r.locations for r in NV.goto_locations(asked, lines, resolve).collect()}
+    assert got[2] is None and got[3] is None
+    assert [(x.uri, tuple(x.start), tuple(x.end)) for x in got[1]] == [("file:///w/A.java", (1, 5), (1, 6))]
+
+
 def test_files_and_trace(spark, tmp_path):
     (tmp_path / "src/my dir").mkdir(parents=True)
     (tmp_path / "src/my dir/A+.java").write_text("class A {\n}\n")
