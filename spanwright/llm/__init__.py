@@ -6,6 +6,7 @@ operator keeps its own general interface in its module.
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 _MODULES = (
@@ -26,8 +27,17 @@ def _modules():
     return [importlib.import_module(f"{__name__}.{m}") for m in _MODULES]
 
 
+def _bounded(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        importlib.import_module(f"{__name__}.shared").small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: q for m in _modules() for name, q in m.QUERIES.items()}
+    return {name: _bounded(q) for m in _modules() for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:

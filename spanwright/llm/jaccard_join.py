@@ -316,6 +316,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         star = votes.groupBy("sig").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
         found = S.materialize(_verified(star.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets), "star")
         links = found if links is None else links.unionByName(found)
+        if roots is not None:
+            S.discard(roots)
         roots = S.components(links)
         keyed = keyed.select("key", "sig")
 
@@ -327,13 +329,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen_by = tokens.groupBy("key").agg(F.count("sig").alias("df"))
     ranked = tokens.join(seen_by, "key").withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("df", "key")))
     ranked = ranked.where("df > 1 and rank <= n - ceil(0.8 * n) + 1").select("key", "sig")
-    pairs = pairs.unionByName(_cross_pairs(S.materialize(_rows_of_open_keys(_named(ranked, roots), info), "rare"))).distinct()
+    rare = S.materialize(_rows_of_open_keys(_named(ranked, roots), info), "rare")
+    pairs = pairs.unionByName(_cross_pairs(rare)).distinct()
 
     left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     near = pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a long, b long")
-    rest = _verified(S.materialize(near, "near"), sets)
-    roots = S.components(links.unionByName(rest))
+    near = S.materialize(near, "near")
+    rest = S.materialize(_verified(near, sets), "rest")
+    S.discard(keyed, rows_open, tokens, rare, near, sets)
+    before, roots = roots, S.components(links.unionByName(rest))
+    S.discard(links, rest, before)
     member = _named(classes.select("sig", "rep"), roots)
     smallest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_sig = member.join(smallest, "root").select("sig", "component_id")

@@ -235,6 +235,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_matched, "t long, start long, end long")
     spans = whole.unionByName(part).groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = S.materialize(spans, "spans")
+    S.discard(places, contexts)
 
     copied = classes.where("copies > 1").select("t", F.lit(True).alias("copied"))
     about = rows.select("doc_id", "t").distinct().join(copied, "t", "left").join(spans, "t", "left")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,51 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows where the session has Spark's own number: texts are long, and a
+    batch is in memory a few times, in the JVM and in its Python worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_recorded: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Notes in ``paths`` the tables that are written meanwhile, for :func:`remove`."""
+    global _recorded
+    before, _recorded = _recorded, paths
+    try:
+        yield
+    finally:
+        _recorded = before
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later stages restart from files."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a table of :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith("file:") or "://" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files behind tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def crc_mod(col: str, mod: int):
