@@ -25,6 +25,22 @@ from pyspark.sql import functions as F
 from spanwright.llm import jaccard_join, language_id, packing, repeat_index, shared, source_mix
 
 
+_left: list[str] = []  # tables that the stage before wrote on its way
+
+
+def _alone(stage):
+    """The stage, which first removes what the one before left: its result has been written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.small_batches(spark)
+        shared.remove(spark, _left)
+        _left.clear()
+        with shared.recorded(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").where(shared.crc_mod("doc_id", 4) != 2)
     identifier = language_id.fit(known)
@@ -56,19 +72,20 @@ def _taken(batches):
     """Texts of the words ``[first, first + words)`` of each listed part, joined by blanks."""
     for batch in batches:
         data, off = shared.byte_view(batch.column("text"))
-        start, end, first = shared.word_bounds(data, off)
-        raw, out = data.tobytes(), []
-        parts = batch.column("__parts")
-        for i in range(batch.num_rows):
-            rows = parts.slice(i, 1).flatten()
-            a, n = rows.field("first").to_numpy(), rows.field("words").to_numpy()
-            pieces = []
-            for k in np.argsort(a, kind="stable"):
-                w = first[i] + a[k]
-                pieces.append(raw[start[w] : end[w + n[k] - 1]])
-            out.append(b" ".join(pieces).decode("utf-8"))
         names = [n for n in batch.schema.names if n not in ("text", "__parts")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], [*names, "text"])
+        for i, j in shared.rounds(off):
+            part = data[off[i] : off[j]]
+            start, end, first = shared.word_bounds(part, off[i : j + 1] - off[i])
+            raw, out, parts = part.tobytes(), [], batch.column("__parts").slice(i, j - i)
+            for t in range(j - i):
+                rows = parts.slice(t, 1).flatten()
+                a, n = rows.field("first").to_numpy(), rows.field("words").to_numpy()
+                pieces = []
+                for k in np.argsort(a, kind="stable"):
+                    w = first[t] + a[k]
+                    pieces.append(raw[start[w] : end[w + n[k] - 1]])
+                out.append(b" ".join(pieces).decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(out, pa.string())], [*names, "text"])
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,11 +105,11 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", _language),
-    ("jaccard_join", _near_duplicates),
-    ("repeat_index", _repeats),
-    ("source_mix", _mix),
-    ("packing", _packing),
+    ("language_id", _alone(_language)),
+    ("jaccard_join", _alone(_near_duplicates)),
+    ("repeat_index", _alone(_repeats)),
+    ("source_mix", _alone(_mix)),
+    ("packing", _alone(_packing)),
 ]
 
 #: Kneser-Ney models, pseudorandom permutations and a tokenizer are beyond SQL: tests hold the stages
