@@ -103,8 +103,9 @@ class Encoder:
             self._keep(self.hits > 2)
             if len(self.hash) > KNOWN // 2:
                 self._keep(np.zeros(len(self.hash), bool))
-        # pieces that begin with white space may be encoded in one go: joining makes no new pre-token
-        lead = np.array([p[:1].isspace() for p in pieces], bool)
+        # pieces that begin with white space and end in a visible character may be encoded in one go:
+        # joining makes no new pre-token; white space at a piece's end would run on into the next
+        lead = np.array([p[:1].isspace() and not _NO_CUT[p[-1]] for p in pieces], bool)
         order = np.concatenate([np.flatnonzero(lead), np.flatnonzero(~lead)])
         n = int(lead.sum())
         joined = [b"".join(pieces[k] for k in order[i : min(i + 512, n)]) for i in range(0, n, 512)] + [pieces[k] for k in order[n:]]

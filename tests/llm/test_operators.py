@@ -145,6 +145,22 @@ def test_packing(spark):
         assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= 1024
 
 
+def test_pieces_of_white_space_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    texts = ["foo\n", "a\n\nfoo bar", "a\n foo", "b\r\n", "c\r\n\r\n  indented\n\n\n", "  \n", "\n", "\t\tx\n", "d \u00a0", "d \u00a0 e\u3000\n f", "\u00e0 la\n", " \n\n    def f():\n        pass\n"]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+    r = random.Random(3)
+    for _ in range(20):
+        order = r.sample(range(len(texts)), len(texts))
+        raw = [texts[i].encode() for i in order]
+        off = np.cumsum([0, *map(len, raw)])
+        ids, sizes, _ = packing.Encoder(path).encode(np.frombuffer(b"".join(raw), np.uint8), off)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [want[i] for i in order]
+
+
 def test_packing_is_cheapest():
     r = np.random.default_rng(1)
     for _ in range(20):
