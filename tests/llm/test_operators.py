@@ -217,6 +217,17 @@ def test_lm_base_score(spark, small):
         assert got[i].score < 0
 
 
+def test_lm_scores_do_not_hang_on_what_is_broadcast(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    training = docs.where(shared.crc_mod("doc_id", 7) != 2)
+    want = {r.doc_id: r for r in lm_scoring.lm_scores(docs, training).collect()}
+    few = lm_scoring.frequent_words
+    monkeypatch.setattr(lm_scoring, "frequent_words", lambda words, total: few(words, total, 50))
+    for r in lm_scoring.lm_scores(docs, training).collect():
+        for k in ("score", "base_score", "n_known"):
+            assert r[k] == pytest.approx(want[r.doc_id][k], rel=1e-9), k
+
+
 def test_mixed_bits_are_a_distribution():
     mixer = lm_scoring.Mixer(np.random.default_rng(0).integers(0, 5, (2, int(lm_scoring._BASE[-1]))).astype(np.float32))
     symbols = np.arange(256, dtype=np.uint8)
