@@ -148,7 +148,7 @@ def _describe(batches):
         a, b = _signatures(h, bounds)
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(_sketches(h, bounds), pa.binary())],
-            ["doc_id", "n_shingles", "sig", "sig2", "bits"],
+            ["id", "n_shingles", "sig", "sig2", "bits"],
         )
 
 
@@ -290,17 +290,24 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, sig): component_id is the smallest id that links reach."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = S.materialize(texts.mapInArrow(_describe, "doc_id long, n_shingles long, sig long, sig2 long, bits binary"), "sets")
+    # ids may be null or repeated: a row is found again by its id and the hash of its text
+    texts = texts.withColumn("t", F.xxhash64("text"))
+    rows = texts.select(F.struct("doc_id", "t").alias("id"), "text")
+    rows = rows.mapInArrow(_describe, "id struct<doc_id:long,t:long>, n_shingles long, sig long, sig2 long, bits binary")
+    rows = S.materialize(rows.select("id.doc_id", "id.t", "n_shingles", "sig", "sig2", "bits"), "sets")
     classes = rows.where("n_shingles > 0").groupBy("sig", "sig2").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits")
-    )
-    classes = S.materialize(classes.select("sig", "rep", "n", "bits"), "classes")
+        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "t")).alias("at"), F.count(F.lit(1)).alias("copies"),
+        F.max("n_shingles").alias("n"), F.min("bits").alias("bits"),
+    )
+    classes = S.materialize(classes.select("sig", "rep", "at", "copies", "n", "bits"), "classes")
     info = classes.mapInArrow(_folded, "sig long, n long, rep long, " + ", ".join(f"s{k} long" for k in range(FOLD))).drop("rep")
 
-    lanes = texts.mapInArrow(_lanes, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
+    lanes = texts.select("doc_id", "text").mapInArrow(_lanes, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
     keyed = S.materialize(lanes.mapInArrow(_shared_keys, "key long, sig long"), "keys")
-    wanted = keyed.select("sig").distinct().join(classes, "sig").select(F.col("rep").alias("doc_id"))
-    sets = S.materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "sig long, shingles binary"), "shingles")
+    wanted = keyed.select("sig").distinct().join(classes, "sig").select(F.col("at.doc_id").alias("at_id"), F.col("at.t").alias("at_t"), "copies")
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("t") == F.col("at_t")))
+    sets, again = (found.where(c).select("doc_id", "text").mapInArrow(_sets, "sig long, shingles binary") for c in ("copies = 1", "copies > 1"))
+    sets = S.materialize(sets.unionByName(again.dropDuplicates(["sig"])), "shingles")  # equal rows give one set
 
     links = roots = None
     for turn in range(STARS):

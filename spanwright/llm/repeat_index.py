@@ -148,8 +148,10 @@ def aligned_repeats(group: np.ndarray, left: np.ndarray, texts: list[bytes]) ->
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: spans of contexts that repeat in part."""
+    """Rows sorted by anchor, text and position: spans of contexts that repeat in part.  A place that
+    comes again (equal rows of one id) counts once."""
     held: list[pa.RecordBatch] = []
+    last = None
 
     def indexed(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -165,6 +167,11 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        place = np.stack([batch.column(k).to_numpy() for k in ("anchor", "t", "pos")])
+        new = np.concatenate([[last is None or bool((place[:, 0] != last).any())], (place[:, 1:] != place[:, :-1]).any(axis=0)])
+        last = place[:, -1]
+        if not new.all():
+            batch = batch.filter(pa.array(new))
         held.append(batch)
         if sum(b.num_rows for b in held) >= INDEXED:
             table = pa.Table.from_batches(held)
@@ -230,9 +237,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = whole.select("t", F.greatest(F.lit(0), F.col("pos") - LEFT).alias("start"), F.least("n", F.col("pos") + LENGTH).alias("end"))
 
     wanted = contexts.where("kinds > 1").select("lo.t", F.struct("anchor", "lo.pos", "whole").alias("w"))
-    wanted = wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")).join(classes.select("t", F.col("rep").alias("doc_id")), "t")
-    cut = texts.join(wanted, ["doc_id", "t"]).select("t", "text", "wanted").mapInArrow(_cut_out, "anchor long, t long, pos long, whole boolean, bytes binary")
-    part = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_matched, "t long, start long, end long")
+    wanted = wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")).join(classes.select("t", F.col("rep").alias("rep_id")), "t")
+    wanted = wanted.withColumnRenamed("t", "rep_t")
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("t") == F.col("rep_t")))
+    cut = found.select("t", "text", "wanted").mapInArrow(_cut_out, "anchor long, t long, pos long, whole boolean, bytes binary")
+    part = cut.repartition("anchor").sortWithinPartitions("anchor", "t", "pos").mapInArrow(_matched, "t long, start long, end long")
     spans = whole.unionByName(part).groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = S.materialize(spans, "spans")
     S.discard(places, contexts)

@@ -71,6 +71,30 @@ def test_jaccard_components(spark, near_texts, monkeypatch, hot, stars):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_null_and_repeated_ids(spark, near_texts, monkeypatch):
+    """Near copies and partial repeats are found whatever the ids of their rows are."""
+    monkeypatch.setattr(jaccard_join, "HOT", 0)
+    monkeypatch.setattr(jaccard_join, "STARS", 1)
+    some = near_texts[:80]
+    named = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda rows: {(r.doc_id, r.n_shingles, r.component_id, r.sig) for r in jaccard_join.jaccard_classes(named(rows)).collect()}
+    once = list(enumerate(some))
+    want = classes(once)
+    assert classes(once * 3) == want
+    roots = {r[0]: r[2] for r in want}
+    # without ids but for the first of each component
+    got = classes([(i if roots[i] == i else None, t) for i, t in once])
+    assert got == {(i if roots[i] == i else None, n, c, s) for i, n, c, s in want}
+
+    r = random.Random(8)
+    rb = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared_part = rb(450)
+    texts = [rb(300) + shared_part + rb(200), rb(100) + shared_part + rb(40), rb(900)]
+    for ids in ([1, 2, 3], [None] * 3, [1] * 3, [None, 1, 1]):
+        got = repeat_index.without_repeats(named(list(zip(ids, texts, strict=True)))).collect()
+        assert sorted((x.n_bytes, x.n_removed) for x in got) == sorted(zip(map(len, texts), (450, 450, 0), strict=True)), ids
+
+
 def test_winnowing(spark):
     r = random.Random(2)
     texts = [" ".join("w%d" % r.randrange(9) for _ in range(n)) for n in (0, 1, 4, 5, 19, 20, 21, 200)]
