@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +15,61 @@ from pyspark.sql import types as T
 TRACE = T.StructType([T.StructField("dir", T.StringType()), T.StructField("at", T.LongType()), T.StructField("msg", T.StringType())])
 
 
+_own: dict[str, str] = {}  # folders of local sessions that name none, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset, a local session gets a folder of
+    its own; on a cluster there is none that all executors see, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spanwright-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spanwright-")
+        at = _own[app]
     return at.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Notes in ``paths`` the tables that this thread writes meanwhile, for :func:`remove`."""
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes to the shared folder and reads back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files behind tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def scan_sources(spark: SparkSession, path: str) -> DataFrame:
