@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from ..sources.tables import discard, new_folder, recorded, remove, shared_dir  # noqa: F401
+
 #: Bytes of text that are handled by one round of numpy calls; a longer text is a round of its own.
 CHUNK_BYTES = 1 << 20
 #: Texts in a round at most: 12 bits of a 64-bit sort key name the text, 52 hold the hash.
@@ -19,15 +19,6 @@ CHUNK_DOCS = 1 << 12
 HASH_BITS = 52
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, own only if unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spanwright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of fewer rows where the session has Spark's own number: texts are long, and a
     batch is in memory a few times, in the JVM and in its Python worker."""
@@ -35,44 +26,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-_recorded: list[str] | None = None
-
-
-@contextlib.contextmanager
-def recorded(paths: list[str]):
-    """Notes in ``paths`` the tables that are written meanwhile, for :func:`remove`."""
-    global _recorded
-    before, _recorded = _recorded, paths
-    try:
-        yield
-    finally:
-        _recorded = before
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later stages restart from files."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    if _recorded is not None:
-        _recorded.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Deletes tables of the shared folder that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files behind tables of :func:`materialize` that nothing reads any more."""
-    for df in tables:
-        remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    """Writes ``df`` to the shared folder and reads it back: later stages restart from files.  The
+    shuffle files of a round stay on the executors' disks until the driver's heap is next collected
+    and Spark's cleaner sees that nothing refers to them, so that is asked for here."""
+    out = tables.materialize(df, label)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def crc_mod(col: str, mod: int):
