@@ -5,20 +5,25 @@ sketches of two grains: *lanes* (each token toggles the bits of its hash in one
 *bits* (each token toggles one of ``m`` bits).  The Hamming distance of either, counted in lanes or
 bits, is at most the symmetric difference of the sets.  For Jaccard >= 0.8 a text of ``n`` shingles
 differs from a partner in at most ``n/4`` of them, so of its non-empty lanes all but ``n/4`` agree:
-the first ``n/4 + 1`` lanes, in an order both sides share, must have one in common (pigeonhole).
-``p`` depends on a size band (factor four); a text near the top of its band also uses the next.
-
-1. one row per text: set size, two 64-bit set signatures, the bit sketch; equal sets are one class;
-2. lane rows ``(key, class)``, shuffled once by key; only keys shared by two classes go on;
+the first ``n/4 + 1`` lanes, in any order both sides share, must have one in common (pigeonhole).
+``p`` depends on a size band (factor four); a text near the top of its band also uses the next.  In
+the lowest band each token is a lane of its own.
+
+1. one row per text: set size, a 64-bit set signature, the bit sketch; equal sets are one class;
+2. lane rows ``(key, class)``, the fullest lanes first, shuffled once by key.  Of a key that several
+   classes of one task share two rows go to the key's partition, and the rest, known to be shared,
+   anywhere, so that a key that is in a third of all texts makes no large task;
 3. star rounds: each key has a hub, each class meets the hub that it shares most keys with; links
    are verified on the sets, and linked classes merge, so that a group of copies needs no pairs;
 4. all pairs that still share a key across different components, past size and bit-sketch bounds,
-   are verified.  Where a key is crowded with rows of many components (a passage that many texts
-   quote), its texts are compared by their tokens that are rarest among such texts instead, of which
-   linked texts also share one: so no link between components is lost.
+   are verified.  A key that more than ``CROWD`` rows outside its main component share (a passage
+   that many texts quote) makes no pairs.  Its texts list all their lanes instead, and each takes its
+   ``n/4 + 1`` in another order, those first that are in the fewest components.  Two linked texts
+   that share no other key are both among them, so the same pigeonhole finds them: no link is lost.
 
 Nulls, empty texts: set size 0, linked with nothing.  Equal texts are one class.  Very long texts
-are one round each.  Empty tables give no rows.  Extra columns are ignored.
+are one round each.  Rows whose ids are null or repeated keep their own links; a null id is its own
+component's name only where no id is reached.  Empty tables give no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ from . import shared as S
 WORDS = 5
 FOLD = 8  # longs of the sketches that joins compare
 STARS = 3  # rounds in which each class meets one hub
-HOT = 1024  # rows of a key outside its main component, beyond which rarer tokens are asked instead
+CROWD = 32  # rows of a key outside its main component, beyond which its texts turn to rarer lanes
+WITNESSED = 1 << 20  # shared keys that a task remembers to have sent to their partitions
 _U = np.uint64
 _FIELD = 40  # low bits of a sort key that order a lane's value
 
@@ -86,10 +92,11 @@ def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [packed[base[i] // 8 : base[i + 1] // 8] for i in range(len(size))]
 
 
-def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the lanes that the chosen texts must emit."""
+def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, every: bool = False) -> pa.RecordBatch:
+    """The lanes that the chosen texts must list, fullest first, or ``every`` lane: the text (its
+    number), the key, the band, how many lanes the text has there and how many it must list."""
     n = np.diff(bounds)
-    texts, keys = [], []
+    out = []
     n64 = n.astype(np.int64)
     band = np.zeros(len(n), np.int64)
     for k in range(1, 20):
@@ -102,37 +109,42 @@ def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[np
             size = n64[mine]
             token = np.repeat(bounds[mine], size) + S.ramp(size)
             who = np.repeat(np.arange(len(mine)), size)
-            lanes = 2 << (2 * int(k))
-            lane = (h[token] & _U(lanes - 1)).astype(np.int64)
-            order = np.argsort(who * lanes + lane, kind="stable")
-            cell = (who * lanes + lane)[order]
-            new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            value = np.bitwise_xor.reduceat(S.mix(h[token][order], 11), new)
-            count = np.diff(np.append(new, len(cell)))
-            cell = cell[new]
-            owner = cell // lanes
-            key = S.mix(value + S.mix((cell % lanes).astype(_U) * _U(64) + _U(int(k)), 12) + count.astype(_U), 13)
-            # fuller lanes are the rarer ones: they come first
-            rank = (owner.astype(_U) << _U(52)) | (_U(4095) - np.minimum(count, 4095).astype(_U)) << _U(_FIELD) | key >> _U(64 - _FIELD)
-            order = np.argsort(rank)
-            owner, key = owner[order], key[order]
+            mark = S.mix(np.array([int(k)], _U), 12)[0]
+            if k <= 1:
+                owner, key, count = who, S.mix(h[token] + mark, 13), np.ones(len(who), np.int64)
+            else:
+                lanes = 2 << (2 * int(k))
+                lane = (h[token] & _U(lanes - 1)).astype(np.int64)
+                order = np.argsort(who * lanes + lane, kind="stable")
+                cell = (who * lanes + lane)[order]
+                new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                value = np.bitwise_xor.reduceat(S.mix(h[token][order], 11), new)
+                count = np.diff(np.append(new, len(cell)))
+                owner = cell[new] // lanes
+                key = S.mix(value + S.mix((cell[new] % lanes).astype(_U) + mark, 12) + count.astype(_U), 13)
             have = np.bincount(owner, minlength=len(mine))
             need = size // 4 + 1
-            place = S.ramp(have)
-            keep = place < need[owner]
-            texts.append(mine[owner[keep]])
-            keys.append(key[keep])
             weak = np.flatnonzero(have < need)
-            if len(weak):  # too few lanes for the pigeonhole: such texts meet each other
-                texts.append(mine[weak])
-                keys.append(np.full(len(weak), S.mix(np.array([int(k)], _U), 14)[0]))
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(texts), np.concatenate(keys)
-
-
-def _signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(S.mix(S.segment_sums(S.mix(h, s), bounds), s + 1).view(np.int64) for s in (21, 31))
+            if len(weak):  # too few lanes for the pigeonhole (hardly ever): such texts meet each other
+                owner = np.concatenate([owner, weak])
+                key = np.concatenate([key, np.full(len(weak), S.mix(np.array([int(k)], _U), 14)[0])])
+                count = np.concatenate([count, np.zeros(len(weak), np.int64)])
+                have[weak] += 1
+                need[weak] = have[weak]
+            if not every:
+                # fuller lanes are the rarer ones: they come first
+                rank = (owner.astype(_U) << _U(52)) | (_U(4095) - np.minimum(count, 4095).astype(_U)) << _U(_FIELD) | key >> _U(64 - _FIELD)
+                order = np.argsort(rank)
+                owner, key = owner[order], key[order]
+                keep = S.ramp(have) < need[owner]
+                owner, key = owner[keep], key[keep]
+            out.append((mine[owner], key.view(np.int64), np.full(len(owner), k), have[owner], need[owner]))
+    out = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["text", "key", "band", "have", "need"])
+
+
+def _signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return S.mix(S.segment_sums(S.mix(h, 21), bounds), 22).view(np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
@@ -145,22 +157,33 @@ def _texts(batches: Iterator[pa.RecordBatch]):
 
 def _describe(batches):
     for ids, h, bounds in _texts(batches):
-        a, b = _signatures(h, bounds)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(_sketches(h, bounds), pa.binary())],
-            ["id", "n_shingles", "sig", "sig2", "bits"],
+            [ids, pa.array(np.diff(bounds)), pa.array(_signatures(h, bounds)), pa.array(_sketches(h, bounds), pa.binary())],
+            ["id", "n_shingles", "sig", "bits"],
         )
 
 
 def _lanes(batches):
+    """Rows (to, key, sig): ``to`` is the key, or any number where the key is known to be shared."""
     seen = np.zeros(0, np.int64)
+    told = np.zeros(0, np.int64)
     for _, h, bounds in _texts(batches):
-        sig, _ = _signatures(h, bounds)
+        sig = _signatures(h, bounds)
         _, fresh = np.unique(sig, return_index=True)
         fresh = np.sort(fresh[~np.isin(sig[fresh], seen) & (np.diff(bounds)[fresh] >= 4)])
         seen = np.union1d(seen, sig[fresh])  # eight bytes for each text of this task
-        text, key = lane_keys(h, bounds, fresh)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sig[text])], ["key", "sig"])
+        rows = lane_keys(h, bounds, fresh)
+        key, sig = rows.column("key").to_numpy(), sig[rows.column("text").to_numpy()]
+        order = np.lexsort((sig, key))
+        key, sig = key[order], sig[order]
+        place = S.ramp(np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))) if len(key) else key
+        known = place > 1  # two rows of the key are witnesses of it
+        known[np.isin(key, told)] = True
+        told = np.union1d(told, key[place == 1])
+        if len(told) > WITNESSED:
+            told = told[:0]
+        to = np.where(known, S.mix(sig.view(_U) + key.view(_U), 15).view(np.int64), key)
+        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(key), pa.array(sig), pa.array(known)], ["to", "key", "sig", "known"])
 
 
 def _sets(batches):
@@ -168,7 +191,7 @@ def _sets(batches):
         data, off = S.byte_view(batch.column(1))
         for i, j in S.rounds(off):
             h, b = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            sig, _ = _signatures(h, b)
+            sig = _signatures(h, b)
             raw = h.astype("<u8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sig), pa.array([raw[b[t] : b[t + 1]].tobytes() for t in range(j - i)], pa.binary())], ["sig", "shingles"]
@@ -176,12 +199,15 @@ def _sets(batches):
 
 
 def _shared_keys(batches):
-    """Rows sorted by (key, sig): keeps those of keys of two or more classes."""
+    """Rows sorted by (to, key, sig): keeps those of keys of two or more classes."""
     key = sig = None  # the last row, whose key may go on
     hub = None
     emitted = True
     for batch in batches:
-        k, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        if known.any():
+            yield batch.filter(pa.array(known)).select(["key", "sig"])
+        k, s = (batch.column(c).to_numpy()[~known] for c in ("key", "sig"))
         if not len(k):
             continue
         if key is not None:
@@ -209,16 +235,31 @@ def _shared_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(s[out])], ["key", "sig"])
 
 
+def _longs(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Longs of a column of binaries, and how many each holds."""
+    data, off = S.byte_view(col)
+    return np.frombuffer(data, "<u8"), np.diff(off) // 8
+
+
+def common(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of binaries of distinct 52-bit tokens: their sizes, and how many both hold."""
+    total = []
+    for i in range(0, len(x), S.CHUNK_DOCS):
+        (p, n), (q, m) = _longs(x.slice(i, S.CHUNK_DOCS)), _longs(y.slice(i, S.CHUNK_DOCS))
+        pair = np.arange(len(n)).astype(_U) << _U(S.HASH_BITS)
+        both = np.concatenate([np.repeat(pair, n) | p, np.repeat(pair, m) | q])
+        both.sort()
+        twice = (both[1:][both[1:] == both[:-1]] >> _U(S.HASH_BITS)).astype(np.int64)
+        total.append((n, m, np.bincount(twice, minlength=len(n))))
+    return tuple(np.concatenate(t) for t in zip(*total, strict=True)) if total else (np.zeros(0, np.int64),) * 3
+
+
 def _verify(batches):
     for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        x, y = batch.column("x"), batch.column("y")
-        keep = np.zeros(len(a), bool)
-        for i in range(len(a)):
-            p, q = np.frombuffer(x[i].as_buffer(), "<u8"), np.frombuffer(y[i].as_buffer(), "<u8")
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep[i] = 100 * both >= 80 * (len(p) + len(q) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):  # a set may be large
+            n, m, both = common(part.column("x"), part.column("y"))
+            keep = pa.array(100 * both >= 80 * (n + m - both))
+            yield part.select(["a", "b"]).filter(keep)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,41 +269,42 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
+def fold(col: pa.Array, to: int | np.ndarray) -> np.ndarray:
+    """Bit sketches folded to ``to`` longs each (one row of the widest; the rest is 0)."""
+    x, n = _longs(col)
+    to = np.broadcast_to(to, n.shape)
+    first = np.cumsum(n) - n
+    out = np.zeros((len(n), int(to.max(initial=1))), _U)
+    for a, b in {(int(a), int(b)) for a, b in zip(n, to, strict=True)}:
+        some = np.flatnonzero((n == a) & (to == b))
+        out[some, :b] = np.bitwise_xor.reduce(x[first[some][:, None] + np.arange(a)].reshape(len(some), a // b, b), axis=1)
+    return out
+
+
 def _close(batches):
-    """Candidate pairs whose folded bit sketches do not rule out a link."""
+    """Candidate pairs whose bit sketches, folded to the same width, do not rule out a link."""
     for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        keep = np.zeros(len(a), bool)
-        xs, ys = batch.column("bits_a"), batch.column("bits_b")
-        for i in range(len(a)):
-            p, q = np.frombuffer(xs[i].as_buffer(), np.uint8), np.frombuffer(ys[i].as_buffer(), np.uint8)
-            m = min(len(p), len(q))
-            p, q = (np.bitwise_xor.reduce(z.reshape(-1, m), axis=0) for z in (p, q))
-            keep[i] = 9 * int(np.bitwise_count(p ^ q).sum()) <= int(na[i] + nb[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        a, b = batch.column("bits_a"), batch.column("bits_b")
+        width = np.minimum(_longs(a)[1], _longs(b)[1])
+        far = np.bitwise_count(fold(a, width) ^ fold(b, width)).sum(axis=1)
+        keep = 9 * far.astype(np.int64) <= batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _folded(batches):
     """The bit sketch of each class folded to FOLD longs: a lower bound of the same distance."""
     for batch in batches:
-        bits = batch.column("bits")
-        out = np.zeros((len(bits), FOLD), np.int64)
-        for i in range(len(bits)):
-            x = np.frombuffer(bits[i].as_buffer(), "<i8")
-            out[i] = np.bitwise_xor.reduce(x.reshape(-1, FOLD), axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("sig"), batch.column("n"), batch.column("rep"), *(pa.array(out[:, k]) for k in range(FOLD))],
-            ["sig", "n", "rep", *(f"s{k}" for k in range(FOLD))],
-        )
+        out = fold(batch.column("bits"), FOLD).view(np.int64).reshape(batch.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), *(pa.array(out[:, k]) for k in range(FOLD))], ["sig", "n", *(f"s{k}" for k in range(FOLD))])
 
 
-def _tokens(batches):
+def _all_lanes(batches):
     for batch in batches:
-        x = [np.frombuffer(v.as_buffer(), "<i8") for v in batch.column("shingles")]
-        size = [len(v) for v in x]
-        sig, n = np.repeat(batch.column("sig").to_numpy(), size), np.repeat(size, size)
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))], ["sig", "n", "key"])
+        sig = batch.column("sig").to_numpy()
+        for i in range(0, batch.num_rows, 64):
+            h, n = _longs(batch.column("shingles").slice(i, 64))
+            rows = lane_keys(h, np.concatenate([[0], np.cumsum(n)]), np.arange(len(n)), True)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[i + rows.column("text").to_numpy()]), *rows.columns[1:]], ["sig", "key", "band", "have", "need"])
 
 
 def _rows_of_open_keys(rows: DataFrame, info: DataFrame) -> DataFrame:
@@ -287,22 +329,35 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "key").where(fits).select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
 
 
+def _rarest(lanes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, sig): of each text's lanes in a band the ``need`` that are in the fewest components, as
+    far as several components share them."""
+    spread = _named(lanes.select("key", "sig"), roots).groupBy("key").agg(F.count_distinct("root").alias("df")).where("df > 1")
+    shared = lanes.join(spread, "key")
+    mine = W.partitionBy("sig", "band")
+    # the lanes that no other component has are the rarest, and are not listed
+    shared = shared.withColumn("alone", F.col("have") - F.count("key").over(mine))
+    shared = shared.withColumn("nth", F.row_number().over(mine.orderBy("df", "key")))
+    return shared.where("alone + nth <= need").select("key", "sig").distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, sig): component_id is the smallest id that links reach."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ids may be null or repeated: a row is found again by its id and the hash of its text
     texts = texts.withColumn("t", F.xxhash64("text"))
     rows = texts.select(F.struct("doc_id", "t").alias("id"), "text")
-    rows = rows.mapInArrow(_describe, "id struct<doc_id:long,t:long>, n_shingles long, sig long, sig2 long, bits binary")
-    rows = S.materialize(rows.select("id.doc_id", "id.t", "n_shingles", "sig", "sig2", "bits"), "sets")
-    classes = rows.where("n_shingles > 0").groupBy("sig", "sig2").agg(
+    rows = rows.mapInArrow(_describe, "id struct<doc_id:long,t:long>, n_shingles long, sig long, bits binary")
+    rows = S.materialize(rows.select("id.doc_id", "id.t", "n_shingles", "sig", "bits"), "sets")
+    classes = rows.where("n_shingles > 0").groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "t")).alias("at"), F.count(F.lit(1)).alias("copies"),
         F.max("n_shingles").alias("n"), F.min("bits").alias("bits"),
     )
     classes = S.materialize(classes.select("sig", "rep", "at", "copies", "n", "bits"), "classes")
-    info = classes.mapInArrow(_folded, "sig long, n long, rep long, " + ", ".join(f"s{k} long" for k in range(FOLD))).drop("rep")
+    info = classes.mapInArrow(_folded, "sig long, n long, " + ", ".join(f"s{k} long" for k in range(FOLD)))
 
-    lanes = texts.select("doc_id", "text").mapInArrow(_lanes, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
+    lanes = texts.select("doc_id", "text").mapInArrow(_lanes, "to long, key long, sig long, known boolean")
+    lanes = lanes.repartition("to").sortWithinPartitions("to", "key", "sig").select("key", "sig", "known")
     keyed = S.materialize(lanes.mapInArrow(_shared_keys, "key long, sig long"), "keys")
     wanted = keyed.select("sig").distinct().join(classes, "sig").select(F.col("at.doc_id").alias("at_id"), F.col("at.t").alias("at_t"), "copies")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("t") == F.col("at_t")))
@@ -329,22 +384,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed = keyed.select("key", "sig")
 
     rows_open = S.materialize(_rows_of_open_keys(_named(keyed, roots), info), "open")
-    hot = rows_open.where(f"rest > {HOT}").select("sig").distinct()
-    pairs = _cross_pairs(rows_open.where(f"rest <= {HOT}"))
-    # texts that meet in crowded keys: the tokens that are rarest among them decide (prefix filter)
-    tokens = S.materialize(sets.join(hot, "sig", "left_semi").mapInArrow(_tokens, "sig long, n long, key long"), "tokens")
-    seen_by = tokens.groupBy("key").agg(F.count("sig").alias("df"))
-    ranked = tokens.join(seen_by, "key").withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("df", "key")))
-    ranked = ranked.where("df > 1 and rank <= n - ceil(0.8 * n) + 1").select("key", "sig")
-    rare = S.materialize(_rows_of_open_keys(_named(ranked, roots), info), "rare")
+    S.discard(keyed)
+    pairs = _cross_pairs(rows_open.where(f"rest <= {CROWD}"))
+    crowded = rows_open.where(f"rest > {CROWD}").select("sig").distinct()
+    lanes = S.materialize(sets.join(crowded, "sig", "left_semi").mapInArrow(_all_lanes, "sig long, key long, band long, have long, need long"), "lanes")
+    rare = S.materialize(_rows_of_open_keys(_named(_rarest(lanes, roots), roots), info), "rare")
+    S.discard(lanes)
     pairs = pairs.unionByName(_cross_pairs(rare)).distinct()
 
     left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     near = pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a long, b long")
     near = S.materialize(near, "near")
+    S.discard(rows_open, rare)
     rest = S.materialize(_verified(near, sets), "rest")
-    S.discard(keyed, rows_open, tokens, rare, near, sets)
+    S.discard(near, sets)
     before, roots = roots, S.components(links.unionByName(rest))
     S.discard(links, rest, before)
     member = _named(classes.select("sig", "rep"), roots)

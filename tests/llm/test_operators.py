@@ -49,9 +49,9 @@ def shingles(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize(("hot", "stars"), [(1024, 3), (0, 1)])
-def test_jaccard_components(spark, near_texts, monkeypatch, hot, stars):
-    monkeypatch.setattr(jaccard_join, "HOT", hot)
+@pytest.mark.parametrize(("crowd", "stars"), [(32, 3), (0, 1)])
+def test_jaccard_components(spark, near_texts, monkeypatch, crowd, stars):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     monkeypatch.setattr(jaccard_join, "STARS", stars)
     sets = [shingles(t) for t in near_texts]
     root = list(range(len(sets)))
@@ -73,7 +73,7 @@ def test_jaccard_components(spark, near_texts, monkeypatch, hot, stars):
 
 def test_null_and_repeated_ids(spark, near_texts, monkeypatch):
     """Near copies and partial repeats are found whatever the ids of their rows are."""
-    monkeypatch.setattr(jaccard_join, "HOT", 0)
+    monkeypatch.setattr(jaccard_join, "CROWD", 0)
     monkeypatch.setattr(jaccard_join, "STARS", 1)
     some = near_texts[:80]
     named = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
