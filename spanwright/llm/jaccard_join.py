@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,10 +42,11 @@ from . import shared as S
 WORDS = 5
 FOLD = 8  # longs of the sketches that joins compare
 STARS = 3  # rounds in which each class meets one hub
-CROWD = 32  # rows of a key outside its main component, beyond which its texts turn to rarer lanes
+CROWD = 8  # rows of a key outside its main component, beyond which its texts turn to rarer lanes
 WITNESSED = 1 << 20  # shared keys that a task remembers to have sent to their partitions
 _U = np.uint64
 _FIELD = 40  # low bits of a sort key that order a lane's value
+_BAND = 31  # low bits of a key that name its size band
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, every: bool = False) -> pa.RecordBatch:
     """The lanes that the chosen texts must list, fullest first, or ``every`` lane: the text (its
-    number), the key, the band, how many lanes the text has there and how many it must list."""
+    number), the key (whose low bits are the band), and how many lanes of the band it need not list."""
     n = np.diff(bounds)
     out = []
     n64 = n.astype(np.int64)
@@ -138,9 +140,10 @@ def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, every: bool
                 owner, key = owner[order], key[order]
                 keep = S.ramp(have) < need[owner]
                 owner, key = owner[keep], key[keep]
-            out.append((mine[owner], key.view(np.int64), np.full(len(owner), k), have[owner], need[owner]))
-    out = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["text", "key", "band", "have", "need"])
+            key = key & ~_U(_BAND) | _U(k)
+            out.append((mine[owner], key.view(np.int64), (have - need)[owner].astype(np.int32)))
+    out = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["text", "key", "spare"])
 
 
 def _signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -163,27 +166,44 @@ def _describe(batches):
         )
 
 
+class _Listed:
+    """Rows (to, key, sig, spare, known) of lanes: ``to`` is the key, or any number where the key is
+    known to be shared, since two rows of this task go to the key's partition."""
+
+    def __init__(self):
+        self.told = np.zeros(0, np.int64)
+
+    def __call__(self, rows: pa.RecordBatch, sig: np.ndarray) -> pa.RecordBatch:
+        key, sig = rows.column("key").to_numpy(), sig[rows.column("text").to_numpy()]
+        order = np.lexsort((sig, key))
+        key, sig, spare = key[order], sig[order], rows.column("spare").to_numpy()[order]
+        place = S.ramp(np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))) if len(key) else key
+        known = place > 1
+        known[np.isin(key, self.told)] = True
+        self.told = np.union1d(self.told, key[place == 1])
+        if len(self.told) > WITNESSED:
+            self.told = self.told[:0]
+        to = np.where(known, S.mix(sig.view(_U) + key.view(_U), 15).view(np.int64), key)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (to, key, sig, spare, known)], ["to", "key", "sig", "spare", "known"])
+
+
 def _lanes(batches):
-    """Rows (to, key, sig): ``to`` is the key, or any number where the key is known to be shared."""
-    seen = np.zeros(0, np.int64)
-    told = np.zeros(0, np.int64)
+    seen, listed = np.zeros(0, np.int64), _Listed()
     for _, h, bounds in _texts(batches):
         sig = _signatures(h, bounds)
         _, fresh = np.unique(sig, return_index=True)
         fresh = np.sort(fresh[~np.isin(sig[fresh], seen) & (np.diff(bounds)[fresh] >= 4)])
         seen = np.union1d(seen, sig[fresh])  # eight bytes for each text of this task
-        rows = lane_keys(h, bounds, fresh)
-        key, sig = rows.column("key").to_numpy(), sig[rows.column("text").to_numpy()]
-        order = np.lexsort((sig, key))
-        key, sig = key[order], sig[order]
-        place = S.ramp(np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))) if len(key) else key
-        known = place > 1  # two rows of the key are witnesses of it
-        known[np.isin(key, told)] = True
-        told = np.union1d(told, key[place == 1])
-        if len(told) > WITNESSED:
-            told = told[:0]
-        to = np.where(known, S.mix(sig.view(_U) + key.view(_U), 15).view(np.int64), key)
-        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(key), pa.array(sig), pa.array(known)], ["to", "key", "sig", "known"])
+        yield listed(lane_keys(h, bounds, fresh), sig).drop_columns(["spare"])
+
+
+def _all_lanes(batches):
+    listed = _Listed()
+    for batch in batches:
+        sig = batch.column("sig").to_numpy()
+        for i in range(0, batch.num_rows, 64):
+            h, n = _longs(batch.column("shingles").slice(i, 64))
+            yield listed(lane_keys(h, np.concatenate([[0], np.cumsum(n)]), np.arange(len(n)), True), sig[i : i + 64])
 
 
 def _sets(batches):
@@ -200,39 +220,44 @@ def _sets(batches):
 
 def _shared_keys(batches):
     """Rows sorted by (to, key, sig): keeps those of keys of two or more classes."""
-    key = sig = None  # the last row, whose key may go on
-    hub = None
+    last = hub = None  # the last row, whose key may go on, and its key's first class
     emitted = True
     for batch in batches:
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        if known.any():
-            yield batch.filter(pa.array(known)).select(["key", "sig"])
-        k, s = (batch.column(c).to_numpy()[~known] for c in ("key", "sig"))
-        if not len(k):
+        known = batch.column("known")
+        batch = batch.drop_columns(["known"])
+        if pc.any(known).as_py():
+            yield batch.filter(known)
+            batch = batch.filter(pc.invert(known))
+        if not batch.num_rows:
             continue
-        if key is not None:
-            k, s = np.concatenate([[key], k]), np.concatenate([[sig], s])
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        k, s = (batch.column(c).to_numpy() for c in ("key", "sig"))
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        if key is not None:
+        if last is not None:
             fresh[0] = not emitted
         head = np.ones(len(k), bool)
         head[1:] = k[1:] != k[:-1]
         run = np.cumsum(head) - 1
         first = s[head]
-        if key is not None:
+        if last is not None:
             first[0] = hub
         many = np.zeros(run[-1] + 1, bool)
         np.logical_or.at(many, run, s != first[run])
         out = fresh & many[run]
         # the last row of a key waits if its key may still turn out to be shared
-        last_many = many[-1]
-        if not last_many:
-            out[-1] = False
-        emitted = bool(last_many)
-        key, sig, hub = k[-1], s[-1], first[-1]
+        emitted = bool(many[-1])
+        out[-1] &= emitted
+        last, hub = batch.slice(len(k) - 1), first[-1]
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(s[out])], ["key", "sig"])
+            yield batch.filter(pa.array(out))
+
+
+def _only_shared(lanes: DataFrame, columns: str) -> DataFrame:
+    """Rows of keys that several classes list, from rows of :class:`_Listed`."""
+    lanes = lanes.repartition("to").sortWithinPartitions("to", "key", "sig").drop("to")
+    return lanes.mapInArrow(_shared_keys, columns)
 
 
 def _longs(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -298,15 +323,6 @@ def _folded(batches):
         yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), *(pa.array(out[:, k]) for k in range(FOLD))], ["sig", "n", *(f"s{k}" for k in range(FOLD))])
 
 
-def _all_lanes(batches):
-    for batch in batches:
-        sig = batch.column("sig").to_numpy()
-        for i in range(0, batch.num_rows, 64):
-            h, n = _longs(batch.column("shingles").slice(i, 64))
-            rows = lane_keys(h, np.concatenate([[0], np.cumsum(n)]), np.arange(len(n)), True)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[i + rows.column("text").to_numpy()]), *rows.columns[1:]], ["sig", "key", "band", "have", "need"])
-
-
 def _rows_of_open_keys(rows: DataFrame, info: DataFrame) -> DataFrame:
     """Rows (key, sig, root) of keys with several components, with what a pair's test needs; ``out``
     is true outside the key's most frequent component, ``rest`` counts those rows."""
@@ -330,15 +346,14 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _rarest(lanes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, sig): of each text's lanes in a band the ``need`` that are in the fewest components, as
-    far as several components share them."""
-    spread = _named(lanes.select("key", "sig"), roots).groupBy("key").agg(F.count_distinct("root").alias("df")).where("df > 1")
-    shared = lanes.join(spread, "key")
-    mine = W.partitionBy("sig", "band")
-    # the lanes that no other component has are the rarest, and are not listed
-    shared = shared.withColumn("alone", F.col("have") - F.count("key").over(mine))
-    shared = shared.withColumn("nth", F.row_number().over(mine.orderBy("df", "key")))
-    return shared.where("alone + nth <= need").select("key", "sig").distinct()
+    """(key, sig) from all shared lanes of some texts: of each text's lanes in a band those that it
+    must list if lanes in the fewest components come first.  Lanes that it shares with none come
+    before all these and are not in ``lanes``; it need not list the ``spare`` last ones."""
+    named = _named(lanes, roots)
+    spread = named.groupBy("key").agg(F.count_distinct("root").alias("df"))
+    mine = W.partitionBy("sig", F.col("key").bitwiseAND(_BAND)).orderBy(F.desc("df"), F.desc("key"))
+    ranked = named.join(spread, "key").withColumn("last", F.row_number().over(mine))
+    return ranked.where("last > spare and df > 1").select("key", "sig").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,8 +372,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = classes.mapInArrow(_folded, "sig long, n long, " + ", ".join(f"s{k} long" for k in range(FOLD)))
 
     lanes = texts.select("doc_id", "text").mapInArrow(_lanes, "to long, key long, sig long, known boolean")
-    lanes = lanes.repartition("to").sortWithinPartitions("to", "key", "sig").select("key", "sig", "known")
-    keyed = S.materialize(lanes.mapInArrow(_shared_keys, "key long, sig long"), "keys")
+    keyed = S.materialize(_only_shared(lanes, "key long, sig long"), "keys")
     wanted = keyed.select("sig").distinct().join(classes, "sig").select(F.col("at.doc_id").alias("at_id"), F.col("at.t").alias("at_t"), "copies")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("t") == F.col("at_t")))
     sets, again = (found.where(c).select("doc_id", "text").mapInArrow(_sets, "sig long, shingles binary") for c in ("copies = 1", "copies > 1"))
@@ -387,7 +401,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     S.discard(keyed)
     pairs = _cross_pairs(rows_open.where(f"rest <= {CROWD}"))
     crowded = rows_open.where(f"rest > {CROWD}").select("sig").distinct()
-    lanes = S.materialize(sets.join(crowded, "sig", "left_semi").mapInArrow(_all_lanes, "sig long, key long, band long, have long, need long"), "lanes")
+    lanes = sets.join(crowded, "sig", "left_semi").mapInArrow(_all_lanes, "to long, key long, sig long, spare int, known boolean")
+    lanes = S.materialize(_only_shared(lanes, "key long, sig long, spare int"), "lanes")
     rare = S.materialize(_rows_of_open_keys(_named(_rarest(lanes, roots), roots), info), "rare")
     S.discard(lanes)
     pairs = pairs.unionByName(_cross_pairs(rare)).distinct()
