@@ -54,9 +54,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 # Last bytes of the UTF-8 forms of white space beyond ASCII, and ASCII white space: no cut after these.
@@ -86,7 +84,8 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     """Ids of texts.  The byte-level pre-tokens never span from a visible character into white
-    space, so a text may be cut there and the pieces encoded on their own, each distinct one once."""
+    space, so a text may be cut there and the pieces encoded on their own, each distinct one once.
+    A special string that a text spells is one id, as the tokenizer says; it has no white space."""
 
     def __init__(self, path: str):
         self.path = path

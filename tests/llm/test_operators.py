@@ -156,9 +156,11 @@ def test_media_member_is_read_again(tmp_path, monkeypatch):
 
 
 def test_packing(spark):
-    texts = [*ODD, *("Sentence number %d is here. " % i * (i % 40) for i in range(120))]
+    texts = [*ODD, "hello <|endoftext|> world", *("Sentence number %d is here. " % i * (i % 40) for i in range(120))]
     rows = packing.pack(frame(spark, texts)).toPandas()
-    tokenizer = packing._tokenizer(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     for (i,), part in rows.sort_values("start").groupby(["doc_id"]):
         ids = tokenizer.encode(texts[i] or "", add_special_tokens=False).ids + [0]
         assert part.start.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() == len(ids) == part.doc_tokens.iloc[0]
@@ -185,6 +187,20 @@ def test_pieces_of_white_space_keep_their_ids():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [want[i] for i in order]
 
 
+def test_special_strings_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert special and not any(c.isspace() for t in special for c in t)
+    for t in special:
+        for text in (t, f"hello {t} world", f"a{t}b", f"{t}{t}", f" {t}\n{t} ", f"{t[:-1]} {t}"):
+            raw = text.encode()
+            ids, _, _ = packing.Encoder(path).encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [packing.END]
+
+
 def test_packing_is_cheapest():
     r = np.random.default_rng(1)
     for _ in range(20):
