@@ -269,9 +269,53 @@ def test_lm_scores_do_not_hang_on_what_is_broadcast(spark, small, monkeypatch):
 
 
 def test_mixed_bits_are_a_distribution():
-    mixer = lm_scoring.Mixer(np.random.default_rng(0).integers(0, 5, (2, int(lm_scoring._BASE[-1]))).astype(np.float32))
+    r = np.random.default_rng(0)
+    code = lm_scoring.prefix_code(r.integers(0, 900, 256))
+    assert sum(2.0 ** -float(n) for n in code[1]) == 1
+    mixer = lm_scoring.Mixer(code, r.integers(0, 5, (2, lm_scoring._SIZE)).astype(np.float32))
+    mixer.map = r.normal(0, 0.3, mixer.map.shape).astype(np.float32)
     symbols = np.arange(256, dtype=np.uint8)
-    assert np.exp2(mixer.word_scores(symbols, np.arange(257))).sum() == pytest.approx(1, rel=1e-4)
+    for kind in (0, lm_scoring.CLASSES):
+        assert np.exp2(mixer.word_scores(symbols, np.arange(257), np.full(256, kind))).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_beats_its_base_on_unseen_texts(spark):
+    got = queries()["op6_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    model, base = (-got[f"sum({k})"] / math.log10(2) / got["sum(n_tokens)"] for k in ("score", "base_score"))
+    assert model < base - 0.5
+
+
+def test_phrases_of_the_other_texts(spark):
+    """Against a dictionary: a phrase foretells a word where the other training texts agree on it."""
+    r = random.Random(4)
+    words = ["w%d" % k for k in range(12)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 300))) for _ in range(30)]
+    texts += [texts[3], texts[4], *ODD]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mine = docs.where("doc_id % 3 <> 0")
+    got = {x.doc_id: x for x in lm_scoring.lm_scores(docs, mine, docs.doc_id % 3 != 0).collect()}
+    split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    n_kept = {}
+    for t in split:  # which contexts count is the operator's choice, by their hash
+        for i in range(3, len(t)):
+            n_kept[tuple(t[i - 3 : i])] = None
+    raw = [" ".join(c + ("x",)).encode() for c in n_kept]
+    seen = lm_scoring.Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), False)
+    at, _ = seen.phrases()
+    kept = {c for k, c in enumerate(n_kept) if 4 * k + 3 in set(at.tolist())}
+    assert 0 < len(kept) < len(n_kept)
+    follow = defaultdict(Counter)
+    for k, t in enumerate(split):
+        if k % 3:
+            for i in range(3, len(t)):
+                follow[tuple(t[i - 3 : i])][t[i]] += 1
+    for k, t in enumerate(split):
+        asked = [(tuple(t[i - 3 : i]), t[i]) for i in range(3, len(t)) if tuple(t[i - 3 : i]) in kept]
+        hits = 0
+        for c, w in asked:
+            left = follow[c] - Counter([w]) if k % 3 else follow[c]
+            hits += len(follow[c]) == 1 and set(left) == {w}
+        assert (got[k].n_phrases, got[k].n_foretold) == (len(asked), hits), k
 
 
 def test_mix(spark):
