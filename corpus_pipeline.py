@@ -5,7 +5,7 @@ again as the next stage's ``docs``.  All but the last return the columns of ``do
 
 1. language: documents that no learnt language model accepts go; the rest keep their rows;
 2. near_duplicates: of each group that links of Jaccard 0.8 over five-word shingles reach, the
-   document of the smallest id stays (one of equal rows);
+   document of the smallest id stays (one of equal rows), and texts without words stay;
 3. repeats: bytes of strings of 400 bytes that also stand elsewhere are cut out, and a text that is
    nothing but such strings goes;
 4. mix: each source comes near its target weight; a row is what one pass of the mix takes of a text;
@@ -16,16 +16,17 @@ Any stage may get an empty table, null texts, repeated rows and further columns,
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwright.llm import jaccard_join, language_id, packing, repeat_index, shared, source_mix
 
 
-_left: list[str] = []  # tables that the stage before wrote on its way
+_left = threading.local()  # of each thread: tables that its stage before wrote on its way, by corpus
 
 
 def _alone(stage):
@@ -33,9 +34,10 @@ def _alone(stage):
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared.small_batches(spark)
-        shared.remove(spark, _left)
-        _left.clear()
-        with shared.recorded(_left):
+        left = vars(_left).setdefault(f"{spark.sparkContext.applicationId} {sf_dir}", [])
+        shared.remove(spark, left)
+        left.clear()
+        with shared.recorded(left):
             return stage(spark, docs, sf_dir)
 
     return run
@@ -43,29 +45,19 @@ def _alone(stage):
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").where(shared.crc_mod("doc_id", 4) != 2)
-    identifier = language_id.fit(known)
-    columns = docs.columns
-    ok = language_id.identify(docs, identifier).where("accepted").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ok, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*columns)
+    return language_id.accepted(docs, language_id.fit(known))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    groups = jaccard_join.jaccard_classes(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*columns))
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    # after the stage before, an id names one row
-    kept = repeat_index.without_repeats(docs).where("n_removed < n_bytes or n_bytes = 0")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    kept = repeat_index.with_kept(docs).where("__removed < __bytes or __bytes = 0")
     # a cut inside a character leaves bytes that are no text: they become replacement characters
     text = F.when(F.col("__removed") == 0, F.col("text")).otherwise(F.expr("make_valid_utf8(cast(__kept as string))"))
-    return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*columns)
+    return kept.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*columns)
 
 
 def _taken(batches):

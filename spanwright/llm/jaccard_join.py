@@ -357,7 +357,8 @@ def _rarest(lanes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, sig): component_id is the smallest id that links reach."""
+    """(doc_id, n_shingles, component_id, sig, root, t): component_id is the smallest id that links
+    reach, root names the component (null without words), t is the text's hash."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ids may be null or repeated: a row is found again by its id and the hash of its text
     texts = texts.withColumn("t", F.xxhash64("text"))
@@ -418,14 +419,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     S.discard(links, rest, before)
     member = _named(classes.select("sig", "rep"), roots)
     smallest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_sig = member.join(smallest, "root").select("sig", "component_id")
+    by_sig = member.join(smallest, "root").select("sig", "root", "component_id")
     return (
-        rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig"))
+        rows.select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig"))
         .join(by_sig, "sig", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "sig")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "sig", "root", "t")
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns kept: of each component the row of
+    the smallest id (null last), of equal ids the one of the smallest text hash, of rows that are
+    equal in both one.  Texts without words are nobody's duplicates."""
+    columns = docs.columns
+    worded = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("m")
+    stay = jaccard_classes(docs, id_col, text_col).where("root is not null").groupBy("root").agg(first)
+    stay = stay.select(F.col("m.doc_id").alias("__id"), F.col("m.t").alias("__t")).distinct()
+    rows = docs.where(worded).withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
+    rows = rows.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")))
+    rest = F.xxhash64(F.to_json(F.struct(*(c for c in columns if c != text_col))))
+    nth = F.row_number().over(W.partitionBy("__id", "__t").orderBy(rest))
+    return rows.withColumn("__nth", nth).where("__nth = 1").select(*columns).unionByName(docs.where(~worded))
+
+
 def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds the component ``root`` of ``sig``; a class without links is its own."""
     return rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))

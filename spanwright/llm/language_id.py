@@ -54,26 +54,32 @@ class Identifier:
     def __init__(self, model: CharModel | None, limit: np.ndarray | None):
         self.model, self.limit = model, limit
 
+    def memory(self) -> S.Remembered | None:
+        return S.Remembered(len(self.model.labels)) if self.model else None
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = S.Remembered(len(self.model.labels)) if self.model else None
+        memory = self.memory()
         for batch in batches:
-            data, off = S.byte_view(batch.column(1))
-            for i, j in S.rounds(off):
-                ids, part = batch.column(0).slice(i, j - i), data[off[i] : off[j]]
-                if not self.model:
-                    pred, score, ok = ["und"] * (j - i), np.zeros(j - i), np.zeros(j - i, bool)
-                else:
-                    h, n = entropies(self.model, memory, part, off[i : j + 1] - off[i])
-                    best = h.argmin(axis=1)
-                    low = h[np.arange(len(h)), best]
-                    score = 1 / np.exp2(-SHARPNESS * (h - low[:, None])).sum(axis=1)
-                    for t in np.flatnonzero((n > 0) & ~_ascii_letters(part, off[i : j + 1] - off[i])):
-                        if not any(c.isalpha() for c in (batch.column(1)[i + int(t)].as_py() or "")):
-                            n[t] = 0  # only signs beyond ASCII
-                    ok = (n > 0) & (low <= self.limit[best])
-                    pred = [self.model.labels[b] if k else "und" for b, k in zip(best, n, strict=True)]
-                    score = np.where(n > 0, score, 0.0)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score), pa.array(ok)], ["doc_id", "lang_pred", "score", "accepted"])
+            yield from self.predicted(batch.column(0), batch.column(1), memory)
+
+    def predicted(self, names: pa.Array, texts: pa.Array, memory: S.Remembered | None) -> Iterator[pa.RecordBatch]:
+        data, off = S.byte_view(texts)
+        for i, j in S.rounds(off):
+            part = data[off[i] : off[j]]
+            if not self.model:
+                pred, score, ok = ["und"] * (j - i), np.zeros(j - i), np.zeros(j - i, bool)
+            else:
+                h, n = entropies(self.model, memory, part, off[i : j + 1] - off[i])
+                best = h.argmin(axis=1)
+                low = h[np.arange(len(h)), best]
+                score = 1 / np.exp2(-SHARPNESS * (h - low[:, None])).sum(axis=1)
+                for t in np.flatnonzero((n > 0) & ~_ascii_letters(part, off[i : j + 1] - off[i])):
+                    if not any(c.isalpha() for c in (texts[i + int(t)].as_py() or "")):
+                        n[t] = 0  # only signs beyond ASCII
+                ok = (n > 0) & (low <= self.limit[best])
+                pred = [self.model.labels[b] if k else "und" for b, k in zip(best, n, strict=True)]
+                score = np.where(n > 0, score, 0.0)
+            yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.array(pred, pa.string()), pa.array(score), pa.array(ok)], ["doc_id", "lang_pred", "score", "accepted"])
 
 
 def _ascii_letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -116,6 +122,19 @@ def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", te
     )
 
 
+def accepted(docs: DataFrame, identifier: Identifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, all columns kept, in the pass that reads them."""
+    text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = identifier.memory()
+        for batch in batches:
+            found = [b.column("accepted") for b in identifier.predicted(batch.column(text), batch.column(text), memory)]
+            yield batch.filter(pa.chunked_array(found, pa.bool_()).combine_chunks())
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     identifier = fit(docs.where(S.crc_mod("doc_id", 4) != 2))

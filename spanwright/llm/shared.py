@@ -101,11 +101,14 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+_OTHER = mix(np.arange(256, dtype=np.uint64), 99)  # values of bytes for a second, independent hash
+
+
+def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
     """Running polynomial sums: the hash of any range is one difference and one product."""
     up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    np.cumsum((_OTHER[data] if other else data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
     return out
 
 

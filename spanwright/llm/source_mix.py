@@ -72,14 +72,20 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def split(counts: np.ndarray, take: int, seed: tuple) -> np.ndarray:
-    """How many of ``take`` slots drawn without return fall to each source."""
-    total = int(counts.sum())
-    if total < 10**9:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
-    part = counts * (take / total)  # so many that the draw's spread is lost in the rounding
-    out = np.floor(part).astype(np.int64)
-    out[np.argsort(out - part)[: take - int(out.sum())]] += 1
-    return np.minimum(out, counts)
+    """How many of ``take`` slots drawn without return fall to each source: one hypergeometric draw
+    for each source from what the ones before left."""
+    random = np.random.default_rng(seed)
+    out, total, left = np.zeros_like(counts), int(counts.sum()), take
+    for i, own in enumerate(map(int, counts)):
+        rest = total - own
+        if total < 10**9:
+            n = int(random.hypergeometric(own, rest, left)) if total else 0
+        else:  # beyond numpy's range the same draw by its normal limit
+            share = own / total
+            spread = (left * share * (1 - share) * (total - left) / (total - 1)) ** 0.5
+            n = int(min(max(round(left * share + spread * random.standard_normal()), left - rest, 0), own, left))
+        out[i], total, left = n, rest, left - n
+    return out
 
 
 def shard_counts(counts: np.ndarray, lo: int, hi: int, seed: int = SEED, size: int = SHARD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -218,7 +218,9 @@ def test_packing_is_cheapest():
         assert n - at < size and cost == best[at]
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("group", [1 << 14, 1])
+def test_repeats(spark, monkeypatch, group):
+    monkeypatch.setattr(repeat_index, "GROUP", group)
     r = random.Random(3)
     rb = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     a, b, c, base = rb(450), rb(400), rb(399), rb(2500)
