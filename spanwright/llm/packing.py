@@ -38,7 +38,7 @@ SENTENCE_CUT, INNER_CUT = 2, 6
 #: Tokens that are packed together at least, before the rest is cut at powers of two.
 STREAM_TOKENS = 1 << 19
 #: Pieces of text whose ids are remembered at most, for each Python worker.
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 
 
 def default_tokenizer() -> str:

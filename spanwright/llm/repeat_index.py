@@ -86,8 +86,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gram = S.range_hash(sums, at, at + GRAM)
             context = [S.mix(S.range_hash(x, lo, hi) + (at - lo).astype(_U), 51) for x in (sums, S.prefix_hash(part, True))]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in (gram, *context)), batch.column("t").slice(i, j - i).take(pa.array(text)), pa.array(at - edges[text])],
-                ["anchor", "context", "context2", "t", "pos"],
+                [*(pa.array(x.view(np.int64)) for x in (gram, *context)), batch.column("t").slice(i, j - i).take(pa.array(text)), pa.array(at - edges[text]), pa.array((hi - at).astype(np.int32))],
+                ["anchor", "context", "context2", "t", "pos", "after"],
             )
 
 
@@ -278,18 +278,17 @@ def with_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("t"))
     rows = S.materialize(texts.select("doc_id", "t", F.octet_length("text").alias("n")), "rows")
-    classes = S.materialize(rows.groupBy("t").agg(F.count("n").alias("copies"), F.max("n").alias("n"), F.min("doc_id").alias("rep")), "texts")
+    classes = S.materialize(rows.groupBy("t").agg(F.count("n").alias("copies"), F.min("doc_id").alias("rep")), "texts")
 
     long_texts = texts.where(F.octet_length("text") >= LENGTH).select("t", "text")
-    places = S.materialize(long_texts.mapInArrow(_anchor_rows, "anchor long, context long, context2 long, t binary, pos long"), "anchors")
+    places = S.materialize(long_texts.mapInArrow(_anchor_rows, "anchor long, context long, context2 long, t binary, pos long, after int"), "anchors")
     place, context = F.struct("t", "pos"), ["anchor", "context", "context2"]
     contexts = places.groupBy(*context).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     contexts = contexts.select(*context, "lo", (F.col("lo") != F.col("hi")).alias("whole"))
     crowds = contexts.groupBy("anchor").agg(F.count("context").alias("kinds"), F.max("whole").alias("any")).where("kinds > 1 or any")
     contexts = S.materialize(contexts.join(crowds, "anchor"), "contexts")
-    whole = places.join(contexts.where("whole").select(*context), context).select("t", "pos").distinct()
-    whole = whole.join(classes.where("copies = 1").select("t", "n"), "t")
-    whole = whole.select("t", F.greatest(F.lit(0), F.col("pos") - LEFT).alias("start"), F.least("n", F.col("pos") + LENGTH).alias("end"))
+    whole = places.join(contexts.where("whole").select(*context), context).select("t", "pos", "after").distinct()
+    whole = whole.select("t", F.greatest(F.lit(0), F.col("pos") - LEFT).alias("start"), (F.col("pos") + F.col("after")).alias("end"))
 
     crowded = F.col("kinds") > GROUP
     wanted = contexts.where("kinds > 1").select("lo.t", F.struct("anchor", "lo.pos", "whole", crowded.alias("crowded")).alias("w"))

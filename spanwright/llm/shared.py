@@ -13,7 +13,7 @@ from ..sources import tables
 from ..sources.tables import discard, new_folder, recorded, remove, shared_dir  # noqa: F401
 
 #: Bytes of text that are handled by one round of numpy calls; a longer text is a round of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Texts in a round at most: 12 bits of a 64-bit sort key name the text, 52 hold the hash.
 CHUNK_DOCS = 1 << 12
 HASH_BITS = 52
