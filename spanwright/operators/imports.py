@@ -65,3 +65,109 @@ def inherited_members(types: DataFrame, closure: DataFrame, members: DataFrame)
     own = members.select("type", "name")
     up = closure.join(members.withColumnRenamed("type", "super"), "super").select("type", "name", "member").distinct()
     return up.join(own, ["type", "name"], "left_anti").join(types.select("type"), "type", "left_semi")
+
+
+def member_types(decls: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(outer_source, outer_id, name, decl_id): the types declared in each type's body; of a name the
+    first declaration."""
+    owner = scopes.where("owner_id is not null").select("source", "scope_id", F.col("owner_id").alias("outer_id"))
+    rows = decls.where("kind = 'TYPE' and name is not null").join(owner, ["source", "scope_id"])
+    return rows.groupBy(F.col("source").alias("outer_source"), "outer_id", "name").agg(F.min("decl_id").alias("decl_id"))
+
+
+def resolve_qualified(refs: DataFrame, heads: DataFrame, members: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Qualified names (source, ref_id, name).  ``heads`` are the candidates of their first segments as
+    types in scope: one such type obscures a package of the name, and the other segments are its
+    members, one join for each; several leave the name without a target.  Otherwise the whole name is
+    that of a package and a type."""
+    parts = refs.withColumn("_path", F.split("name", "[.]"))
+    head = heads.select("source", "ref_id", "target_source", "target_id").distinct()
+    head = head.groupBy("source", "ref_id").agg(F.count("target_id").alias("_n"), F.min(F.struct("target_source", "target_id")).alias("_t"))
+    known = parts.join(head, ["source", "ref_id"])
+    at = known.where("_n = 1").select("source", "ref_id", "_path", "_t.target_source", "_t.target_id")
+    longest = at.agg(F.coalesce(F.max(F.size("_path")), F.lit(1))).first()[0]
+    inner = members.select(F.col("outer_source").alias("target_source"), F.col("outer_id").alias("target_id"), F.col("name").alias("_segment"), F.col("decl_id").alias("_next"))
+    for k in range(1, longest):
+        on = at.withColumn("_segment", F.get("_path", F.lit(k))).where("_segment is not null")
+        on = on.join(inner, ["target_source", "target_id", "_segment"]).select("source", "ref_id", "_path", "target_source", F.col("_next").alias("target_id"))
+        at = at.where(F.size("_path") <= k).unionByName(on)
+    columns = ["source", "ref_id", "target_source", "target_id"]
+    whole = canonical.select(F.col("canonical").alias("name"), F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))
+    named = parts.join(head, ["source", "ref_id"], "left_anti").join(whole, "name")
+    return at.select(*columns).unionByName(named.select(*columns))
+
+
+def access_limits(types: DataFrame, outers: DataFrame) -> DataFrame:
+    """(source, decl_id, to_package, to_top): whether a type is seen only in its package or only in its
+    top-level type, by its own ``access`` and that of every type around it (``outers``: source, decl_id,
+    outer_id over any number of steps).  Package and top-level type are the same all along the path,
+    so the strictest step decides."""
+    steps = outers.select("source", "decl_id", F.col("outer_id").alias("step")).unionByName(types.select("source", "decl_id", F.col("decl_id").alias("step")))
+    steps = steps.join(types.select("source", F.col("decl_id").alias("step"), "access"), ["source", "step"])
+    return steps.groupBy("source", "decl_id").agg(
+        F.max(F.col("access").isin("PACKAGE", "PROTECTED", "PRIVATE")).alias("to_package"), F.max(F.col("access") == "PRIVATE").alias("to_top")
+    )
+
+
+def inaccessible(hits: DataFrame, limits: DataFrame, files: DataFrame, tops: DataFrame) -> DataFrame:
+    """Targets (source, ref_id, target_source, target_id, top_id: the reference's top-level type) that
+    may not be named where they are.  ``tops`` (source, decl_id, top_id) names types' top-level types."""
+    rule = limits.join(tops.withColumnRenamed("top_id", "target_top"), ["source", "decl_id"]).withColumnRenamed("source", "target_source").withColumnRenamed("decl_id", "target_id")
+    here, there = files.select("source", F.col("package").alias("_here")), files.select(F.col("source").alias("target_source"), F.col("package").alias("_there"))
+    rows = hits.join(rule, ["target_source", "target_id"]).join(here, "source").join(there, "target_source")
+    same_top = (F.col("source") == F.col("target_source")) & F.col("top_id").eqNullSafe(F.col("target_top"))
+    barred = (F.col("to_package") & ~F.col("_here").eqNullSafe(F.col("_there"))) | (F.col("to_top") & ~same_top)
+    return rows.where(barred).select("source", "ref_id", "target_source", "target_id")
+
+
+def resolve_static_imports(refs: DataFrame, imports: DataFrame, canonical: DataFrame, static_types: DataFrame) -> DataFrame:
+    """Static member types of the name that single static imports or, where there is none of the name,
+    on-demand static imports bring; a type reached twice counts once."""
+    static = canonical.join(static_types.select("source", "decl_id"), ["source", "decl_id"], "left_semi")
+    target = static.select("canonical", package_of("canonical").alias("parent"), simple_name("canonical").alias("name"), F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))
+    one = imports.where("kind = 'STATIC'").select("source", F.col("name").alias("canonical")).distinct().join(target, "canonical")
+    wide = imports.where("kind = 'STATIC_ON_DEMAND'").select("source", F.col("name").alias("parent")).distinct().join(target, "parent")
+    wide = wide.join(one.select("source", "name").distinct(), ["source", "name"], "left_anti")
+    brought = one.select("source", "name", "target_source", "target_id").unionByName(wide.select("source", "name", "target_source", "target_id")).distinct()
+    return refs.join(brought, ["source", "name"]).select("source", "ref_id", "target_source", "target_id")
+
+
+def invalid_static_imports(imports: DataFrame, canonical: DataFrame, static_members: DataFrame) -> DataFrame:
+    """Single static imports of a type that exists but has no static member (canonical of the type,
+    name) of that name."""
+    asked = imports.where("kind = 'STATIC'").select("source", "ord", "name", package_of("name").alias("type"), simple_name("name").alias("member"))
+    there = asked.join(canonical.select(F.col("canonical").alias("type")).distinct(), "type", "left_semi")
+    has = static_members.select(F.col("canonical").alias("type"), F.col("name").alias("member")).distinct()
+    return there.join(has, ["type", "member"], "left_anti").select("source", "ord", "name")
+
+
+def illegal_type_parameter_uses(refs: DataFrame, hits: DataFrame, decls: DataFrame) -> DataFrame:
+    """References in a static context (in_static) that mean a type parameter."""
+    params = decls.where("kind = 'TYPE_PARAM'").select(F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))
+    bad = hits.join(params, ["target_source", "target_id"], "left_semi").select("source", "ref_id").distinct()
+    return refs.where("in_static").join(bad, ["source", "ref_id"], "left_semi").select("source", "ref_id", "name")
+
+
+def read_modules(requires: DataFrame, materialize) -> DataFrame:
+    """(module, reads): itself, what it requires, and what those require transitively (module, needs,
+    transitive).  Rounds until nothing is new."""
+    onward = supertypes(requires.where("transitive").select(F.col("module").alias("type"), F.col("needs").alias("super")), materialize)
+    direct = requires.select("module", F.col("needs").alias("reads"))
+    further = direct.join(onward.select(F.col("type").alias("reads"), F.col("super").alias("_next")), "reads").select("module", F.col("_next").alias("reads"))
+    every = requires.select("module").unionByName(requires.select(F.col("needs").alias("module"))).distinct()
+    return direct.unionByName(further).unionByName(every.select("module", F.col("module").alias("reads"))).distinct()
+
+
+def resolve_module_imports(refs: DataFrame, imports: DataFrame, modules: DataFrame, reads: DataFrame, exports: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates from module imports (source, module), and the imports of modules that the file's own
+    one (``modules``: source, module) does not read.  A module brings the packages that it and what it
+    reads export (exports: module, package); a type that two ways bring counts once."""
+    mine = modules.withColumnRenamed("module", "own")
+    asked = imports.select("source", "module").distinct().join(mine, "source", "left")
+    seen = reads.select(F.col("module").alias("own"), F.col("reads").alias("module"))
+    unread = asked.where("own is not null").join(seen, ["own", "module"], "left_anti").select("source", "module")
+    opened = asked.join(unread, ["source", "module"], "left_anti").join(reads, "module").select("source", F.col("reads").alias("module")).distinct()
+    opened = opened.join(exports, "module").select("source", F.col("package").alias("parent")).distinct()
+    target = canonical.select(package_of("canonical").alias("parent"), simple_name("canonical").alias("name"), F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))
+    names = refs.select("source", "name").distinct().join(opened, "source").join(target, ["parent", "name"]).select("source", "name", "target_source", "target_id").distinct()
+    return refs.join(names, ["source", "name"]).select("source", "ref_id", "target_source", "target_id"), unread

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 def drop_noop_deletes(log: DataFrame) -> DataFrame:
     """A delete of a key that was never put is no row; later deletes are tombstones.  Comes before
-    :func:`compact_same_revision`: a put and a delete in one revision still make the key known."""
-    before = W.partitionBy("key").orderBy("revision", "seq").rowsBetween(W.unboundedPreceding, -1)
-    known = F.coalesce(F.max(~F.col("deleted")).over(before), F.lit(False))
-    return log.withColumn("_known", known).where("not deleted or _known").drop("_known")
+    :func:`compact_same_revision`: a put and a delete in one revision still make the key known.  Puts
+    stay where they are; deletes meet each key's first put, which is aggregated map side first."""
+    puts = log.where("not deleted")
+    first = puts.groupBy("key").agg(F.min(F.struct("revision", "seq")).alias("_first"))
+    known = log.where("deleted").join(first, "key").where(F.struct("revision", "seq") > F.col("_first"))
+    return puts.unionByName(known.drop("_first"))
 
 
 def compact_same_revision(log: DataFrame) -> DataFrame:
@@ -68,10 +70,12 @@ def assign_revisions(events: DataFrame, order: str = "seq") -> DataFrame:
 
 def vacuum(log: DataFrame, oldest_in_use: int) -> DataFrame:
     """Drops a version if a newer one of its key is no younger than ``oldest_in_use``, and a
-    surviving tombstone if nothing older is left below it."""
-    order = W.partitionBy("key").orderBy("revision")
-    kept = log.withColumn("_next", F.lead("revision").over(order)).where(F.col("_next").isNull() | (F.col("_next") > oldest_in_use)).drop("_next")
-    return kept.where(~(F.col("deleted") & (F.col("revision") <= oldest_in_use)))
+    surviving tombstone if nothing older is left below it.  Younger versions stay where they are; of
+    the others each key's newest is aggregated map side first, so a hot key is never gathered."""
+    young = log.where(F.col("revision") > oldest_in_use)
+    last = F.max_by(F.struct(*[c for c in log.columns if c != "key"]), F.struct("revision", "seq")).alias("r")
+    old = log.where(F.col("revision") <= oldest_in_use).groupBy("key").agg(last).where("not r.deleted").select("key", "r.*")
+    return young.unionByName(old.select(*log.columns))
 
 
 def stale_index_rows(index: DataFrame, log: DataFrame) -> DataFrame:
@@ -92,6 +96,8 @@ def in_search_scope(df: DataFrame, visible: DataFrame | None) -> DataFrame:
     return df if visible is None else df.join(visible.select("source"), "source", "left_semi")
 
 
-def replace_contribution(current: DataFrame, new: DataFrame) -> DataFrame:
-    """A source's rows in ``new`` replace all that it declared before."""
-    return current.join(new.select("source").distinct(), "source", "left_anti").unionByName(new)
+def replace_contribution(current: DataFrame, new: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """A source's rows in ``new`` replace all that it declared before; a source listed in ``sources``
+    (source) that has none there declares nothing any more."""
+    told = new.select("source") if sources is None else new.select("source").unionByName(sources.select("source"))
+    return current.join(told.distinct(), "source", "left_anti").unionByName(new)

@@ -4,10 +4,13 @@ field, a local, a method and references to them."""
 
 from __future__ import annotations
 
+import contextvars
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import materialize
+
 BASE = ("customer", "orders", "lineitem", "events")
 
 VIEWS = {
@@ -47,6 +50,24 @@ UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 1, 'FIELD_ACCESS', concat(
        obase + n * 1000 + 250, obase + n * 1000 + 255, obase + n * 1000 + 253 FROM li WHERE l_linenumber <> 1
 UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 2, 'METHOD_CALL', concat('m', l_suppkey % 4), l_orderkey * 1000 + n * 10 + 1, l_orderkey * 100 + 1 + n,
        obase + n * 1000 + 250, obase + n * 1000 + 258, obase + n * 1000 + 256 FROM li WHERE l_linenumber > 2""",
+    "g_inner": """
+SELECT source, l_orderkey * 1000 + 400 + n AS decl_id, concat('I', n % 3) AS name, l_orderkey * 100 + 1 AS scope_id, l_orderkey * 1000 AS outer_id,
+       l_partkey % 2 = 0 AS is_static, CASE l_suppkey % 4 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'PROTECTED' WHEN 2 THEN 'PACKAGE' ELSE 'PRIVATE' END AS access,
+       obase + n * 1000 + 500 AS start_at FROM li""",
+    "g_qrefs": """
+SELECT source, l_orderkey * 1000 + 500 + n AS ref_id, l_orderkey * 100 + 1 + n AS scope_id,
+       CASE WHEN n % 2 = 0 THEN concat('T', l_suppkey % 60, '.I', l_partkey % 3)
+            ELSE concat('p.n', l_suppkey % 25, '.s', l_orderkey % 20, '.T', l_partkey % 40, '.I', l_partkey % 3) END AS name FROM li""",
+    "g_statics": """
+SELECT source, l_orderkey * 100 + n AS ord, concat('p.n', l_suppkey % 25, '.s', l_orderkey % 20, '.T', l_partkey % 40,
+       CASE WHEN n % 2 = 0 THEN concat('.I', l_suppkey % 4) ELSE '' END) AS name,
+       CASE WHEN n % 2 = 0 THEN 'STATIC' ELSE 'STATIC_ON_DEMAND' END AS kind FROM li""",
+    "g_irefs": """
+SELECT source, l_orderkey * 1000 + 600 + n AS ref_id, l_orderkey * 100 + 1 + n AS scope_id, concat('I', l_partkey % 3) AS name,
+       obase + n * 1000 + 250 AS at, l_linenumber % 2 = 0 AS in_static FROM li""",
+    "g_locals": """
+SELECT source, l_orderkey * 1000 + 700 + n AS decl_id, CASE WHEN l_linenumber % 3 = 0 THEN 'TYPE_PARAM' ELSE 'TYPE' END AS kind, concat('I', l_suppkey % 3) AS name,
+       l_orderkey * 100 + 1 + n AS scope_id, l_linenumber % 3 <> 0 AS is_local, obase + n * 1000 + 10 * CAST(l_quantity AS BIGINT) AS start_at FROM li""",
     "g_versions": """
 SELECT concat('u', user_id) AS key, CAST(date_part('day', ts) * 24 + date_part('hour', ts) AS BIGINT) AS revision, event_id AS seq,
        event_type = 'error' AS deleted, CASE WHEN event_type <> 'error' THEN value END AS value FROM events""",
@@ -69,10 +90,40 @@ def prefix(*names: str) -> str:
     return ", ".join(f"{w} AS ({VIEWS[w]})" for w in order)
 
 
+_once: contextvars.ContextVar[dict | None] = contextvars.ContextVar("once", default=None)
+
+
+def once_for_each_query(f):
+    """The query, in which ``li``, which most views need and which takes a window, is written once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _once.get() is not None:  # a query within a query
+            return f(spark, sf_dir)
+        token = _once.set({})
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _once.reset(token)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str, **more: DataFrame) -> DataFrame:
+    for b in BASE:
+        if re.search(rf"\b(FROM|JOIN) {b}\b", text):
+            text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
+            more[b] = spark.read.parquet(f"{sf_dir}/{b}.parquet")
+    return spark.sql(text, **more)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view of the graph over the tables of a folder."""
-    text = f"WITH {prefix(name)} SELECT * FROM {name}"
-    used = [b for b in BASE if re.search(rf"\b{b}\b", text)]
-    for b in used:
-        text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
-    return spark.sql(text, **{b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in used})
+    held = _once.get()
+    if held is None or "li" not in _needed(name):
+        return _sql(spark, sf_dir, f"WITH {prefix(name)} SELECT * FROM {name}")
+    if sf_dir not in held:
+        held[sf_dir] = materialize(_sql(spark, sf_dir, VIEWS["li"]), "li")
+    order = [w for w in _needed(name) if w != "li"]
+    text = "WITH " + ", ".join(f"{w} AS ({VIEWS[w]})" for w in order) + f" SELECT * FROM {name}"
+    return _sql(spark, sf_dir, re.sub(r"\b(FROM|JOIN) li\b", r"\1 {li}", text), li=held[sf_dir])

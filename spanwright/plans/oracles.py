@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .graph import prefix
 
 _CHAIN = """chain(source, scope_id, ancestor_id, distance) AS (
@@ -103,9 +105,10 @@ _LABELS = """labels AS (
 
 
 def _graph(body: str, *ctes: str) -> str:
-    names = ("g_files", "g_scopes", "g_decls", "g_imports", "g_nodes", "g_versions")
+    names = ("g_files", "g_scopes", "g_decls", "g_imports", "g_nodes", "g_versions", "g_inner", "g_qrefs", "g_statics", "g_irefs", "g_locals")
     text = " ".join((body, *ctes))
-    return "WITH RECURSIVE " + ", ".join((prefix(*[n for n in names if n in text]), *ctes)) + " " + body
+    views = re.sub(r"\b(li|g_\w+) AS \(", r"\1 AS MATERIALIZED (", prefix(*[n for n in names if n in text]))
+    return "WITH RECURSIVE " + ", ".join((views, *ctes)) + " " + body
 
 
 _OCCURRENCES = """found AS (
@@ -213,7 +216,7 @@ ORACLES = {
     "d2_without_superclass": _graph("SELECT source, scope_id FROM g_scopes EXCEPT SELECT source, scope_id FROM heirs", _CHAIN, """heirs AS (
       SELECT c.source, c.scope_id FROM chain c JOIN g_scopes s ON s.source = c.source AND s.scope_id = c.ancestor_id
       JOIN g_decls d ON d.source = s.source AND d.decl_id = s.owner_id WHERE d.kind = 'TYPE' AND d.type_name IS NOT NULL)"""),
-    "d3_without_receivers": _graph("SELECT source, node_id, name FROM g_nodes WHERE kind = 'NAME_REF' AND (source, node_id) NOT IN (SELECT (source, receiver_id) FROM g_nodes WHERE receiver_id IS NOT NULL)"),
+    "d3_without_receivers": _graph("SELECT source, node_id, name FROM g_nodes n WHERE kind = 'NAME_REF' AND NOT EXISTS (SELECT 1 FROM g_nodes m WHERE m.source = n.source AND m.receiver_id = n.node_id)"),
 }
 _UNRESOLVED = """quiet AS (SELECT source FROM g_imports WHERE kind = 'STATIC'),
 heirs AS (SELECT c.source, c.scope_id FROM chain c JOIN g_scopes s ON s.source = c.source AND s.scope_id = c.ancestor_id
@@ -227,7 +230,6 @@ wide AS (SELECT DISTINCT r.source, r.ref_id, k.source AS target_source, k.decl_i
   JOIN canonical k ON contains(k.canonical, '.') AND regexp_extract(k.canonical, '^(.*)\\.[^.]*$', 1) = o.parent AND regexp_extract(k.canonical, '[^.]*$') = r.name)"""
 ORACLES |= {
     "d4_unresolved_names": _graph("SELECT source, node_id, start_at, end_at, 'ERROR' AS severity, 'cannot-find-symbol' AS code, 'cannot find symbol: ' || name AS message FROM missing", _CHAIN, _VARIABLES, _UNRESOLVED),
-    "d5_publish_rows": _graph("SELECT source, node_id, 1 AS level, 'java' AS tag, 'cannot-find-symbol' AS code, 'cannot find symbol: ' || name AS message, 1 AS version FROM missing", _CHAIN, _VARIABLES, _UNRESOLVED),
     "m1_slice_body": f"""WITH {_LINES}, e AS (SELECT doc, min(pos) FILTER (starts_with(line, 'T')) AS a, min(pos) FILTER (starts_with(line, 'On')) AS b FROM ls GROUP BY doc)
       SELECT doc, pos, md5(line) AS md5 FROM ls JOIN e USING (doc) WHERE pos >= a AND (b IS NULL OR pos < b)""",
     "m2_clean_lines": r"""WITH p AS (SELECT page_id AS doc, unnest(string_split(html, '<p>')) AS line, generate_subscripts(string_split(html, '<p>'), 1) - 1 AS pos FROM pages),
@@ -239,7 +241,7 @@ ORACLES |= {
       c AS (SELECT *, lag(e, 1, false) OVER w AS e1, lag(e, 2, false) OVER w AS e2 FROM b WINDOW w AS (PARTITION BY doc ORDER BY pos))
       SELECT doc, count(*) AS n, sum(pos)::BIGINT AS positions FROM c WHERE NOT (e AND e1 AND e2) GROUP BY doc""",
     "m5_assemble": "SELECT conv_id AS doc, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10)) AS md5, count(*) AS n_lines FROM conversations GROUP BY conv_id",
-    "m6_toc": "SELECT n_regionkey, string_agg(printf('%d. [%s](ch%02d-%s.md)', n_nationkey::INT, n_name, n_nationkey::INT, lower(n_name)) || chr(10), '' ORDER BY n_nationkey) AS toc FROM nation GROUP BY n_regionkey",
+    "m6_toc": "SELECT conv_id, string_agg(printf('%d. [%s](ch%02d-%s.md)', turn::INT, role, turn::INT, lower(role)) || chr(10), '' ORDER BY turn) AS toc FROM conversations GROUP BY conv_id",
     "b1_resolve_on_demand": _graph("SELECT * FROM wide", _CANONICAL, _REFS, _WIDE),
     "b3_four_stages": _graph("""SELECT source, ref_id, stage, count(*) AS n, sum(target_id)::BIGINT AS ids FROM (SELECT * FROM staged
       UNION ALL SELECT *, 4 FROM wide w WHERE NOT EXISTS (SELECT 1 FROM staged s WHERE s.source = w.source AND s.ref_id = w.ref_id)) GROUP BY ALL""", _CHAIN, _CANONICAL, _REFS, _stages(), _WIDE),
@@ -259,3 +261,58 @@ ORACLES |= {
     "st1_edit_stream": "SELECT concat('u', user_id) AS source, event_id AS revision, props AS contents FROM events WHERE event_type <> 'error'",
     "st2_heads_stream": "SELECT concat('u', user_id) AS source, max(event_id) AS revision, arg_max(props, event_id) AS contents FROM events WHERE event_type <> 'error' GROUP BY ALL",
 }
+
+_CLASSES = """cl AS (SELECT '/src/c' || o_custkey || '.java' AS source, o_orderkey AS node_id, 'T' || (o_orderkey % 40) AS name, 'T' || ((o_orderkey + o_custkey) % 40) AS base,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS line FROM orders)"""
+_INNER = """inner_first AS MATERIALIZED (SELECT source, outer_id, name, min(decl_id) AS decl_id FROM g_inner GROUP BY ALL),
+inner_canon AS MATERIALIZED (SELECT f.source, f.decl_id, k.canonical || '.' || f.name AS canonical, k.canonical AS outer_name, f.name FROM inner_first f JOIN canonical k ON k.source = f.source AND k.decl_id = f.outer_id),
+st AS MATERIALIZED (SELECT k.* FROM inner_canon k JOIN g_inner i USING (source, decl_id) WHERE i.is_static)"""
+_QUALIFIED = """qhead AS MATERIALIZED (SELECT q.source, q.ref_id, count(*) AS c, min(d.decl_id) AS id FROM g_qrefs q JOIN g_decls d ON d.source = q.source AND d.kind = 'TYPE' AND d.name = split_part(q.name, '.', 1) GROUP BY ALL),
+qualified AS MATERIALIZED (
+  SELECT h.source, h.ref_id, h.source AS target_source, f.decl_id AS target_id FROM qhead h JOIN g_qrefs q USING (source, ref_id)
+  JOIN inner_first f ON f.source = h.source AND f.outer_id = h.id AND f.name = split_part(q.name, '.', 2) WHERE h.c = 1
+  UNION ALL SELECT q.source, q.ref_id, k.source, k.decl_id FROM g_qrefs q JOIN inner_canon k ON k.canonical = q.name
+  WHERE NOT EXISTS (SELECT 1 FROM qhead h WHERE h.source = q.source AND h.ref_id = q.ref_id))"""
+_MODULES = """needs AS (SELECT DISTINCT c_custkey % 10 AS m, (c_custkey + 1) % 10 AS n, c_custkey % 2 = 0 AS t FROM customer),
+further(a, b) AS (SELECT m, n FROM needs WHERE t UNION SELECT f.a, x.n FROM further f JOIN needs x ON x.m = f.b AND x.t),
+readable AS (SELECT m AS a, n AS b FROM needs UNION SELECT x.m, f.b FROM needs x JOIN further f ON f.a = x.n UNION SELECT m, m FROM needs UNION SELECT n, n FROM needs),
+asks AS (SELECT 'c' || c_custkey AS source, c_custkey % 10 AS own, (c_custkey // 10) % 10 AS m FROM customer)"""
+_LOCAL_HITS = """near AS MATERIALIZED (SELECT r.source, r.ref_id, l.decl_id AS target_id, l.kind FROM g_irefs r JOIN g_locals l ON l.source = r.source AND l.scope_id = r.scope_id AND l.name = r.name
+  WHERE NOT l.is_local OR l.start_at <= r.at)"""
+ORACLES |= {
+    "d5_publish_rows": f"""WITH {_CLASSES} SELECT source, node_id, 1 AS level, 'java' AS tag, 'cannot-find-symbol' AS code, 'cannot find symbol: ' || base AS message, 1 AS version,
+      line AS start_line, length(name) + 15 AS start_character, line AS end_line, length(name) + 15 + length(base) AS end_character
+      FROM cl a WHERE NOT EXISTS (SELECT 1 FROM cl b WHERE b.source = a.source AND b.name = a.base)""",
+    "r12_goto_locations": f"""WITH {_CLASSES} SELECT a.node_id AS request_id, CASE WHEN b.line IS NOT NULL THEN 'file://' || a.source END AS uri, b.line AS start_line, CASE WHEN b.line IS NOT NULL THEN 6 END AS start_character,
+      b.line AS end_line, 6 + length(b.name) AS end_character FROM cl a LEFT JOIN cl b ON b.source = a.source AND b.name = a.base AND a.node_id % 7 <> 0""",
+    "b2_static_imports": _graph("""SELECT r.source, r.ref_id, count(*) AS n, sum(b.decl_id)::BIGINT AS ids FROM g_irefs r JOIN (SELECT * FROM one UNION SELECT * FROM wide) b ON b.source = r.source AND b.name = r.name GROUP BY ALL""",
+      _CANONICAL, _INNER, """one AS MATERIALIZED (SELECT DISTINCT s.source, k.name, k.source AS ts, k.decl_id FROM g_statics s JOIN st k ON s.kind = 'STATIC' AND k.canonical = s.name)""",
+      """wide AS MATERIALIZED (SELECT DISTINCT s.source, k.name, k.source AS ts, k.decl_id FROM g_statics s JOIN st k ON s.kind = 'STATIC_ON_DEMAND' AND k.outer_name = s.name
+        WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.source = s.source AND o.name = k.name))"""),
+    "b4_qualified_names": _graph("SELECT * FROM qualified", _CANONICAL, _INNER, _QUALIFIED),
+    "b6_inaccessible_types": _graph("""SELECT q.source, q.ref_id, q.target_source, q.target_id FROM qualified q JOIN g_inner i ON i.source = q.target_source AND i.decl_id = q.target_id
+      JOIN g_qrefs r ON r.source = q.source AND r.ref_id = q.ref_id JOIN g_files h ON h.source = q.source JOIN g_files t ON t.source = q.target_source
+      WHERE (i.access <> 'PUBLIC' OR (i.outer_id // 1000) % 3 = 0) AND h.package IS DISTINCT FROM t.package
+        OR i.access = 'PRIVATE' AND NOT (q.source = q.target_source AND i.outer_id = (r.scope_id // 100) * 1000)""", _CANONICAL, _INNER, _QUALIFIED),
+    "b7_inaccessible_imports": _graph("""SELECT s.source, s.ord AS ref_id, k.source AS target_source, k.decl_id AS target_id FROM g_statics s JOIN inner_canon k ON k.canonical = s.name AND s.kind = 'STATIC'
+      JOIN g_inner i ON i.source = k.source AND i.decl_id = k.decl_id JOIN g_files h ON h.source = s.source JOIN g_files t ON t.source = k.source
+      WHERE (i.access <> 'PUBLIC' OR (i.outer_id // 1000) % 3 = 0) AND h.package IS DISTINCT FROM t.package OR i.access = 'PRIVATE'""", _CANONICAL, _INNER),
+    "b7_invalid_static_imports": _graph("""SELECT s.source, s.ord, s.name FROM g_statics s WHERE s.kind = 'STATIC'
+      AND EXISTS (SELECT 1 FROM canonical k WHERE k.canonical = regexp_extract(s.name, '^(.*)\\.[^.]*$', 1)) AND NOT EXISTS (SELECT 1 FROM st k WHERE k.canonical = s.name)""", _CANONICAL, _INNER),
+    "b10_module_imports": _graph("""SELECT u.source, u.name, count(*) AS n, sum(k.decl_id)::BIGINT AS ids FROM (SELECT DISTINCT source, name FROM refs r
+        WHERE NOT EXISTS (SELECT 1 FROM staged s WHERE s.source = r.source AND s.ref_id = r.ref_id)) u
+      JOIN (SELECT DISTINCT a.source, x.p FROM asks a JOIN readable o ON o.a = a.own AND o.b = a.m JOIN readable r ON r.a = a.m
+        JOIN (SELECT DISTINCT c_custkey % 10 AS m, 'p.n' || c_nationkey || '.s' || (c_custkey % 20) AS p FROM customer WHERE c_nationkey % 5 <> 0 AND c_nationkey % 7 = 0) x ON x.m = r.b) e ON e.source = u.source
+      JOIN canonical k ON k.canonical = e.p || '.' || u.name GROUP BY ALL""", _CHAIN, _CANONICAL, _REFS, _stages(), _MODULES),
+    "b10_unread_modules": f"WITH RECURSIVE {_MODULES} SELECT source, 'm' || m AS module FROM asks a WHERE NOT EXISTS (SELECT 1 FROM readable r WHERE r.a = a.own AND r.b = a.m)",
+    "b11_illegal_type_parameter_uses": _graph("""SELECT source, ref_id, name FROM g_irefs r WHERE in_static
+      AND EXISTS (SELECT 1 FROM near x WHERE x.source = r.source AND x.ref_id = r.ref_id AND x.kind = 'TYPE_PARAM')""", _LOCAL_HITS),
+    "b12_local_types": _graph("""SELECT source, ref_id, source AS target_source, target_id FROM near
+      UNION ALL SELECT r.source, r.ref_id, r.source, i.decl_id FROM g_irefs r JOIN g_inner i ON i.source = r.source AND i.scope_id = (r.scope_id // 100) * 100 + 1 AND i.name = r.name
+      WHERE NOT EXISTS (SELECT 1 FROM near x WHERE x.source = r.source AND x.ref_id = r.ref_id)""", _LOCAL_HITS),
+    "st3_diagnostics_stream": """SELECT source, CASE WHEN e.k <> 'error' THEN 1 END AS version, CASE WHEN e.k <> 'error' THEN strlen(e.p)::BIGINT END AS n_bytes FROM (
+      SELECT concat('u', user_id) AS source, arg_max({'k': event_type, 'p': props}, event_id) AS e FROM events GROUP BY ALL)""",
+    "st4_batch_barrier": """SELECT concat('u', user_id) AS source, max(event_id) AS revision, arg_max(props, event_id) AS contents,
+      (SELECT max(event_id) FROM events WHERE event_type <> 'error') AS as_of FROM events WHERE event_type <> 'error' GROUP BY user_id""",
+    "st5_late_policy": _graph("""SELECT key, revision, seq, coalesce(revision < max(revision) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM g_versions"""),
+}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,3 +69,29 @@ def diagnostics_stream(events: DataFrame, checkpoint: str, path: str, analyse: C
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run_batches(events, checkpoint, each)
+
+
+def late_policy(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, revision, seq, ..) in order of arrival (seq): those that come in ascending revisions
+    (an equal one replaces), and those that come late, which are dropped."""
+    before = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = log.withColumn("_before", F.max("revision").over(before))
+    late = F.col("revision") < F.coalesce("_before", "revision")
+    return rows.where(~late).drop("_before"), rows.where(late).drop("_before")
+
+
+def snapshots_stream(events: DataFrame, checkpoint: str, path: str) -> None:
+    """A barrier for each batch: its versions are written to the log first, and the analysis then
+    reads the log as of the batch's last revision, whatever has been appended since."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        at = batch.agg(F.max("revision")).first()[0]
+        if at is None:
+            return
+        log = spark.read.parquet(f"{path}/log").where(F.col("revision") <= at)
+        newest = log.groupBy("source").agg(F.max_by("contents", "revision").alias("contents"), F.max("revision").alias("revision"))
+        newest.withColumn("as_of", F.lit(at)).write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
+
+    run_batches(edit_stream(events), checkpoint, each)
