@@ -175,11 +175,10 @@ class Remembered:
                 if stay.sum() > self.most // 2:
                     stay[:] = False
                 self.keys, self.rows, self.hits = self.keys[stay], self.rows[stay], self.hits[stay] // 2
-            every = np.concatenate([self.keys, keys[fresh]])
-            order = np.argsort(every)
-            self.keys = every[order]
-            self.rows = np.concatenate([self.rows, out[fresh]])[order]
-            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int32)])[order]
+            place = np.searchsorted(self.keys, keys[fresh])
+            self.keys = np.insert(self.keys, place, keys[fresh])
+            self.rows = np.insert(self.rows, place, out[fresh], axis=0)
+            self.hits = np.insert(self.hits, place, 0)
         return out
 
 
