@@ -323,20 +323,21 @@ def _folded(batches):
         yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), *(pa.array(out[:, k]) for k in range(FOLD))], ["sig", "n", *(f"s{k}" for k in range(FOLD))])
 
 
-def _rows_of_open_keys(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """Rows (key, sig, root) of keys with several components, with what a pair's test needs; ``out``
-    is true outside the key's most frequent component, ``rest`` counts those rows."""
+def _rows_of_open_keys(rows: DataFrame) -> DataFrame:
+    """Rows (key, sig, root) of keys with several components; ``out`` is true outside the key's most
+    frequent component, ``rest`` counts those rows."""
     per = rows.groupBy("key", "root").agg(F.count("sig").alias("c"))
     main = per.groupBy("key").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"), F.count("root").alias("roots")
     )
     rows = rows.join(main.where("roots > 1").drop("roots"), "key").withColumn("out", F.expr("root <> main"))
-    return rows.select("key", "sig", "root", "out", "rest").join(info, "sig")
+    return rows.select("key", "sig", "root", "out", "rest")
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
+def _cross_pairs(rows: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs of a key in different components that sizes and folded sketches allow.  One side of a
     pair is always outside the key's main component, so a group of linked copies makes no pairs."""
+    rows = rows.join(info, "sig")
     side = ["root", "sig", "n", "out", *(f"s{k}" for k in range(FOLD))]
     x = rows.where("out").select("key", *(F.col(c).alias(f"a_{c}") for c in side))
     y = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in side))
@@ -398,15 +399,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = S.components(links)
         keyed = keyed.select("key", "sig")
 
-    rows_open = S.materialize(_rows_of_open_keys(_named(keyed, roots), info), "open")
+    rows_open = S.materialize(_rows_of_open_keys(_named(keyed, roots)), "open")
     S.discard(keyed)
-    pairs = _cross_pairs(rows_open.where(f"rest <= {CROWD}"))
+    pairs = _cross_pairs(rows_open.where(f"rest <= {CROWD}"), info)
     crowded = rows_open.where(f"rest > {CROWD}").select("sig").distinct()
     lanes = sets.join(crowded, "sig", "left_semi").mapInArrow(_all_lanes, "to long, key long, sig long, spare int, known boolean")
     lanes = S.materialize(_only_shared(lanes, "key long, sig long, spare int"), "lanes")
-    rare = S.materialize(_rows_of_open_keys(_named(_rarest(lanes, roots), roots), info), "rare")
+    rare = S.materialize(_rows_of_open_keys(_named(_rarest(lanes, roots), roots)), "rare")
     S.discard(lanes)
-    pairs = pairs.unionByName(_cross_pairs(rare)).distinct()
+    pairs = pairs.unionByName(_cross_pairs(rare, info)).distinct()
 
     left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
