@@ -288,10 +288,11 @@ def _verify(batches):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
-    x = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    """The pairs (a, b) of classes whose sets link.  Each side fetches its set by itself, so sets of no
+    pair are not shuffled where ``pairs`` is a small table, and one class in many pairs is dealt by pair."""
+    x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
+    y = pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
+    return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
 def fold(col: pa.Array, to: int | np.ndarray) -> np.ndarray:
@@ -316,6 +317,13 @@ def _close(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of classes whose whole bit sketches do not rule out a link."""
+    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a long, b long")
+
+
 def _folded(batches):
     """The bit sketch of each class folded to FOLD longs: a lower bound of the same distance."""
     for batch in batches:
@@ -392,7 +400,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed = opened
         votes = keyed.where("root <> hub_root").groupBy("sig", "hub").count()
         star = votes.groupBy("sig").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-        found = S.materialize(_verified(star.select(F.col("sig").alias("a"), F.col("hub").alias("b")), sets), "star")
+        star = S.materialize(_possible(star.select(F.col("sig").alias("a"), F.col("hub").alias("b")), classes), "near")
+        found = S.materialize(_verified(star, sets), "star")
+        S.discard(star)
         links = found if links is None else links.unionByName(found)
         if roots is not None:
             S.discard(roots)
@@ -409,10 +419,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     S.discard(lanes)
     pairs = pairs.unionByName(_cross_pairs(rare, info)).distinct()
 
-    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    near = pairs.join(left, "a").join(right, "b").mapInArrow(_close, "a long, b long")
-    near = S.materialize(near, "near")
+    near = S.materialize(_possible(pairs, classes), "near")
     S.discard(rows_open, rare)
     rest = S.materialize(_verified(near, sets), "rest")
     S.discard(near, sets)
