@@ -9,8 +9,8 @@ weighs the passages, and the weighed sum of their representations is scored.  On
 labels: the weights, encoder layer, attention and scorer are learnt together from them.
 
 Training reads a bounded sample of labelled rows (``SAMPLE_ROWS`` of each label in expectation, by a
-hash of the id) and at most ``SAMPLE_PASSAGES`` passages of each such text, evenly spaced; scoring
-reads every passage.  Null, empty and wordless texts are one passage of zeros.  Repeated rows score
+hash of the id), in the order of that hash until the rows of a label hold ``SAMPLE_PASSAGES`` passages.
+Of each row that is drawn every passage is learnt from, and scoring reads every passage.  Null, empty and wordless texts are one passage of zeros.  Repeated rows score
 alike.  Without rows of both labels every score is the share of label 1 (0 without any).  An empty
 table gives no rows.  Extra columns are ignored.
 """
@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import shared as S
 
 PASSAGE = 64
-SAMPLE_ROWS, SAMPLE_PASSAGES = 1500, 64
+SAMPLE_ROWS, SAMPLE_PASSAGES = 1500, 50_000  # of each label
 HIDDEN, GATE = 16, 8
 STEPS, RATE, DECAY = 400, 0.02, 1e-4
 SEED = 3
@@ -145,19 +146,13 @@ class Attention:
                 self.p[k] = (self.p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def _bags(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = S.byte_view(batch.column("text"))
-            for i, j in S.rounds(off):
-                x, bounds = encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                size = np.diff(bounds)
-                take = np.minimum(size, most)
-                at = np.repeat(bounds[:-1], take) + S.ramp(take) * np.repeat(size, take) // np.repeat(take, take)
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]) * WIDTH, pa.int32()), pa.array(x[at].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("label").slice(i, j - i), flat], ["id", "label", "x"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, off = S.byte_view(batch.column("text"))
+        for i, j in S.rounds(off):
+            x, bounds = encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            flat = pa.ListArray.from_arrays(pa.array(bounds * WIDTH, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("label").slice(i, j - i), flat], ["id", "label", "x"])
 
 
 class Scorer:
@@ -190,7 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE_ROWS / counts[1])).otherwise(min(1.0, SAMPLE_ROWS / counts[0]))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30))
     sample = docs.select(F.col(key).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    bags = sample.mapInArrow(_bags(SAMPLE_PASSAGES), "id long, label int, x array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()
+    bags = sample.mapInArrow(_bags, "id long, label int, x array<float>")
+    drawn = W.partitionBy("label").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id", F.xxhash64("x"))
+    bags = bags.withColumn("before", F.sum(F.size("x")).over(drawn.rowsBetween(W.unboundedPreceding, -1)))
+    bags = bags.where(F.coalesce("before", F.lit(0)) < SAMPLE_PASSAGES * WIDTH).select("id", "label", "x")
+    bags = bags.toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()
     y = bags.column("label").to_numpy().astype(np.float32)
     if not 0 < y.sum() < len(y):
         return Scorer(None, share)
