@@ -6,9 +6,13 @@ sampling rate).  The n-gram shares and back-off weights of all languages lie in
 (see ``char_models``), a few megabytes whatever the corpus.  A text's cross-entropy under a language
 is its words' negative log-probability per character; the least one decides.
 
-Calibrated rejection: of the sample, a text's excess is its least cross-entropy over the mean of its
-language.  ``accepted`` is false beyond ``REJECT`` times the largest excess seen in the sample and a
-bit more, or if there is no letter; such text is unlike every language learnt.
+Calibrated rejection: a first model learns without ``HELD`` of the sample and scores those rows.  How far
+a text's least cross-entropy lies over the mean of its language, in the language's standard deviations,
+is its excess; the limit is the excess that at most ``FALSE_REJECTS`` of texts like those exceed (by
+rank among the held-out rows; the largest where these are too few to tell), and ``SLACK`` bits a
+character more, as longer tails than the sample's are no other language.  ``accepted`` is false beyond
+it, or if there is no letter; such text is unlike every language learnt.  At last the model learns from
+the whole sample.  With fewer than two held-out rows nothing with a letter is rejected.
 
 Null, empty or letterless text: ``und``, score 0, not accepted.  Ties: the first language by name.
 Very long texts are scored whole.  Without any learnable row every text is ``und``.  An empty table
@@ -17,6 +21,7 @@ gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +33,18 @@ from . import shared as S
 from .char_models import ORDER, CharModel, Words, count_grams
 
 SAMPLE_DOCS = 300
-REJECT = 3.0
+HELD = 0.3  # share of the sample that sets the limits
+FALSE_REJECTS = 0.005
+SLACK = 1.0
 SHARPNESS = 8.0  # of the score: odds against a language, in powers of two, for each bit a character more
 
 
 def sampled(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
     """About ``most`` rows of each label, by a hash of the key; the labels' counts set the rates."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    rate = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        rate = F.when(F.col(label) == name, min(1.0, most / n)).otherwise(rate)
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < rate * (1 << 30))
+    rate = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count"))
+    # a written table, so that its size decides how it is joined
+    counts = S.materialize(rows.groupBy(label).count().select(label, rate.alias("__rate")), "rates")
+    return rows.join(counts, label).where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.col("__rate") * (1 << 30)).select(*rows.columns)
 
 
 def entropies(model: CharModel, memory: S.Remembered, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,29 +96,45 @@ def _ascii_letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, key: str = "doc_id") -> Identifier:
     """Learns from rows whose text and language are known."""
     rows = labelled.select(key, F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna(subset=["text", "lang"])
-    sample = S.materialize(sampled(rows, "lang", SAMPLE_DOCS, key), "sample")
+    held = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1000)) < int(1000 * HELD)
+    sample = S.materialize(sampled(rows, "lang", SAMPLE_DOCS, key).withColumn("held", held), "sample")
     counts = count_grams(sample, "lang", order)
     if counts.empty:
         return Identifier(None, None)
     model = CharModel(counts, order)
-    wide = Identifier(model, np.full(len(model.labels), np.inf))
-    labels = model.labels
+    return Identifier(model, limits(sample, model.labels, order))
 
-    def excess(batches):
-        memory = S.Remembered(len(labels))
+
+def limits(sample: DataFrame, labels: list[str], order: int = ORDER) -> np.ndarray:
+    """The largest cross-entropy that is accepted, by language; ``sample``: (text, lang, held)."""
+    limit = np.full(len(labels), np.inf)
+    counts = count_grams(sample.where("not held"), "lang", order)
+    if counts.empty:
+        return limit
+    model = CharModel(counts, order)
+
+    def least(batches):
+        memory = S.Remembered(len(model.labels))
         for batch in batches:
             data, off = S.byte_view(batch.column("text"))
             for i, j in S.rounds(off):
                 h, n = entropies(model, memory, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 keep = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(h.argmin(axis=1)[keep].astype(np.int32)), pa.array(h.min(axis=1)[keep])], ["best", "bits"])
-
-    spread = sample.select("text").mapInArrow(excess, "best int, bits double").groupBy("best").agg(F.avg("bits").alias("mean"), F.max("bits").alias("most")).collect()
-    limit = np.full(len(labels), np.inf)
-    for r in spread:
-        limit[r.best] = r["mean"] + REJECT * (r["most"] - r["mean"]) + 1.0
-    wide.limit = limit
-    return wide
+                best = pa.array([model.labels[b] for b in h.argmin(axis=1)[keep]], pa.string())
+                yield pa.RecordBatch.from_arrays([best, pa.array(h.min(axis=1)[keep])], ["best", "bits"])
+
+    seen = sample.where("held").select("text").mapInArrow(least, "best string, bits double").toArrow().to_pandas()
+    if len(seen) < 2:
+        return limit
+    of = seen.groupby("best").bits
+    whole = seen.bits.std(ddof=0)
+    mean, spread = of.mean(), of.std(ddof=0).where(of.size() > 9, whole) + 1e-9
+    excess = np.sort(((seen.bits - seen.best.map(mean)) / seen.best.map(spread)).to_numpy())
+    rank = min(len(excess), math.ceil((len(excess) + 1) * (1 - FALSE_REJECTS)))
+    for k, label in enumerate(labels):
+        at, wide = (mean[label], spread[label]) if label in mean.index else (mean.max(), spread.max())
+        limit[k] = at + excess[rank - 1] * wide + SLACK
+    return limit
 
 
 def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
