@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from spanwright.llm import (
-    fingerprints, jaccard_join, language_id, lm_scoring, media_columns, packing, quality, queries, repeat_index, shared, source_mix, toxicity,
+    char_models, fingerprints, jaccard_join, language_id, lm_scoring, media_columns, packing, quality, queries, repeat_index, shared, source_mix, toxicity,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -345,6 +345,107 @@ def test_targets_and_permutations():
         assert sorted(source_mix.permuted(np.arange(n), n, 5)) == list(range(n))
 
 
+def spelled(word):
+    return "\x01" + word + "\x02"
+
+
+def kneser_ney(words, order):
+    """log2 probability of a word under the interpolated model of ``words``, by dictionaries."""
+    runs = [Counter(), *(Counter(spelled(w)[i : i + k] for w in words for i in range(1 if k == 1 else 0, len(w) + 3 - k)) for k in range(1, order + 1))]
+    counts = []
+    for k in range(1, order + 1):
+        own = dict(runs[k])
+        if k < order:
+            before = Counter(g[1:] for g in runs[k + 1])
+            own = {g: n if g[0] == "\x01" else max(before[g], 1) for g, n in own.items()}
+        ones, twos = (sum(n == v for n in own.values()) for v in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total, kinds = Counter(), Counter()
+        for g, n in own.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        counts.append((own, d, total, kinds))
+
+    def log2(word):
+        text, out = spelled(word), 0.0
+        for i in range(1, len(text)):
+            p = 1 / 256
+            for k in range(1, min(order, i + 1) + 1):
+                own, d, total, kinds = counts[k - 1]
+                g = text[i - k + 1 : i + 1]
+                if total[g[:-1]]:
+                    p = max(own.get(g, 0) - d, 0) * (g in own) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * p
+            out += math.log2(p)
+        return out
+
+    return log2
+
+
+def test_character_models_by_dictionaries(spark):
+    r = random.Random(3)
+    some = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 7))) for _ in range(400)]
+    texts = [(" ".join(some[i::20]), "ab"[i % 2]) for i in range(20)]
+    model = char_models.CharModel(char_models.count_grams(spark.createDataFrame(texts, "text string, lang string"), "lang", 4), 4)
+    assert model.labels == ["a", "b"]
+    probe = sorted({*some[:40], "zz", "abz", "e"})
+    raw = " ".join(probe).encode()
+    words = char_models.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    got = model.word_scores(*words.spelled(words.which))
+    for c in (0, 1):
+        want = kneser_ney([w for t, label in texts if label == model.labels[c] for w in t.split()], 4)
+        assert np.allclose(got[:, c], [want(w) for w in probe], rtol=1e-4)
+
+
+def test_toxic_ratios_by_dictionaries(spark):
+    r = random.Random(4)
+    plain = ["".join(r.choice("abcde") for _ in range(r.randrange(2, 5))) for _ in range(60)]
+    texts = []
+    for i in range(40):
+        bad = i % 4 == 0
+        texts.append((int(bad), " ".join([r.choice(plain) for _ in range(15)] + (["vile", "vile", "Foul"] if bad else []))))
+    model = toxicity.learn(spark.createDataFrame([*texts, (0, None), (1, "")], "label int, text string"))
+    held = [Counter(w for label, t in texts if label == c for w in set(t.lower().split())) for c in (0, 1)]
+    both, total = held[0] + held[1], [sum(h.values()) for h in held]
+    ones, twos = (sum(n == v for n in both.values()) for v in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+    characters = kneser_ney([w for _, t in texts for w in t.lower().split()], toxicity.ORDER)
+    kept = [{w: max(n - toxicity.DISCOUNT, 0) / total[c] for w, n in held[c].items()} for c in (0, 1)]
+    probe = sorted({*both, "unseen"})
+
+    def ratio(w):
+        shared_ = (max(both[w] - d, 0) + d * len(both) * 2 ** characters(w)) / sum(total) if any(k.get(w) for k in kept) else 1.0
+        p = [k.get(w, 0) + (1 - sum(k.values())) * shared_ for k in kept]
+        return math.log2(p[1] / p[0])
+
+    raw = " ".join(probe).encode()
+    words = char_models.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    got = model.ratios(words, words.which)[:, 0]
+    assert np.allclose(got, [ratio(w) for w in probe], rtol=1e-4, atol=1e-5)
+    assert got[probe.index("vile")] > 3
+
+
+def test_toxic_texts_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = queries()["op10_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
+    right = ((rows.toxic == 1) & (rows.predicted == 1)).sum()
+    assert (rows.toxic == 1).sum() > 50
+    assert right >= 0.9 * (rows.toxic == 1).sum() and right >= 0.9 * (rows.predicted == 1).sum()
+
+
+def test_rejection_keeps_its_rate(spark):
+    """Of texts like the learnt ones hardly any is rejected, of others all are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = language_id.fit(docs.where(shared.crc_mod("doc_id", 4) != 2))
+    unseen = docs.where(shared.crc_mod("doc_id", 4) == 2).where("text is not null and lang is not null")
+    n, kept = unseen.count(), language_id.accepted(unseen, known).count()
+    assert kept >= n - max(1, 2 * language_id.FALSE_REJECTS * n)
+    r = random.Random(1)
+    other = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)), "日本語の文章です。" * 9, "ένα κείμενο στα ελληνικά " * 5, "xq zzk wvvj qqx " * 30]
+    assert language_id.accepted(frame(spark, other), known).count() == 0
+    one = docs.where("text is not null and lang is not null").limit(1)
+    assert language_id.accepted(one, language_id.fit(one)).count() == 1
+
+
 @pytest.mark.parametrize("name", ["op2_language_id", "op8_quality", "op10_toxicity"])
 def test_held_out_accuracy(spark, name):
     folder = "/root/testdata/sf0.01"
