@@ -20,6 +20,7 @@ _MODULES = (
     "quality",
     "repeat_index",
     "toxicity",
+    "fill_in_middle",
 )
 
 
