@@ -21,6 +21,7 @@ _MODULES = (
     "repeat_index",
     "toxicity",
     "fill_in_middle",
+    "token_alignment",
 )
 
 
