@@ -22,6 +22,7 @@ _MODULES = (
     "toxicity",
     "fill_in_middle",
     "token_alignment",
+    "near_vectors",
 )
 
 
