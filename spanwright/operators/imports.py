@@ -101,12 +101,11 @@ def access_limits(types: DataFrame, outers: DataFrame) -> DataFrame:
     """(source, decl_id, to_package, to_top): whether a type is seen only in its package or only in its
     top-level type, by its own ``access`` and that of every type around it (``outers``: source, decl_id,
     outer_id over any number of steps).  Package and top-level type are the same all along the path,
-    so the strictest step decides."""
+    so the strictest step decides.  What heirs may see of PROTECTED types is told by
+    :func:`..inherit.barred_by_protection`."""
     steps = outers.select("source", "decl_id", F.col("outer_id").alias("step")).unionByName(types.select("source", "decl_id", F.col("decl_id").alias("step")))
     steps = steps.join(types.select("source", F.col("decl_id").alias("step"), "access"), ["source", "step"])
-    return steps.groupBy("source", "decl_id").agg(
-        F.max(F.col("access").isin("PACKAGE", "PROTECTED", "PRIVATE")).alias("to_package"), F.max(F.col("access") == "PRIVATE").alias("to_top")
-    )
+    return steps.groupBy("source", "decl_id").agg(F.max(F.col("access").isin("PACKAGE", "PRIVATE")).alias("to_package"), F.max(F.col("access") == "PRIVATE").alias("to_top"))
 
 
 def inaccessible(hits: DataFrame, limits: DataFrame, files: DataFrame, tops: DataFrame) -> DataFrame:

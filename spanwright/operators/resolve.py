@@ -58,16 +58,22 @@ def _nearest(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_rank", near).where("_rank = 1").drop("_rank")
 
 
-def resolve_lexical(refs: DataFrame, chain: DataFrame, decls: DataFrame) -> DataFrame:
+def resolve_lexical(refs: DataFrame, chain: DataFrame, decls: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
     """Types of the name in the nearest scope that has any: (source, ref_id, target_source, target_id).
     Where ``decls`` tell local types (is_local, start_at) and the references their place (at), a local
-    type is seen only after its declaration."""
+    type is seen only after its declaration.  ``inherited`` (source, scope_id, name, target_source,
+    target_id) are types that scopes have from elsewhere.  Names that no scope of their file has do not
+    meet the chain."""
     ordered = "is_local" in decls.columns and "at" in refs.columns
     more = ["is_local", "start_at"] if ordered else []
-    types = decls.where("kind in ('TYPE', 'TYPE_PARAM')").select("source", F.col("scope_id").alias("ancestor_id"), "name", F.col("decl_id").alias("target_id"), *more)
-    hits = refs.join(chain, ["source", "scope_id"]).join(types, ["source", "ancestor_id", "name"])
+    types = decls.where("kind in ('TYPE', 'TYPE_PARAM')").select("source", F.col("scope_id").alias("ancestor_id"), "name", F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"), *more)
+    if inherited is not None:
+        down = inherited.select("source", F.col("scope_id").alias("ancestor_id"), "name", "target_source", "target_id", *([F.lit(False).alias("is_local"), F.lit(None).cast("long").alias("start_at")] if ordered else []))
+        types = types.unionByName(down)
+    asked = refs.join(types.select("source", "name").distinct(), ["source", "name"], "left_semi")
+    hits = asked.join(chain, ["source", "scope_id"]).join(types, ["source", "ancestor_id", "name"])
     hits = _nearest(hits.where("not coalesce(is_local, false) or start_at <= at") if ordered else hits)
-    return hits.select("source", "ref_id", F.col("source").alias("target_source"), "target_id")
+    return hits.select("source", "ref_id", "target_source", "target_id")
 
 
 def resolve_exact_imports(refs: DataFrame, imports: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -107,32 +113,6 @@ def resolve_type_names(refs: DataFrame, chain: DataFrame, decls: DataFrame, impo
     return rows.withColumn("_least", least).where("stage = _least").drop("_least").distinct()
 
 
-def summarise_type_names(refs: DataFrame, chain: DataFrame, decls: DataFrame, imports: DataFrame, files: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(source, ref_id, stage, targets, first_source, first_id): how many targets the first stage with
-    a result gives each reference, and the smallest.  Types are counted by (package, name) and by
-    canonical name before they meet imports and references, so a package with very many types of a
-    name costs one row for each reference and not one for each target; the candidates themselves are
-    in resolve_type_names."""
-    refs = refs.where("name is not null and not contains(name, '.')")
-    target = F.struct("target_source", "target_id")
-
-    def counted(hits: DataFrame, stage: int) -> DataFrame:
-        hits = hits.distinct().groupBy("source", "ref_id").agg(F.count("target_id").alias("targets"), F.min(target).alias("first"))
-        return hits.withColumn("stage", F.lit(stage))
-
-    keyed = files.select("source", F.coalesce("package", F.lit("\0")).alias("package"))
-    top = decls.where("kind = 'TYPE' and scope_id = 0").join(keyed, "source")
-    top = top.groupBy("package", "name").agg(F.count("decl_id").alias("targets"), F.min(F.struct(F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))).alias("first"))
-    packaged = refs.join(keyed, "source").join(top, ["package", "name"]).select("source", "ref_id", "targets", "first", F.lit(3).alias("stage"))
-    single = imports.where("kind = 'TYPE'").select("source", F.col("name").alias("canonical"), simple_name("name").alias("name")).distinct()
-    known = canonical.groupBy("canonical").agg(F.count("decl_id").alias("n"), F.min(F.struct(F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))).alias("first"))
-    single = single.join(known, "canonical").groupBy("source", "name").agg(F.sum("n").alias("targets"), F.min("first").alias("first"))
-    exact = refs.join(single, ["source", "name"]).select("source", "ref_id", "targets", "first", F.lit(2).alias("stage"))
-    every = counted(resolve_lexical(refs, chain, decls), 1).unionByName(exact).unionByName(packaged)
-    best = every.groupBy("source", "ref_id").agg(F.min("stage").alias("stage"), F.min_by(F.struct("targets", "first"), "stage").alias("b"))
-    return best.select("source", "ref_id", "stage", "b.targets", F.col("b.first.target_source").alias("first_source"), F.col("b.first.target_id").alias("first_id"))
-
-
 def find_members(owners: DataFrame, decls: DataFrame, namespace: str) -> DataFrame:
     """Owners (owner_source, owner_id, name, ..) with the direct members of that name and namespace
     (member_id), all overloads."""

@@ -15,6 +15,7 @@ from ..sources.tables import materialize
 def scope_chain(scopes: DataFrame) -> DataFrame:
     """(source, scope_id, ancestor_id, distance), itself at 0.  Pointer doubling: each round joins
     the chains found with the jumps of twice the length; a tree of depth d takes log2 d rounds."""
+    scopes = materialize(scopes.select("source", "scope_id", "parent_id"), "scopes")
     pairs = scopes.select("source", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("distance"))
     jumps = scopes.where("parent_id is not null").select("source", "scope_id", F.col("parent_id").alias("to"))
     reach = 1
@@ -24,7 +25,7 @@ def scope_chain(scopes: DataFrame) -> DataFrame:
             return pairs
         far = pairs.select("source", F.col("scope_id").alias("to"), "ancestor_id", "distance")
         more = jumps.join(far, ["source", "to"]).select("source", "scope_id", "ancestor_id", (F.col("distance") + reach).alias("distance"))
-        pairs = materialize(pairs.unionByName(more), "chains")
+        pairs = pairs.unionByName(materialize(more, "chains"))
         onward = jumps.select("source", F.col("scope_id").alias("to"), F.col("to").alias("next"))
         jumps = jumps.join(onward, ["source", "to"]).select("source", "scope_id", F.col("next").alias("to"))
         reach *= 2

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import diagnostics as D
+from ..operators import environment as E
 from ..operators import extract as X
 from ..operators import imports as B
+from ..operators import inherit as I
 from ..operators import lines as M
 from ..operators import navigate as NV
 from ..operators import resolve as R
@@ -378,8 +380,10 @@ def r2_resolve_exact_imports(spark, d):
 
 @query
 def r3_resolve_same_package(spark, d):
-    hits = R.resolve_same_package(_refs(spark, d), table(spark, d, "g_files"), table(spark, d, "g_decls"))
-    return hits.groupBy("source", "ref_id").agg(F.count("target_id").alias("n"), F.sum("target_id").alias("ids"))
+    """How many types of the name the package has, and the sum of their ids: one row for each reference."""
+    here = table(spark, d, "g_files").select("source", F.coalesce("package", F.lit("\0")).alias("package"))
+    told = E.package_summary(table(spark, d, "g_decls"), table(spark, d, "g_files"))
+    return _refs(spark, d).join(here, "source").join(told, ["package", "name"]).select("source", "ref_id", F.col("targets").alias("n"), "ids")
 
 
 def _candidates(spark, d, refs=None, more=None):
@@ -387,9 +391,13 @@ def _candidates(spark, d, refs=None, more=None):
     return R.resolve_type_names(_refs(spark, d) if refs is None else refs, _chain(spark, d), decls, table(spark, d, "g_imports"), files, _canonical(spark, d), more)
 
 
-def _summaries(spark, d, refs=None):
+def _summaries(spark, d, refs=None, imports=None):
+    """References by the first stage with a type: the scopes of their file, else its import environment."""
     decls, files = table(spark, d, "g_decls"), table(spark, d, "g_files")
-    return R.summarise_type_names(_refs(spark, d) if refs is None else refs, _chain(spark, d), decls, table(spark, d, "g_imports"), files, _canonical(spark, d))
+    refs = A.materialize((_refs(spark, d) if refs is None else refs).select("source", "ref_id", "scope_id", "name"), "refs")
+    imports = table(spark, d, "g_imports").where("kind = 'TYPE'") if imports is None else imports
+    environment = E.import_environment(refs, files, imports, decls, A.materialize(E.contents(_canonical(spark, d)), "contents"), None, False)
+    return E.summarise(refs, R.resolve_lexical(refs, _chain(spark, d), decls), environment)
 
 
 @query
@@ -424,8 +432,7 @@ def r7_resolve_variables(spark, d):
 
 @query
 def r8_resolve_type_refs(spark, d):
-    hits = R.resolve_type_refs(_refs(spark, d), _candidates(spark, d))
-    return hits.groupBy("source", "ref_id").agg(F.count("target_id").alias("n"), F.sum("target_id").alias("ids"))
+    return R.resolve_type_refs(_refs(spark, d), _summaries(spark, d)).select("source", "ref_id", F.col("targets").alias("n"), "ids")
 
 
 def _declared(found: DataFrame) -> DataFrame:
@@ -606,10 +613,9 @@ def _packages(imports: DataFrame) -> DataFrame:
 
 @query
 def b3_four_stages(spark, d):
-    imports = _packages(table(spark, d, "g_imports"))
+    imports = _packages(table(spark, d, "g_imports")).where("kind <> 'STATIC'")
     every = imports.unionByName(B.implicit_import(table(spark, d, "g_files")))
-    found = _candidates(spark, d, None, [B.resolve_on_demand(_refs(spark, d), every, _canonical(spark, d))])
-    return found.groupBy("source", "ref_id", "stage").agg(F.count("target_id").alias("n"), F.sum("target_id").alias("ids"))
+    return _summaries(spark, d, None, every).select("source", "ref_id", "stage", F.col("targets").alias("n"), "ids")
 
 
 @query
@@ -642,7 +648,7 @@ def b8_unresolvable_types(spark, d):
 
 @query
 def b9_import_suggestions(spark, d):
-    missing = B.unresolvable_types(r5_resolve_type_names(spark, d), _refs(spark, d))
+    missing = b8_unresolvable_types(spark, d)
     found = B.import_suggestions(missing, _canonical(spark, d))
     return found.select("name", F.size("candidates").cast("long").alias("n"), F.md5(F.array_join("candidates", ",")).alias("md5"))
 

@@ -68,6 +68,18 @@ SELECT source, l_orderkey * 1000 + 600 + n AS ref_id, l_orderkey * 100 + 1 + n A
     "g_locals": """
 SELECT source, l_orderkey * 1000 + 700 + n AS decl_id, CASE WHEN l_linenumber % 3 = 0 THEN 'TYPE_PARAM' ELSE 'TYPE' END AS kind, concat('I', l_suppkey % 3) AS name,
        l_orderkey * 100 + 1 + n AS scope_id, l_linenumber % 3 <> 0 AS is_local, obase + n * 1000 + 10 * CAST(l_quantity AS BIGINT) AS start_at FROM li""",
+    "g_supers": """
+SELECT concat('c', a.o_custkey) AS source, a.o_orderkey * 1000 AS decl_id, concat('c', b.o_custkey) AS super_source, b.o_orderkey * 1000 AS super_id
+FROM orders a JOIN orders b ON b.o_orderkey = CAST(floor(a.o_orderkey / 50) AS BIGINT) WHERE a.o_orderkey <> b.o_orderkey
+UNION ALL SELECT source, decl_id, source, before * 1000 FROM (
+  SELECT concat('c', o_custkey) AS source, o_orderkey * 1000 AS decl_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) x WHERE k % 3 <> 1""",
+    "g_bounds": """
+SELECT source, l_orderkey * 1000 + 700 + n AS decl_id, source AS bound_source,
+       CASE WHEN l_partkey % 2 = 0 THEN l_orderkey * 1000 + 700 + n + CASE WHEN l_suppkey % 2 = 0 THEN 3 ELSE -3 END ELSE l_orderkey * 1000 END AS bound_id
+FROM li WHERE l_linenumber % 3 = 0""",
+    "g_aliases": """
+SELECT source, l_orderkey * 100 + 60 + n AS ord, concat('p.n', l_suppkey % 25, '.s', l_orderkey % 20, '.T', l_partkey % 40, '.I', n % 3) AS name, 'TYPE' AS kind FROM li""",
     "g_versions": """
 SELECT concat('u', user_id) AS key, CAST(date_part('day', ts) * 24 + date_part('hour', ts) AS BIGINT) AS revision, event_id AS seq,
        event_type = 'error' AS deleted, CASE WHEN event_type <> 'error' THEN value END AS value FROM events""",
