@@ -692,19 +692,30 @@ def _access(spark, d):
     return B.access_limits(types, inner.select("source", "decl_id", "outer_id")), tops
 
 
+def _guards(spark, d):
+    inner = table(spark, d, "g_inner").select("source", "decl_id", "outer_id", "access")
+    return I.guards(inner, inner.select("source", "decl_id", "outer_id"))
+
+
 @query
 def b6_inaccessible_types(spark, d):
     limits, tops = _access(spark, d)
     own = table(spark, d, "g_qrefs").select("source", "ref_id", F.expr("scope_id div 100 * 1000").alias("top_id"))
-    return B.inaccessible(_qualified(spark, d).join(own, ["source", "ref_id"]), limits, table(spark, d, "g_files"), tops)
+    hits = A.materialize(_qualified(spark, d), "hits")
+    files, around = table(spark, d, "g_files"), own.withColumnRenamed("top_id", "decl_id")
+    barred = I.barred_by_protection(hits, _guards(spark, d), files, around, I.heirs(table(spark, d, "g_supers")))
+    return B.inaccessible(hits.join(own, ["source", "ref_id"]), limits, files, tops).unionByName(barred).distinct()
 
 
 @query
 def b7_inaccessible_imports(spark, d):
     limits, tops = _access(spark, d)
+    files, heirs = table(spark, d, "g_files"), table(spark, d, "g_supers")
     known = _nested_canonical(spark, d).select(F.col("canonical").alias("name"), F.col("source").alias("target_source"), F.col("decl_id").alias("target_id"))
     hits = table(spark, d, "g_statics").where("kind = 'STATIC'").join(known, "name").select("source", F.col("ord").alias("ref_id"), "target_source", "target_id", F.lit(None).cast("long").alias("top_id"))
-    return B.inaccessible(hits, limits, table(spark, d, "g_files"), tops)
+    # an import stands in no type, so no heir speaks for it
+    nowhere = heirs.select("source", F.lit(0).cast("long").alias("ref_id"), "decl_id").limit(0)
+    return B.inaccessible(hits, limits, files, tops).unionByName(I.barred_by_protection(hits, _guards(spark, d), files, nowhere, heirs)).distinct()
 
 
 @query
@@ -806,3 +817,88 @@ def st4_batch_barrier(spark, d):
 def st5_late_policy(spark, d):
     kept, late = ST.late_policy(table(spark, d, "g_versions").select("key", "revision", "seq"))
     return kept.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+
+
+def _members(spark, d):
+    """The first member type of each name in each type of the graph."""
+    first = table(spark, d, "g_inner").groupBy("source", "outer_id", "name").agg(F.min_by(F.struct("decl_id", "access", "is_static"), "decl_id").alias("m"))
+    return first.select("source", "outer_id", "name", "m.decl_id", "m.access", "m.is_static")
+
+
+def _inherited(spark, d):
+    return I.inherited_member_types(table(spark, d, "g_supers"), A.materialize(_members(spark, d), "members"), table(spark, d, "g_files"))
+
+
+def _held(spark, d, canonical, inherited):
+    access = F.when(F.expr("decl_id div 1000 % 3 = 0"), "PACKAGE").otherwise("PUBLIC").alias("access")
+    top = table(spark, d, "g_decls").where("kind = 'TYPE'").select("source", "decl_id", F.lit(True).alias("is_static"), access)
+    types = top.unionByName(table(spark, d, "g_inner").select("source", "decl_id", "is_static", "access"))
+    return A.materialize(E.contents(canonical, types, inherited, table(spark, d, "g_files")), "contents")
+
+
+@query
+def b5_inherited_member_types(spark, d):
+    return _inherited(spark, d).select("source", "type_id", "name", "target_source", "target_id")
+
+
+def _all_imports(spark, d):
+    """Single and on-demand imports of types, of static members, and of members by any name."""
+    statics = table(spark, d, "g_statics").withColumn("ord", F.col("ord") + 30)
+    return A.materialize(_packages(table(spark, d, "g_imports")).where("kind <> 'STATIC'").unionByName(statics).unionByName(table(spark, d, "g_aliases")), "imports")
+
+
+@query
+def b7_import_checks(spark, d):
+    canonical, inherited, imports = _nested_canonical(spark, d), _inherited(spark, d), _all_imports(spark, d)
+    members = I.all_member_types(_members(spark, d), inherited)
+    strange = A.materialize(I.non_canonical_imports(imports, canonical, members), "strange")
+    return E.import_checks(imports, table(spark, d, "g_files"), table(spark, d, "g_decls"), _held(spark, d, canonical, inherited), strange)
+
+
+@query
+def b7_non_canonical_imports(spark, d):
+    members = I.all_member_types(_members(spark, d), _inherited(spark, d))
+    return I.non_canonical_imports(_all_imports(spark, d), _nested_canonical(spark, d), members)
+
+
+@query
+def b2_stage_order(spark, d):
+    """Names of locals' types and of inner types through all stages: scopes with inherited types, single and
+    static imports, the package, imports on demand."""
+    inherited = _inherited(spark, d)
+    hits, decls = table(spark, d, "g_irefs"), table(spark, d, "g_decls")
+    local = decls.where("kind = 'LOCAL'").select("source", F.col("decl_id").alias("ref_id"), "scope_id", F.col("type_name").alias("name"))
+    refs = A.materialize(hits.select("source", "ref_id", "scope_id", "name").unionByName(local), "refs")
+    body = F.expr("type_id div 1000 * 100 + 1").alias("scope_id")
+    scoped = inherited.select("source", body, "name", "target_source", "target_id")
+    environment = E.import_environment(refs, table(spark, d, "g_files"), _all_imports(spark, d), decls, _held(spark, d, _nested_canonical(spark, d), inherited))
+    lexical = R.resolve_lexical(refs, _chain(spark, d), _nested(spark, d), scoped)
+    return E.summarise(refs, lexical, environment).select("source", "ref_id", "stage", "targets", "ids")
+
+
+@query
+def b9_accessible_suggestions(spark, d):
+    """How many types a file could import for each name that it does not know, and which comes first."""
+    limits, _ = _access(spark, d)
+    found = E.suggestions(b8_unresolvable_types(spark, d), _canonical(spark, d), table(spark, d, "g_files"), limits)
+    return found.groupBy("source", "name").agg(F.count("canonical").alias("n"), F.min("canonical").alias("first"))
+
+
+def _parameter_bounds(spark, d):
+    return I.parameter_bounds(table(spark, d, "g_bounds"), table(spark, d, "g_locals").where("kind = 'TYPE_PARAM'").select("source", "decl_id"))
+
+
+@query
+def b11_parameter_bounds(spark, d):
+    """Types behind the bounds of type parameters; those that bound themselves in a circle have a row
+    without a target too."""
+    behind, circular = _parameter_bounds(spark, d)
+    return behind.unionByName(circular.select("source", "decl_id", F.lit(None).cast("string").alias("target_source"), F.lit(None).cast("long").alias("target_id")))
+
+
+@query
+def b11_bound_members(spark, d):
+    hits, _ = _inner_hits(spark, d)
+    refs = table(spark, d, "g_irefs").withColumn("name", F.concat("name", F.lit(".I"), (F.col("ref_id") % 3).cast("string")))
+    members = A.materialize(I.all_member_types(_members(spark, d), _inherited(spark, d)), "members")
+    return I.resolve_through_heads(refs, hits, _parameter_bounds(spark, d)[0], members)

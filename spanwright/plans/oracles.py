@@ -105,7 +105,7 @@ _LABELS = """labels AS (
 
 
 def _graph(body: str, *ctes: str) -> str:
-    names = ("g_files", "g_scopes", "g_decls", "g_imports", "g_nodes", "g_versions", "g_inner", "g_qrefs", "g_statics", "g_irefs", "g_locals")
+    names = ("g_files", "g_scopes", "g_decls", "g_imports", "g_nodes", "g_versions", "g_inner", "g_qrefs", "g_statics", "g_irefs", "g_locals", "g_supers", "g_bounds", "g_aliases")
     text = " ".join((body, *ctes))
     views = re.sub(r"\b(li|g_\w+) AS \(", r"\1 AS MATERIALIZED (", prefix(*[n for n in names if n in text]))
     return "WITH RECURSIVE " + ", ".join((views, *ctes)) + " " + body
@@ -292,9 +292,11 @@ ORACLES |= {
     "b4_qualified_names": _graph("SELECT * FROM qualified", _CANONICAL, _INNER, _QUALIFIED),
     "b6_inaccessible_types": _graph("""SELECT q.source, q.ref_id, q.target_source, q.target_id FROM qualified q JOIN g_inner i ON i.source = q.target_source AND i.decl_id = q.target_id
       JOIN g_qrefs r ON r.source = q.source AND r.ref_id = q.ref_id JOIN g_files h ON h.source = q.source JOIN g_files t ON t.source = q.target_source
-      WHERE (i.access <> 'PUBLIC' OR (i.outer_id // 1000) % 3 = 0) AND h.package IS DISTINCT FROM t.package
-        OR i.access = 'PRIVATE' AND NOT (q.source = q.target_source AND i.outer_id = (r.scope_id // 100) * 1000)""", _CANONICAL, _INNER, _QUALIFIED),
-    "b7_inaccessible_imports": _graph("""SELECT s.source, s.ord AS ref_id, k.source AS target_source, k.decl_id AS target_id FROM g_statics s JOIN inner_canon k ON k.canonical = s.name AND s.kind = 'STATIC'
+      WHERE (i.access IN ('PACKAGE', 'PRIVATE') OR (i.outer_id // 1000) % 3 = 0) AND h.package IS DISTINCT FROM t.package
+        OR i.access = 'PRIVATE' AND NOT (q.source = q.target_source AND i.outer_id = (r.scope_id // 100) * 1000)
+        OR i.access = 'PROTECTED' AND h.package IS DISTINCT FROM t.package AND NOT EXISTS (SELECT 1 FROM kin k WHERE k.decl_id = (r.scope_id // 100) * 1000 AND k.super_id = i.outer_id)""",
+      _CANONICAL, _INNER, _QUALIFIED, "kin(decl_id, super_id) AS (SELECT decl_id, super_id FROM g_supers UNION SELECT k.decl_id, e.super_id FROM kin k JOIN g_supers e ON e.decl_id = k.super_id)"),
+    "b7_inaccessible_imports": _graph("""SELECT DISTINCT s.source, s.ord AS ref_id, k.source AS target_source, k.decl_id AS target_id FROM g_statics s JOIN inner_canon k ON k.canonical = s.name AND s.kind = 'STATIC'
       JOIN g_inner i ON i.source = k.source AND i.decl_id = k.decl_id JOIN g_files h ON h.source = s.source JOIN g_files t ON t.source = k.source
       WHERE (i.access <> 'PUBLIC' OR (i.outer_id // 1000) % 3 = 0) AND h.package IS DISTINCT FROM t.package OR i.access = 'PRIVATE'""", _CANONICAL, _INNER),
     "b7_invalid_static_imports": _graph("""SELECT s.source, s.ord, s.name FROM g_statics s WHERE s.kind = 'STATIC'
@@ -316,3 +318,66 @@ ORACLES |= {
       (SELECT max(event_id) FROM events WHERE event_type <> 'error') AS as_of FROM events WHERE event_type <> 'error' GROUP BY user_id""",
     "st5_late_policy": _graph("""SELECT key, revision, seq, coalesce(revision < max(revision) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM g_versions"""),
 }
+
+_INHERITED = """mem AS MATERIALIZED (SELECT f.source, f.outer_id, f.name, f.decl_id, i.access, i.is_static, coalesce(g.package, chr(0)) AS home
+  FROM (SELECT source, outer_id, name, min(decl_id) AS decl_id FROM g_inner GROUP BY ALL) f JOIN g_inner i USING (source, decl_id) JOIN g_files g USING (source)),
+edges AS MATERIALIZED (SELECT e.*, coalesce(g.package, chr(0)) AS here FROM g_supers e JOIN g_files g USING (source)),
+inh(source, type_id, name, target_source, target_id, access, home) AS (
+  SELECT DISTINCT e.source, e.decl_id, m.name, m.source, m.decl_id, m.access, m.home FROM edges e JOIN mem m ON m.source = e.super_source AND m.outer_id = e.super_id
+  WHERE m.access <> 'PRIVATE' AND (m.access <> 'PACKAGE' OR m.home = e.here) AND NOT EXISTS (SELECT 1 FROM mem o WHERE o.source = e.source AND o.outer_id = e.decl_id AND o.name = m.name)
+  UNION SELECT e.source, e.decl_id, i.name, i.target_source, i.target_id, i.access, i.home FROM inh i JOIN edges e ON e.super_source = i.source AND e.super_id = i.type_id
+  WHERE (i.access <> 'PACKAGE' OR i.home = e.here) AND NOT EXISTS (SELECT 1 FROM mem o WHERE o.source = e.source AND o.outer_id = e.decl_id AND o.name = i.name))"""
+_HELD = """held AS MATERIALIZED (
+  SELECT *, regexp_extract(full_name, '^(.*)\\.[^.]*$', 1) AS parent, regexp_extract(full_name, '[^.]*$') AS name FROM (
+    SELECT k.canonical AS full_name, k.source AS target_source, k.decl_id AS target_id, true AS own, true AS is_static, CASE WHEN (k.decl_id // 1000) % 3 = 0 THEN 'PACKAGE' ELSE 'PUBLIC' END AS access, coalesce(g.package, chr(0)) AS home
+    FROM canonical k JOIN g_files g USING (source)
+    UNION ALL SELECT k.canonical, k.source, k.decl_id, true, m.is_static, m.access, m.home FROM inner_canon k JOIN mem m USING (source, decl_id)
+    UNION ALL SELECT k.canonical || '.' || i.name, i.target_source, i.target_id, false, m.is_static, m.access, m.home FROM inh i JOIN canonical k ON k.source = i.source AND k.decl_id = i.type_id
+      JOIN mem m ON m.source = i.target_source AND m.decl_id = i.target_id)),
+asks AS MATERIALIZED (
+  SELECT source, ord, CASE kind WHEN 'TYPE_ON_DEMAND' THEN regexp_extract(name, '^(.*)\\.[^.]*$', 1) ELSE name END AS name, kind FROM g_imports WHERE kind <> 'STATIC'
+  UNION ALL SELECT source, ord + 30, name, kind FROM g_statics UNION ALL SELECT source, ord, name, kind FROM g_aliases),
+met AS MATERIALIZED (SELECT a.source, a.ord, a.kind, h.*, h.access = 'PUBLIC' OR h.home = coalesce(f.package, chr(0)) AS seen
+  FROM asks a JOIN held h ON a.kind IN ('TYPE', 'STATIC') AND h.full_name = a.name AND contains(a.name, '.') AND (h.own OR a.kind = 'STATIC') JOIN g_files f ON f.source = a.source)"""
+_STRANGE = """strange AS MATERIALIZED (SELECT DISTINCT a.source, a.ord, a.name, h.target_source, h.target_id FROM asks a JOIN held h ON h.full_name = a.name AND NOT h.own
+  WHERE a.kind IN ('TYPE', 'TYPE_ON_DEMAND') AND NOT EXISTS (SELECT 1 FROM held o WHERE o.own AND o.full_name = a.name))"""
+_BEHIND = """par AS (SELECT source, decl_id FROM g_locals WHERE kind = 'TYPE_PARAM'),
+reach(source, decl_id, bound_id) AS (SELECT source, decl_id, bound_id FROM g_bounds UNION SELECT r.source, r.decl_id, b.bound_id FROM reach r JOIN g_bounds b ON b.source = r.source AND b.decl_id = r.bound_id),
+behind AS MATERIALIZED (SELECT * FROM reach r WHERE NOT EXISTS (SELECT 1 FROM par p WHERE p.source = r.source AND p.decl_id = r.bound_id))"""
+_EVERY = "every AS MATERIALIZED (SELECT source, outer_id, name, source AS ts, decl_id AS ti FROM mem UNION SELECT source, type_id, name, target_source, target_id FROM inh)"
+ORACLES |= {
+    "b5_inherited_member_types": _graph("SELECT source, type_id, name, target_source, target_id FROM inh", _INHERITED),
+    "b7_non_canonical_imports": _graph("SELECT * FROM strange", _CANONICAL, _INNER, _INHERITED, _HELD, _STRANGE),
+    "b7_import_checks": _graph("""SELECT source, ord, code FROM (SELECT a.source, a.ord, CASE WHEN EXISTS (SELECT 1 FROM strange x WHERE x.source = a.source AND x.ord = a.ord) THEN 'non-canonical-import'
+          WHEN v.seen IS NULL THEN 'unresolvable-import' WHEN NOT v.seen THEN 'inaccessible-import' WHEN NOT v.good THEN 'invalid-static-import' END AS code
+        FROM asks a LEFT JOIN (SELECT source, ord, bool_or(seen) AS seen, bool_or(seen AND (kind = 'TYPE' OR is_static)) AS good FROM met GROUP BY ALL) v ON v.source = a.source AND v.ord = a.ord WHERE a.kind IN ('TYPE', 'STATIC')) WHERE code IS NOT NULL
+      UNION ALL SELECT DISTINCT x.source, x.ord, 'non-canonical-import' FROM strange x JOIN asks a ON a.source = x.source AND a.ord = x.ord AND a.kind = 'TYPE_ON_DEMAND'
+      UNION ALL SELECT DISTINCT f.source, f.ord, 'import-collision' FROM fine f JOIN many m ON m.source = f.source AND m.name = f.name
+        WHERE m.ways > 1 OR EXISTS (SELECT 1 FROM tops t WHERE t.source = f.source AND t.name = f.name)""",
+      _CANONICAL, _INNER, _INHERITED, _HELD, _STRANGE, """fine AS MATERIALIZED (SELECT DISTINCT source, ord, name, target_source, target_id FROM met WHERE seen AND (kind = 'TYPE' OR is_static)),
+      tops AS MATERIALIZED (SELECT source, name, decl_id FROM g_decls WHERE kind = 'TYPE' AND scope_id = 0),
+      many AS MATERIALIZED (SELECT w.source, w.name, w.ways FROM (SELECT source, name, count(DISTINCT ord) AS ways FROM fine GROUP BY ALL) w
+        JOIN (SELECT source, name, count(*) AS n FROM (SELECT source, name, target_id FROM fine UNION SELECT source, name, decl_id FROM tops) GROUP BY ALL) t ON t.source = w.source AND t.name = w.name WHERE t.n > 1)"""),
+    "b2_stage_order": _graph("""SELECT source, ref_id, stage, count(*) AS targets, sum(target_id)::BIGINT AS ids FROM (
+        SELECT DISTINCT source, ref_id, stage, target_source, target_id FROM (SELECT *, min(stage) OVER (PARTITION BY source, ref_id) AS least FROM hits) WHERE stage = least) GROUP BY ALL""",
+      _CANONICAL, _INNER, _INHERITED, _HELD, """rf AS MATERIALIZED (SELECT source, ref_id, scope_id, name FROM g_irefs UNION ALL SELECT source, decl_id, scope_id, type_name FROM g_decls WHERE kind = 'LOCAL'),
+      body AS MATERIALIZED (SELECT r.source, r.ref_id, r.source AS ts, i.decl_id AS ti FROM rf r JOIN g_inner i ON i.source = r.source AND i.scope_id = (r.scope_id // 100) * 100 + 1 AND i.name = r.name
+        UNION SELECT r.source, r.ref_id, i.target_source, i.target_id FROM rf r JOIN inh i ON i.source = r.source AND i.type_id = (r.scope_id // 100) * 1000 AND i.name = r.name),
+      hits AS MATERIALIZED (SELECT source, ref_id, 1 AS stage, ts AS target_source, ti AS target_id FROM body
+        UNION ALL SELECT r.source, r.ref_id, 1, d.source, d.decl_id FROM rf r JOIN g_decls d ON d.source = r.source AND d.kind = 'TYPE' AND d.name = r.name WHERE NOT EXISTS (SELECT 1 FROM body b WHERE b.source = r.source AND b.ref_id = r.ref_id)
+        UNION ALL SELECT r.source, r.ref_id, 2, m.target_source, m.target_id FROM rf r JOIN met m ON m.source = r.source AND m.name = r.name AND m.seen AND (m.kind = 'TYPE' OR m.is_static)
+        UNION ALL SELECT r.source, r.ref_id, 3, d.source, d.decl_id FROM rf r JOIN g_files f ON f.source = r.source
+          JOIN (SELECT d.source, d.decl_id, d.name, g.package FROM g_decls d JOIN g_files g USING (source) WHERE d.kind = 'TYPE') d ON d.name = r.name AND d.package IS NOT DISTINCT FROM f.package
+        UNION ALL SELECT r.source, r.ref_id, 4, h.target_source, h.target_id FROM rf r JOIN g_files f ON f.source = r.source JOIN (SELECT DISTINCT source, name AS parent, kind FROM asks WHERE kind LIKE '%ON_DEMAND') a ON a.source = r.source
+          JOIN held h ON h.parent = a.parent AND h.name = r.name AND (a.kind = 'TYPE_ON_DEMAND' OR h.is_static) AND (h.access = 'PUBLIC' OR h.home = coalesce(f.package, chr(0))))"""),
+    "b9_accessible_suggestions": _graph("""SELECT u.source, u.name, count(DISTINCT k.canonical) AS n, min(k.canonical) AS first FROM (SELECT DISTINCT source, name FROM refs r
+        WHERE NOT EXISTS (SELECT 1 FROM staged s WHERE s.source = r.source AND s.ref_id = r.ref_id)) u JOIN g_files f ON f.source = u.source
+      JOIN (SELECT DISTINCT k.canonical, regexp_extract(k.canonical, '[^.]*$') AS name, CASE WHEN (k.decl_id // 1000) % 3 = 0 THEN g.package END AS only FROM canonical k JOIN g_files g USING (source) WHERE g.package IS NOT NULL) k
+        ON k.name = u.name AND (k.only IS NULL OR k.only = f.package) GROUP BY ALL""", _CHAIN, _CANONICAL, _REFS, _stages()),
+    "b11_parameter_bounds": _graph("SELECT source, decl_id, source AS target_source, bound_id AS target_id FROM behind UNION ALL SELECT source, decl_id, NULL, NULL FROM reach WHERE decl_id = bound_id", _BEHIND),
+    "b11_bound_members": _graph("""SELECT DISTINCT h.source, h.ref_id, e.ts AS target_source, e.ti AS target_id FROM head h LEFT JOIN behind b ON b.source = h.source AND b.decl_id = h.id
+      JOIN every e ON e.source = h.source AND e.outer_id = coalesce(b.bound_id, h.id) AND e.name = 'I' || (h.ref_id % 3)""", _LOCAL_HITS, _INHERITED, _BEHIND, _EVERY, """hit AS (SELECT source, ref_id, target_id FROM near
+      UNION ALL SELECT r.source, r.ref_id, i.decl_id FROM g_irefs r JOIN g_inner i ON i.source = r.source AND i.scope_id = (r.scope_id // 100) * 100 + 1 AND i.name = r.name
+      WHERE NOT EXISTS (SELECT 1 FROM near x WHERE x.source = r.source AND x.ref_id = r.ref_id)),
+      head AS MATERIALIZED (SELECT source, ref_id, min(target_id) AS id FROM hit GROUP BY ALL HAVING count(DISTINCT target_id) = 1)"""),
+}
