@@ -1,4 +1,9 @@
-"""Facts from source texts (source, contents) by patterns; comments and literals are blanked first."""
+"""Facts from source texts (source, contents); comments and literals are blanked first.
+
+A text is read by its lexical states: code, a line or block comment, a string, a character, a text block.
+Each leaves code at its opening mark and comes back at its end, so a scan for the first mark from where
+the last state ended tells them all (:func:`lexical_pieces`); what is not closed goes to the end of its
+line, or of the text.  Blanks have the length of what they stand for, so offsets stay true."""
 
 from __future__ import annotations
 
@@ -9,44 +14,68 @@ from .spans import nest_tokens, tokens
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 _QUALIFIED = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
+#: Pieces that are no code, in the order in which they are tried at a place.
+_PIECE = "|".join(
+    (
+        r"//[^\n]*+",
+        r"/\*(?s:.*?)(?:\*/|\z)",
+        r'"""[^"\\]*+(?:(?:\\(?s:.)|"(?!""))[^"\\]*+)*+(?:"""|\z)',
+        r'"[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+(?:"|\\?(?=\n|\z))',
+        r"'[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+(?:'|\\?(?=\n|\z))",
+    )
+)
+
+
+def lexical_pieces(contents: Column) -> tuple[Column, Column]:
+    """The stretches of code, and the comments and literals between them: one fewer."""
+    return F.split(contents, _PIECE, -1), F.regexp_extract_all(contents, F.lit(f"({_PIECE})"), F.lit(0))
 
 
 def blanked(contents: Column) -> Column:
-    """Comments and literals as blanks of the same length, so that offsets stay true."""
-    pattern = r'(?s)//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-    parts = F.regexp_extract_all(contents, F.lit(f"({pattern})|((?s).(?:(?!{pattern[4:]}).)*)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^(?:{pattern})$"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+    """Code as it stands, all else as blanks of the same length; line ends stay."""
+    code, other = lexical_pieces(contents)
+    blank = F.transform(other, lambda p: F.regexp_replace(p, r"[^\n]", " "))
+    return F.array_join(F.zip_with(code, blank, lambda c, b: F.concat(c, F.coalesce(b, F.lit("")))), "")
+
+
+def _clean(texts: DataFrame) -> DataFrame:
+    return texts.select("source", blanked(F.col("contents")).alias("contents"))
 
 
 def extract_package(texts: DataFrame) -> DataFrame:
     """(source, package): the dotted name of the package declaration, or null."""
-    found = F.regexp_extract("contents", rf"(?m)^\s*package\s+({_QUALIFIED})\s*;", 1)
-    return texts.select("source", F.when(found != "", F.regexp_replace(found, r"\s", "")).alias("package"))
+    found = F.regexp_extract("contents", rf"(?<![\w$.])package\s+({_QUALIFIED})\s*;", 1)
+    return _clean(texts).select("source", F.when(found != "", F.regexp_replace(found, r"\s", "")).alias("package"))
 
 
 def extract_imports(texts: DataFrame) -> DataFrame:
     """(source, ord, name, kind) of each import in order; those without a name are dropped."""
-    rows = texts.select("source", F.posexplode(F.regexp_extract_all("contents", F.lit(rf"(?m)^\s*import\s+[^;]*;"), F.lit(0))).alias("ord", "line"))
-    name = F.regexp_replace(F.regexp_extract("line", rf"import\s+(?:static\s+)?({_QUALIFIED})", 1), r"\s", "")
-    static, star = F.col("line").rlike(r"import\s+static\s"), F.col("line").rlike(r"\.\s*\*\s*;")
-    kind = F.when(static & star, "STATIC_ON_DEMAND").when(static, "STATIC").when(star, "TYPE_ON_DEMAND").otherwise("TYPE")
+    rows = _clean(texts).select("source", F.posexplode(F.regexp_extract_all("contents", F.lit(r"(?<![\w$.])import\s[^;]*;"), F.lit(0))).alias("ord", "line"))
+    static, star = F.col("line").rlike(r"^import\s+static\s"), F.col("line").rlike(r"\.\s*\*\s*;")
+    module = F.col("line").rlike(rf"^import\s+module\s+{_NAME}")
+    name = F.regexp_replace(F.regexp_extract("line", rf"^import\s+(?:static\s+|module\s+(?={_NAME}))?({_QUALIFIED})", 1), r"\s", "")
+    kind = F.when(module, "MODULE").when(static & star, "STATIC_ON_DEMAND").when(static, "STATIC").when(star, "TYPE_ON_DEMAND").otherwise("TYPE")
     return rows.select("source", F.col("ord").cast("long").alias("ord"), name.alias("name"), kind.alias("kind")).where("name <> ''")
 
 
 def extract_types(texts: DataFrame) -> DataFrame:
     """Headers of classes, interfaces, enums, records and annotation interfaces with a body: kind,
-    name, superclass head, where the header and the body start and end, and the enclosing type's
-    header."""
-    clean = texts.select("source", blanked(F.col("contents")).alias("contents"))
-    header = rf"(?:@\s*interface|\b(?:class|interface|enum|record))\s+{_NAME}[^{{}};]*"
+    name, superclass head, where the header, the name and the body start and where the body ends, the depth of
+    its brace, and the header of the type around it.  The bodies of types are brackets of their own, so the type
+    around one is its parent among them: no type is paired with the others of its file."""
+    clean = _clean(texts)
+    header = rf"(?:@\s*interface|(?<![\w$.])(?:class|interface|enum|record))\s+{_NAME}[^{{}};]*"
     heads = tokens(clean, header, "$^").select("source", F.col("at").alias("header_at"), (F.col("at") + F.length("token")).alias("body_at"), "token")
     bodies = nest_tokens(tokens(clean, r"[{}]", r"^\}$")).select("source", F.col("start_at").alias("body_at"), F.col("end_at").alias("body_end"), "depth")
     kind = F.regexp_replace(F.regexp_extract("token", r"^(@\s*interface|\w+)", 1), r"\s", "")
+    lead = F.regexp_extract("token", r"^((?:@\s*interface|\w+)\s+)", 1)
     base = F.when(kind == "class", F.regexp_extract("token", rf"\bextends\s+({_QUALIFIED})", 1))
     rows = heads.join(bodies, ["source", "body_at"]).select(
         "source", "header_at", "body_at", "body_end", "depth", kind.alias("kind"), F.regexp_extract("token", rf"^(?:@\s*interface|\w+)\s+({_NAME})", 1).alias("name"),
-        F.when(base != "", base).alias("superclass"),
+        (F.col("header_at") + F.length(lead)).alias("name_at"), F.when(base != "", F.regexp_replace(base, r"\s", "")).alias("superclass"),
     )
-    outer = rows.select("source", F.col("header_at").alias("outer_at"), F.col("body_at").alias("o_start"), F.col("body_end").alias("o_end"))
-    inside = rows.join(outer, "source").where("o_start < header_at and body_end < o_end").groupBy("source", "header_at").agg(F.max_by("outer_at", "o_start").alias("enclosing_at"))
-    return rows.join(inside, ["source", "header_at"], "left")
+    bracket = F.explode(F.array(F.struct(F.col("body_at").alias("at"), F.lit(1).alias("step")), F.struct(F.col("body_end").alias("at"), F.lit(-1).alias("step")))).alias("b")
+    inside = nest_tokens(rows.select("source", F.lit("").alias("token"), bracket).select("source", "token", "b.at", "b.step"))
+    inside = inside.select("source", F.col("start_at").alias("body_at"), F.col("parent_at").alias("outer_body"))
+    outer = rows.select("source", F.col("body_at").alias("outer_body"), F.col("header_at").alias("enclosing_at"))
+    return rows.join(inside, ["source", "body_at"]).join(outer, ["source", "outer_body"], "left").drop("outer_body")

@@ -268,19 +268,27 @@ def x4_nest_tokens(spark, d):
     return P.nest_tokens(P.tokens(_pages(spark, d), "</?(?:nav|ul|article)[^>]*>", "^</")).select("source", "start_at", "end_at", "depth", "parent_at")
 
 
+#: What stands around the declarations of a text, and is none.
+_NO_CODE = '// package no.such; "\n/*\nimport no.Such;\npackage no.such;\nclass No {\n*/\n'
+_NO_TYPE = "/* class X { */ "
+_IN_TYPE = '  String s = "{ // \\" class Y {", t = """\n } "" class Z {\n""";\n  char c = \'"\'; /* } */\n  static '
+
+
 def java_texts(spark, d):
-    """A source text for each file of the graph: package, imports and types with a superclass."""
+    """A source text for each file of the graph: package, imports, and types with a superclass and an inner
+    type, between comments and literals that spell the same."""
     imports = table(spark, d, "g_imports").withColumn(
         "line", F.concat(F.when(F.col("kind") == "STATIC", "import static ").otherwise("import "), "name", F.when(F.col("kind") == "TYPE_ON_DEMAND", ".*;").otherwise(";"))
     )
-    types = table(spark, d, "g_decls").where("kind = 'TYPE'").withColumn("line", F.concat(F.lit("/* class X { */ class "), "name", F.coalesce(F.concat(F.lit(" extends "), "type_name"), F.lit("")), F.lit(" {\n  String s = \"{\";\n}\n")))
+    inner = F.lit(" {\n" + _IN_TYPE + "interface In { char c = '}'; }\n}\n")
+    types = table(spark, d, "g_decls").where("kind = 'TYPE'").withColumn("line", F.concat(F.lit(_NO_TYPE + "class "), "name", F.coalesce(F.concat(F.lit(" extends "), "type_name"), F.lit("")), inner))
 
     def joined(rows, key):
         return rows.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "line"))), lambda x: x["line"]), "\n").alias("part"))
 
     files = table(spark, d, "g_files")
     rows = files.join(joined(imports, "ord").withColumnRenamed("part", "i"), "source", "left").join(joined(types, "decl_id").withColumnRenamed("part", "t"), "source", "left")
-    head = F.coalesce(F.concat(F.lit("package "), "package", F.lit(";\n")), F.lit(""))
+    head = F.concat(F.lit(_NO_CODE), F.coalesce(F.concat(F.lit("package "), "package", F.lit(";\n")), F.lit("")))
     return rows.select("source", F.concat(head, F.coalesce("i", F.lit("")), F.lit("\n"), F.coalesce("t", F.lit(""))).alias("contents"))
 
 
@@ -296,8 +304,8 @@ def x2_extract_imports(spark, d):
 
 @query
 def x3_extract_types(spark, d):
-    found = X.extract_types(java_texts(spark, d))
-    return found.groupBy("source", "name", "kind", "superclass", "depth").agg(F.count("header_at").alias("n"))
+    columns = ("source", "name", "kind", "superclass", "depth", "header_at", "name_at", "body_at", "body_end", "enclosing_at")
+    return X.extract_types(java_texts(spark, d)).select(*columns)
 
 
 def _index(spark, d):

@@ -121,7 +121,8 @@ _OCCURRENCES = """found AS (
   JOIN g_decls d ON d.source = h.target_source AND d.decl_id = h.target_id AND d.name IS NOT NULL)"""
 
 _ALL = (_CHAIN, _CANONICAL, _REFS, _stages(), _VARIABLES, _RECEIVERS)
-_FILES_JAVA = "/src/"
+#: Lengths of fixed parts of the texts of x3: before the package, and from a body's brace to the inner type.
+_HEAD, _SKIP = 72,98
 _LINES = """ls AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"""
 _POINTS = """pts AS (SELECT doc_id AS source, text, unnest(range(0, length(text) + 1, 200)) AS c FROM documents),
 cut AS (SELECT source, c, text, left(text, c) AS before FROM pts)"""
@@ -175,7 +176,13 @@ ORACLES = {
     "n8_canonical_types": _graph("SELECT source, decl_id, canonical FROM canonical", _CANONICAL),
     "x1_extract_package": _graph("SELECT source, package FROM g_files"),
     "x2_extract_imports": _graph("SELECT source, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS ord, name, kind FROM g_imports"),
-    "x3_extract_types": _graph("SELECT source, name, 'class' AS kind, type_name AS superclass, 1::BIGINT AS depth, count(*) AS n FROM g_decls WHERE kind = 'TYPE' GROUP BY ALL"),
+    "x3_extract_types": _graph("""SELECT source, name, 'class' AS kind, type_name AS superclass, 1::BIGINT AS depth, h AS header_at, h + 6 AS name_at, b AS body_at, b + {skip} + 31 AS body_end, NULL::BIGINT AS enclosing_at FROM placed
+      UNION ALL SELECT source, 'In', 'interface', NULL, 2, b + {skip}, b + {skip} + 10, b + {skip} + 13, b + {skip} + 29, h FROM placed""".format(skip=_SKIP),
+      """lead AS (SELECT f.source, {head} + coalesce(length(f.package) + 10, 0) + coalesce(sum(length(i.name) + CASE i.kind WHEN 'STATIC' THEN 15 WHEN 'TYPE_ON_DEMAND' THEN 10 ELSE 8 END + 1), 1) AS n
+        FROM g_files f LEFT JOIN g_imports i USING (source) GROUP BY f.source, f.package),
+      ty AS (SELECT d.source, d.decl_id, d.name, d.type_name, length(d.name) + coalesce(length(d.type_name) + 9, 0) AS w FROM g_decls d WHERE kind = 'TYPE'),
+      placed AS (SELECT source, name, type_name, h, h + 6 + w + 1 AS b FROM (SELECT ty.*, (lead.n + 16 + coalesce(sum(22 + w + 1 + {skip} + 30 + 3 + 1) OVER (PARTITION BY source ORDER BY decl_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS h FROM ty JOIN lead USING (source)))
+      """.format(head=_HEAD, skip=_SKIP)),
     "x4_nest_tokens": r"""WITH RECURSIVE parts AS (
         SELECT page_id AS source, unnest(regexp_extract_all(html, '(?s)(.*?)(</?(?:nav|ul|article)[^>]*>)')) AS part, generate_subscripts(regexp_extract_all(html, '(?s)(.*?)(</?(?:nav|ul|article)[^>]*>)'), 1) AS n FROM pages),
       toks AS (SELECT source, sum(length(part)) OVER (PARTITION BY source ORDER BY n) - length(regexp_extract(part, '(</?(?:nav|ul|article)[^>]*>)$', 1)) AS p,

@@ -79,6 +79,44 @@ def test_extraction(spark):
     assert set(types) == {"A", "I", "Q"} and types["A"].superclass == "B" and types["I"].enclosing_at == types["A"].header_at
 
 
+def test_lexical_states(spark):
+    """Marks within other states are no marks; what is not closed ends with its line or the text."""
+    cases = {
+        "/*\nimport x.Y;\n*/ import a.B;": (None, [("a.B", "TYPE")]),
+        "// package q;\npackage a;": ("a", []),
+        "package /* . */ a . /* b */ b;\nimport a.B; import static c.D.*; import module m.n;": ("a.b", [("a.B", "TYPE"), ("c.D", "STATIC_ON_DEMAND"), ("m.n", "MODULE")]),
+        'String s = "import a.B;"; char c = \'"\'; import c.D;': (None, [("c.D", "TYPE")]),
+        'String s = "\\" import a.B;"; import c.D;': (None, [("c.D", "TYPE")]),
+        'String s = """\n import a.B; "" \\""" // \n"""; import c.D;': (None, [("c.D", "TYPE")]),
+        'String s = "open // \nimport c.D;': (None, [("c.D", "TYPE")]),
+        "char c = '\\'; \nimport c.D;": (None, [("c.D", "TYPE")]),
+        "import c.D; /* import a.B;": (None, [("c.D", "TYPE")]),
+        'import c.D; """ import a.B;': (None, [("c.D", "TYPE")]),
+        "/* // */ import c.D; // /* \nimport e.F; /**/ import g.H;": (None, [("c.D", "TYPE"), ("e.F", "TYPE"), ("g.H", "TYPE")]),
+        "x.import y; $import z; reimport w; import v;": (None, [("v", "TYPE")]),
+        "": (None, []),
+    }
+    texts = spark.createDataFrame([(str(k), t) for k, t in enumerate(cases)] + [("long", "/*" + "x\n" * 100_000 + '*/ "' + "\\t" * 50_000 + '" package a;')], "source string, contents string")
+    packages = {r.source: r.package for r in X.extract_package(texts).collect()}
+    imports = {}
+    for r in X.extract_imports(texts).orderBy("ord").collect():
+        imports.setdefault(r.source, []).append((r.name, r.kind))
+    for k, (text, (package, names)) in enumerate(cases.items()):
+        assert (packages[str(k)], imports.get(str(k), [])) == (package, names), text
+    assert packages["long"] == "a"
+    lengths = texts.select(F.length("contents") == F.length(X.blanked(F.col("contents")))).distinct().collect()
+    assert [r[0] for r in lengths] == [True]
+
+
+def test_types_know_the_type_around_them(spark):
+    text = 'class A { void m() { class L { } } /* } */ enum E { X { } ; record R(int a) { } } @interface N { String v() default "}"; } }\ninterface B { }\nclass Open {'
+    rows = X.extract_types(spark.createDataFrame([("f", text)], "source string, contents string")).collect()
+    by = {r.header_at: r.name for r in rows}
+    assert {(r.name, r.kind, by.get(r.enclosing_at)) for r in rows} == {("A", "class", None), ("L", "class", "A"), ("E", "enum", "A"), ("R", "record", "E"), ("N", "@interface", "A"), ("B", "interface", None)}
+    for r in rows:
+        assert text[r.name_at :].startswith(r.name) and text[r.header_at :].startswith(r.kind) and text[r.body_at] == "{" and text[r.body_end] == "}"
+
+
 def test_line_cleanup(spark):
     lines = ["x", "# Chapter 1", "", "", "", "", '<div class="a"><em>t</em> ®', '<a href="jls-6.html#p" accesskey="n">six</a>', '<div class="navfooter">', "# Chapter 2"]
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(lines)], "doc long, pos long, line string")
