@@ -1,7 +1,7 @@
 """Multi-version tables: a log (key, revision, seq, deleted, value) read as of a revision.
 
-All reads are one shuffle by key: aggregates with map-side combination where only the newest row
-counts, ordered windows where a key's history does."""
+Aggregates with map-side combination where only the newest row of a key counts, ordered scans by
+segments (:mod:`.segments`) where its history does."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .segments import carried, segmented, with_carry
+
 
 def drop_noop_deletes(log: DataFrame) -> DataFrame:
     """A delete of a key that was never put is no row; later deletes are tombstones.  Comes before
@@ -44,14 +46,19 @@ def snapshot_at(log: DataFrame, revision: int) -> DataFrame:
 
 def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
     """Probes (key, at, ..) with ``value``: of the newest version with revision <= at, null if that is
-    a tombstone or there is none.  One shuffle: versions and probes meet in one ordered window."""
+    a tombstone or there is none.  Versions and places asked for meet in ordered windows, by segments of
+    keys that have very many; the last version of a segment is carried into the next.  Probes of one place
+    ask once."""
+    version = log.select("key", F.col("revision").alias("at"), F.struct("deleted", "value").alias("v"), F.col("seq").alias("s"))
+    asked = probes.select("key", "at").distinct().select("key", "at", F.lit(None).cast(version.schema["v"].dataType).alias("v"), F.lit(None).cast("bigint").alias("s"))
+    both = segmented(version.withColumn("_probe", F.lit(False)).unionByName(asked.withColumn("_probe", F.lit(True))), "key", "at")
+    tail = F.max_by("v", F.when(~F.col("_probe"), F.struct("at", "s")))
+    carry = carried(both, "key", tail, lambda c: F.last(c, ignorenulls=True))
+    order = W.partitionBy("key", "_segment").orderBy(F.col("at"), F.col("v").isNull(), F.col("s")).rowsBetween(W.unboundedPreceding, 0)
+    seen = with_carry(both.withColumn("w", F.last("v", ignorenulls=True).over(order)).where("_probe").select("key", "at", "_segment", "w"), "key", carry)
+    found = seen.withColumn("w", F.coalesce("w", "_carry")).select("key", "at", F.when(~F.col("w.deleted"), F.col("w.value")).alias("value"))
     extra = [c for c in probes.columns if c not in ("key", "at")]
-    version = log.select("key", F.col("revision").alias("at"), F.struct("deleted", "value").alias("v"), F.col("seq").alias("s"), *[F.lit(None).alias(c) for c in extra])
-    asked = probes.select("key", "at", F.lit(None).cast(version.schema["v"].dataType).alias("v"), F.lit(None).cast("bigint").alias("s"), *extra)
-    order = W.partitionBy("key").orderBy(F.col("at"), F.col("v").isNull(), F.col("s")).rowsBetween(W.unboundedPreceding, 0)
-    both = version.withColumn("_probe", F.lit(False)).unionByName(asked.withColumn("_probe", F.lit(True)))
-    seen = both.withColumn("w", F.last("v", ignorenulls=True).over(order)).where("_probe")
-    return seen.select("key", "at", *extra, F.when(~F.col("w.deleted"), F.col("w.value")).alias("value"))
+    return probes.join(found, ["key", "at"]).select("key", "at", *extra, "value")
 
 
 def assign_revisions(events: DataFrame, order: str = "seq") -> DataFrame:

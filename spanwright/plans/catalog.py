@@ -133,7 +133,7 @@ def v4_heads(spark, d):
 def v5_as_of_join(spark, d):
     keys = _log(spark, d).select("key").distinct()
     probes = keys.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(800).cast("long"), F.lit(40).cast("long"))))
-    return V.as_of_join(probes, _clean(spark, d))
+    return V.as_of_join(probes, A.materialize(_clean(spark, d), "clean"))
 
 
 @query

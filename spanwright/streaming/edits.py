@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.segments import carried, segmented, with_carry
+
 EVENTS = "seq long, event string, uri string, version int, changes array<string>"
 
 
@@ -73,11 +75,14 @@ def diagnostics_stream(events: DataFrame, checkpoint: str, path: str, analyse: C
 
 def late_policy(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, revision, seq, ..) in order of arrival (seq): those that come in ascending revisions
-    (an equal one replaces), and those that come late, which are dropped."""
-    before = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = log.withColumn("_before", F.max("revision").over(before))
-    late = F.col("revision") < F.coalesce("_before", "revision")
-    return rows.where(~late).drop("_before"), rows.where(late).drop("_before")
+    (an equal one replaces), and those that come late, which are dropped.  A key with very many rows is
+    scanned by segments, into which the highest revision so far is carried."""
+    cut = segmented(log, "key", "seq")
+    carry = carried(cut, "key", F.max("revision"), F.max)
+    before = W.partitionBy("key", "_segment").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = with_carry(cut.withColumn("_before", F.max("revision").over(before)), "key", carry)
+    rows = rows.withColumn("_late", F.col("revision") < F.coalesce(F.greatest("_before", "_carry"), "revision")).drop("_before", "_carry", "_segment")
+    return rows.where(~F.col("_late")).drop("_late"), rows.where(F.col("_late")).drop("_late")
 
 
 def snapshots_stream(events: DataFrame, checkpoint: str, path: str) -> None:

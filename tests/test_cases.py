@@ -1,6 +1,7 @@
 """Small literal cases whose results are known."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from spanwright.operators import extract as X
 from spanwright.operators import imports as B
 from spanwright.operators import lines as M
 from spanwright.operators import navigate as NV
+from spanwright.operators import segments as G
 from spanwright.operators import spans as P
 from spanwright.operators import text as T
 from spanwright.operators import versions as V
@@ -26,6 +28,34 @@ def test_as_of_chain_and_tombstone(spark):
     assert [r.key for r in V.heads(log).collect()] == ["a"]
 
 
+def test_hot_key_is_cut_into_segments(spark):
+    """One key has nine tenths of the rows: its segments are spread, and what is carried over them counts."""
+    r = random.Random(8)
+    rows = [("hot" if r.random() < 0.9 else r.choice(("a", "b", None)), r.randrange(3000), n, r.random() < 0.3, f"v{n}") for n in range(4000)]
+    rows = list({(k, a): (k, a, n, d, None if d else v) for k, a, n, d, v in rows}.values())
+    probes = [(k, at) for k in ("hot", "a", "b", "none") for at in range(-5, 3100, 13)] + [("hot", 700)] * 500
+    got = V.as_of_join(spark.createDataFrame([(k, a, n) for n, (k, a) in enumerate(probes)], "key string, at long, request long"), spark.createDataFrame(rows, LOG))
+    history = {}
+    for k, a, _, gone, v in sorted(rows, key=lambda x: x[1]):
+        history.setdefault(k, []).append((a, None if gone else v))
+
+    def newest(k, at):
+        seen = [v for a, v in history.get(k, []) if a <= at]
+        return seen[-1] if seen else None
+
+    assert sorted((x.request, x.key, x["at"], x.value) for x in got.collect()) == [(n, k, a, newest(k, a)) for n, (k, a) in enumerate(probes)]
+    log = spark.createDataFrame(rows, LOG)
+    sizes = {x["key"]: x["count"] for x in G.segmented(log, "key", "revision", 8).groupBy("key", "_segment").count().groupBy("key").agg(F.count("*").alias("count")).collect()}
+    assert sizes["hot"] >= 7 and sizes["a"] == sizes["b"] == sizes[None] == 1
+    kept, late = ST.late_policy(log.select("key", "revision", "seq"))
+    top, want = {}, set()
+    for k, a, n, _, _ in sorted(rows, key=lambda x: x[2]):
+        if a < top.get(k, -1):
+            want.add(n)
+        top[k] = max(a, top.get(k, -1))
+    assert {x.seq for x in late.collect()} == want and {x.seq for x in kept.collect()} == {x[2] for x in rows} - want
+
+
 def test_unknown_delete_and_same_revision(spark):
     log = spark.createDataFrame([("c", 1, 1, True, None), ("d", 1, 2, False, "p"), ("d", 1, 3, False, "q")], LOG)
     assert V.drop_noop_deletes(log).where("key = 'c'").count() == 0
