@@ -122,6 +122,29 @@ def find_members(owners: DataFrame, decls: DataFrame, namespace: str) -> DataFra
     return owners.join(body.join(member, ["owner_source", "scope_id"]).drop("scope_id"), ["owner_source", "owner_id", "name"])
 
 
+def find_inherited_members(owners: DataFrame, decls: DataFrame, direct: DataFrame, namespace: str) -> DataFrame:
+    """Like :func:`find_members`, and where a type has no member of the name, those of its nearest supertypes
+    (``direct``: source, decl_id, super_source, super_id) that have; (.., target_source, member_id, steps).
+    Each round asks one step further up, only for what is still missing; a type is asked once for each
+    question, so circles end."""
+    asked = [c for c in owners.columns if c not in ("owner_source", "owner_id")]
+    question = ["_by_source", "_by_id", *asked]
+    at = owners.withColumns({"_by_source": F.col("owner_source"), "_by_id": F.col("owner_id")}).select(*question, "owner_source", "owner_id").distinct()
+    edges = direct.select(F.col("source").alias("owner_source"), F.col("decl_id").alias("owner_id"), "super_source", "super_id").distinct()
+    at, seen, out, steps = materialize(at, "asked"), None, None, 0
+    while True:
+        found = materialize(find_members(at, decls, namespace), "members")
+        hits = found.select(F.col("_by_source").alias("owner_source"), F.col("_by_id").alias("owner_id"), *asked, F.col("owner_source").alias("target_source"), "member_id", F.lit(steps).alias("steps"))
+        out = hits if out is None else out.unionByName(hits)
+        seen = at if seen is None else seen.unionByName(at)
+        up = at.join(found.select(*question).distinct(), question, "left_anti").join(edges, ["owner_source", "owner_id"])
+        up = up.select(*question, F.col("super_source").alias("owner_source"), F.col("super_id").alias("owner_id")).distinct()
+        at = materialize(up.join(seen, [*question, "owner_source", "owner_id"], "left_anti"), "asked")
+        if at.isEmpty():
+            return out.distinct()
+        steps += 1
+
+
 def resolve_variables(refs: DataFrame, chain: DataFrame, decls: DataFrame) -> DataFrame:
     """Locals declared no later than the use (refs need ``at``), parameters and fields of the name in
     the nearest scope that has any; own file only."""
@@ -136,11 +159,12 @@ def resolve_type_refs(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(kept.select("source", "ref_id"), ["source", "ref_id"], "left_semi")
 
 
-def receiver_class(nodes: DataFrame, variables: DataFrame, name_types: DataFrame, declared: DataFrame, enclosing: DataFrame, decls: DataFrame) -> DataFrame:
+def receiver_class(nodes: DataFrame, variables: DataFrame, name_types: DataFrame, declared: DataFrame, enclosing: DataFrame, decls: DataFrame, created: DataFrame | None = None) -> DataFrame:
     """(source, node_id, class_source, class_id): the class through which a member of the expression
     is looked up.  ``variables`` are targets of name references, ``name_types`` the summaries of
     their names as types, ``declared`` (source, decl_id, class_source, class_id) the first class of each
-    declaration's type.  Rounds go up from the receivers: each solves the nodes whose receiver the
+    declaration's type, ``created`` (source, node_id, class_source, class_id) that of each creation's.
+    Rounds go up from the receivers: each solves the nodes whose receiver the
     round before solved, and stops when there is none.  First means smallest (source, id)."""
     first = variables.groupBy("source", "ref_id").agg(F.min("target_id").alias("decl_id"))
     names = nodes.where("kind = 'NAME_REF'").select("source", "node_id")
@@ -150,6 +174,8 @@ def receiver_class(nodes: DataFrame, variables: DataFrame, name_types: DataFrame
     this = nodes.where("kind = 'THIS'").join(enclosing, ["source", "scope_id"])
     columns = ["source", "node_id", "class_source", "class_id"]
     solved = by_variable.select(*columns).unionByName(by_type.select(*columns)).unionByName(this.select("source", "node_id", F.col("source").alias("class_source"), F.col("type_id").alias("class_id")))
+    if created is not None:
+        solved = solved.unionByName(nodes.where("kind = 'OBJECT_CREATION'").select("source", "node_id").join(created, ["source", "node_id"]).select(*columns))
     solved = materialize(solved, "receivers")
     out = solved
     asked = nodes.where("kind in ('FIELD_ACCESS', 'METHOD_CALL')").select("source", "node_id", "kind", "name", "receiver_id", "scope_id")

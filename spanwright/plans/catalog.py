@@ -447,14 +447,27 @@ def _declared(found: DataFrame) -> DataFrame:
     return found.select("source", F.col("ref_id").alias("decl_id"), F.col("first_source").alias("class_source"), F.col("first_id").alias("class_id"))
 
 
+def _all_nodes(spark, d):
+    """The graph's nodes with those of ``this``, of created types, and of calls without a receiver."""
+    columns = ["source", "node_id", "kind", "name", "receiver_id", "scope_id"]
+    nodes = table(spark, d, "g_nodes").select(*columns).unionByName(table(spark, d, "g_made").select(*columns))
+    return A.materialize(nodes, "nodes")
+
+
 def _receivers(spark, d):
-    nodes, decls = table(spark, d, "g_nodes"), table(spark, d, "g_decls")
+    nodes, decls = _all_nodes(spark, d), table(spark, d, "g_decls")
     named = nodes.where("kind = 'NAME_REF'").select("source", F.col("node_id").alias("ref_id"), "scope_id", "name")
+    made = table(spark, d, "g_made").where("kind = 'OBJECT_CREATION'").select("source", F.col("node_id").alias("ref_id"), "scope_id", F.col("type_name").alias("name"))
     enclosing = A.materialize(SC.enclosing_type(_chain(spark, d), table(spark, d, "g_scopes"), decls), "enclosing")
-    # every round joins these again
-    declared = A.materialize(_declared(_summaries(spark, d)), "declared")
-    variables, types = A.materialize(_variables(spark, d), "variables"), A.materialize(_summaries(spark, d, named), "types")
-    return R.receiver_class(nodes, variables, types, declared, enclosing, decls), enclosing
+    # every round joins these again; references of all kinds share one environment
+    key = ["source", "ref_id", "scope_id", "name", "what"]
+    refs = _refs(spark, d).withColumn("what", F.lit("declared")).select(*key).unionByName(named.withColumn("what", F.lit("name")).select(*key)).unionByName(made.withColumn("what", F.lit("made")).select(*key))
+    refs = A.materialize(refs.withColumn("ref_id", F.struct("what", "ref_id")).drop("what"), "refs")
+    told = A.materialize(_summaries(spark, d, refs).withColumn("what", F.col("ref_id.what")).withColumn("ref_id", F.col("ref_id.ref_id")), "told")
+    declared, types = _declared(told.where("what = 'declared'")), told.where("what = 'name'")
+    created = told.where("what = 'made'").select("source", F.col("ref_id").alias("node_id"), F.col("first_source").alias("class_source"), F.col("first_id").alias("class_id"))
+    variables = A.materialize(_variables(spark, d), "variables")
+    return R.receiver_class(nodes, variables, types, declared, enclosing, decls, created), enclosing, nodes, variables, made
 
 
 @query
@@ -463,11 +476,11 @@ def r9_receiver_class(spark, d):
 
 
 def _expressions(spark, d):
-    nodes, decls = table(spark, d, "g_nodes"), table(spark, d, "g_decls")
-    receivers, enclosing = _receivers(spark, d)
+    decls = table(spark, d, "g_decls")
+    receivers, enclosing, nodes, variables, made = _receivers(spark, d)
     members = R.resolve_members(nodes, receivers, enclosing, decls)
-    nothing = members.limit(0)  # the graph has no ``this`` and creates nothing
-    return R.resolve_expressions(_variables(spark, d), members, nothing, nothing)
+    this = nodes.where("kind = 'THIS'").join(enclosing, ["source", "scope_id"]).select("source", F.col("node_id").alias("ref_id"), F.col("source").alias("target_source"), F.col("type_id").alias("target_id"))
+    return R.resolve_expressions(variables, members, this, _candidates(spark, d, made))
 
 
 @query
@@ -475,18 +488,36 @@ def r10_resolve_expressions(spark, d):
     return _expressions(spark, d)
 
 
-def _occurrences(spark, d, points):
-    return NV.resolve_occurrences(points, _index(spark, d), _expressions(spark, d), _candidates(spark, d), table(spark, d, "g_decls"))
+@query
+def r6_inherited_members(spark, d):
+    """Fields by name of types, or else of the nearest supertypes that have any."""
+    decls = table(spark, d, "g_decls")
+    owners = decls.where("kind = 'TYPE'").select(F.col("source").alias("owner_source"), F.col("decl_id").alias("owner_id"), F.explode(F.array(*[F.lit(f"v{k}") for k in range(9)])).alias("name"))
+    return R.find_inherited_members(owners, decls, table(spark, d, "g_supers"), "VARIABLE")
+
+
+def _field_types(spark, d):
+    """Types written before first fields, as references and as decls with their spans."""
+    return table(spark, d, "g_decls").where("kind = 'FIELD' and decl_id % 100 = 1").withColumn("type_start", F.col("start_at") + 3).withColumn("type_end", F.col("start_at") + 5)
+
+
+def _occurrences(spark, d):
+    """Of nodes, and of types that are written before fields (their requests are negative)."""
+    decls, fields = table(spark, d, "g_decls"), _field_types(spark, d)
+    written = P.position_index(fields, table(spark, d, "g_scopes").limit(0), None, table(spark, d, "g_nodes").limit(0)).where("entity_kind = 'TYPE_REF'")
+    refs = fields.select("source", F.col("decl_id").alias("ref_id"), "scope_id", F.col("type_name").alias("name"))
+    points = _node_points(spark, d).unionByName(fields.select("source", (-F.col("decl_id")).alias("request_id"), (F.col("type_start") + 1).alias("at")))
+    return NV.resolve_occurrences(points, _index(spark, d).unionByName(written), _expressions(spark, d), _candidates(spark, d, refs), decls)
 
 
 @query
 def r11_resolve_occurrences(spark, d):
-    return _occurrences(spark, d, _node_points(spark, d)).select("request_id", "source", "target_source", "target_id", "name_start", "name_end")
+    return _occurrences(spark, d).select("request_id", "source", "target_source", "target_id", "name_start", "name_end")
 
 
 @query
 def r13_hover(spark, d):
-    return NV.hover(_occurrences(spark, d, _node_points(spark, d)), _labels(spark, d))
+    return NV.hover(_occurrences(spark, d), _labels(spark, d))
 
 
 @query
@@ -554,11 +585,20 @@ def r12_goto_locations(spark, d):
     """From the superclass named on each line to the file's classes of that name."""
     rows = A.materialize(_class_lines(spark, d), "lines")
     start = F.col("start_at") + F.length("name") + 15
-    uses = rows.select("source", start.alias("at"), F.col("base").alias("name"))
-    named = rows.select("source", "name", F.col("node_id").alias("target_id"), (F.col("start_at") + 6).alias("name_start"), (F.col("start_at") + 6 + F.length("name")).alias("name_end"))
+    scopes = rows.select("source", F.lit(0).cast("long").alias("scope_id"), F.lit(0).cast("long").alias("start_at"), F.lit(1 << 40).alias("end_at")).distinct()
+    chain = scopes.select("source", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("distance"))
+    end = F.col("start_at") + F.octet_length("text")
+    decls = rows.select(
+        "source", F.col("node_id").alias("decl_id"), F.lit("TYPE").alias("kind"), "name", F.lit(0).cast("long").alias("scope_id"), (F.col("start_at") + 6).alias("name_start"),
+        F.col("start_at"), end.alias("end_at"), start.alias("type_start"), (start + F.length("base")).alias("type_end"),
+    )
+    types = R.resolve_lexical(rows.select("source", F.col("node_id").alias("ref_id"), F.lit(0).cast("long").alias("scope_id"), F.col("base").alias("name")), chain, decls)
+    nodes = decls.select("source", F.col("decl_id").alias("node_id"), "kind", "name", "name_start", "start_at", "end_at").limit(0)
+    index = P.position_index(decls, scopes, None, nodes)
+    nothing = types.limit(0)
 
     def resolve(points):
-        return points.join(uses, ["source", "at"]).join(named, ["source", "name"]).select("request_id", "source", "at", F.col("source").alias("target_source"), "target_id", "name_start", "name_end")
+        return NV.resolve_occurrences(points, index, nothing, types, decls)
 
     uri = F.concat(F.when(F.col("node_id") % 7 == 0, "git:").otherwise("file://"), "source")
     asked = rows.select(F.col("node_id").alias("request_id"), uri.alias("uri"), F.col("line").cast("long").alias("line"), (F.length("name") + 15).cast("long").alias("character"))

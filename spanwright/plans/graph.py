@@ -50,6 +50,13 @@ UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 1, 'FIELD_ACCESS', concat(
        obase + n * 1000 + 250, obase + n * 1000 + 255, obase + n * 1000 + 253 FROM li WHERE l_linenumber <> 1
 UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 2, 'METHOD_CALL', concat('m', l_suppkey % 4), l_orderkey * 1000 + n * 10 + 1, l_orderkey * 100 + 1 + n,
        obase + n * 1000 + 250, obase + n * 1000 + 258, obase + n * 1000 + 256 FROM li WHERE l_linenumber > 2""",
+    "g_made": """
+SELECT source, l_orderkey * 1000 + n * 10 + 4 AS node_id, 'THIS' AS kind, CAST(NULL AS STRING) AS name, CAST(NULL AS BIGINT) AS receiver_id,
+       l_orderkey * 100 + 1 + n AS scope_id, CAST(NULL AS STRING) AS type_name FROM li WHERE l_linenumber % 2 = 0
+UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 5, 'FIELD_ACCESS', concat('v', l_suppkey % 7), l_orderkey * 1000 + n * 10 + 4, l_orderkey * 100 + 1 + n, CAST(NULL AS STRING) FROM li WHERE l_linenumber % 2 = 0
+UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 6, 'OBJECT_CREATION', CAST(NULL AS STRING), CAST(NULL AS BIGINT), l_orderkey * 100 + 1 + n, concat('T', l_partkey % 60) FROM li WHERE l_linenumber % 3 = 0
+UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 7, 'METHOD_CALL', concat('m', l_partkey % 4), l_orderkey * 1000 + n * 10 + 6, l_orderkey * 100 + 1 + n, CAST(NULL AS STRING) FROM li WHERE l_linenumber % 3 = 0
+UNION ALL SELECT source, l_orderkey * 1000 + n * 10 + 8, 'METHOD_CALL', concat('m', l_suppkey % 5), CAST(NULL AS BIGINT), l_orderkey * 100 + 1 + n, CAST(NULL AS STRING) FROM li WHERE l_linenumber % 4 = 1""",
     "g_inner": """
 SELECT source, l_orderkey * 1000 + 400 + n AS decl_id, concat('I', n % 3) AS name, l_orderkey * 100 + 1 AS scope_id, l_orderkey * 1000 AS outer_id,
        l_partkey % 2 = 0 AS is_static, CASE l_suppkey % 4 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'PROTECTED' WHEN 2 THEN 'PACKAGE' ELSE 'PRIVATE' END AS access,

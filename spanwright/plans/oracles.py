@@ -59,24 +59,30 @@ _RECEIVERS = (
   SELECT source, ref_id AS decl_id, min((target_source, target_id)) AS t FROM staged GROUP BY source, ref_id),
 names AS (SELECT source, node_id AS ref_id, scope_id, name FROM g_nodes WHERE kind = 'NAME_REF'), """
     + _stages("names", "_n")
+    + ", made AS (SELECT source, node_id AS ref_id, scope_id, type_name AS name FROM g_made WHERE kind = 'OBJECT_CREATION'), "
+    + _stages("made", "_c")
     + """,
+every_node AS MATERIALIZED (SELECT source, node_id, kind, name, receiver_id, scope_id FROM g_nodes UNION ALL SELECT source, node_id, kind, name, receiver_id, scope_id FROM g_made),
 first_variable AS (SELECT source, ref_id, min(target_id) AS decl_id FROM variables GROUP BY source, ref_id),
 round0 AS MATERIALIZED (
   SELECT v.source, v.ref_id AS node_id, d.t FROM first_variable v JOIN declared d ON d.source = v.source AND d.decl_id = v.decl_id
   UNION ALL SELECT source, ref_id, min((target_source, target_id)) FROM staged_n s
-  WHERE NOT EXISTS (SELECT 1 FROM first_variable v WHERE v.source = s.source AND v.ref_id = s.ref_id) GROUP BY source, ref_id HAVING count(*) = 1),
+  WHERE NOT EXISTS (SELECT 1 FROM first_variable v WHERE v.source = s.source AND v.ref_id = s.ref_id) GROUP BY source, ref_id HAVING count(*) = 1
+  UNION ALL SELECT source, ref_id, min((target_source, target_id)) FROM staged_c GROUP BY source, ref_id
+  UNION ALL SELECT n.source, n.node_id, {'source': e.source, 'id': e.type_id} FROM g_made n JOIN enclosing e USING (source, scope_id) WHERE n.kind = 'THIS'),
 members AS MATERIALIZED (
   SELECT t.source AS owner_source, t.decl_id AS owner_id, m.name, CASE m.kind WHEN 'METHOD' THEN 'METHOD_CALL' ELSE 'FIELD_ACCESS' END AS kind, m.decl_id AS member_id
   FROM g_decls t JOIN g_decls m ON m.source = t.source AND m.scope_id = t.body_scope_id WHERE t.kind = 'TYPE' AND m.kind IN ('FIELD', 'LOCAL', 'METHOD')),
 owner1 AS MATERIALIZED (
-  SELECT n.source, n.node_id, n.kind, n.name, r.t[1] AS owner_source, r.t[2] AS owner_id FROM g_nodes n JOIN round0 r ON r.source = n.source AND r.node_id = n.receiver_id),
+  SELECT n.source, n.node_id, n.kind, n.name, r.t[1] AS owner_source, r.t[2] AS owner_id FROM every_node n JOIN round0 r ON r.source = n.source AND r.node_id = n.receiver_id
+  UNION ALL SELECT n.source, n.node_id, n.kind, n.name, e.source, e.type_id FROM g_made n JOIN enclosing e USING (source, scope_id) WHERE n.kind = 'METHOD_CALL' AND n.receiver_id IS NULL),
 hit1 AS MATERIALIZED (
   SELECT n.source, n.node_id, n.kind, m.owner_source, m.member_id FROM owner1 n JOIN members m USING (owner_source, owner_id, name, kind)),
 round1 AS MATERIALIZED (
   SELECT h.source, h.node_id, d.t FROM (SELECT source, node_id, owner_source, min(member_id) AS member_id FROM hit1 GROUP BY ALL) h
   JOIN declared d ON d.source = h.owner_source AND d.decl_id = h.member_id),
 owner2 AS MATERIALIZED (
-  SELECT n.source, n.node_id, n.kind, n.name, r.t[1] AS owner_source, r.t[2] AS owner_id FROM g_nodes n JOIN round1 r ON r.source = n.source AND r.node_id = n.receiver_id),
+  SELECT n.source, n.node_id, n.kind, n.name, r.t[1] AS owner_source, r.t[2] AS owner_id FROM every_node n JOIN round1 r ON r.source = n.source AND r.node_id = n.receiver_id),
 hit2 AS MATERIALIZED (
   SELECT n.source, n.node_id, n.kind, m.owner_source, m.member_id FROM owner2 n JOIN members m USING (owner_source, owner_id, name, kind)),
 round2 AS (
@@ -105,7 +111,7 @@ _LABELS = """labels AS (
 
 
 def _graph(body: str, *ctes: str) -> str:
-    names = ("g_files", "g_scopes", "g_decls", "g_imports", "g_nodes", "g_versions", "g_inner", "g_qrefs", "g_statics", "g_irefs", "g_locals", "g_supers", "g_bounds", "g_aliases")
+    names = ("g_files", "g_scopes", "g_decls", "g_imports", "g_nodes", "g_versions", "g_inner", "g_qrefs", "g_statics", "g_irefs", "g_locals", "g_supers", "g_bounds", "g_aliases", "g_made")
     text = " ".join((body, *ctes))
     views = re.sub(r"\b(li|g_\w+) AS \(", r"\1 AS MATERIALIZED (", prefix(*[n for n in names if n in text]))
     return "WITH RECURSIVE " + ", ".join((views, *ctes)) + " " + body
@@ -117,10 +123,11 @@ _OCCURRENCES = """found AS (
     UNION SELECT t.source, t.request_id, v.target_source, v.target_id FROM tightest t JOIN (
       SELECT source, ref_id, target_source, target_id FROM variables
       UNION SELECT source, node_id, owner_source, member_id FROM hit1 UNION SELECT source, node_id, owner_source, member_id FROM hit2) v
-      ON t.entity_kind = 'NODE' AND v.source = t.source AND v.ref_id = t.entity_id) h
+      ON t.entity_kind = 'NODE' AND v.source = t.source AND v.ref_id = t.entity_id
+    UNION SELECT d.source, -d.decl_id, s.target_source, s.target_id FROM g_decls d JOIN staged s ON s.source = d.source AND s.ref_id = d.decl_id WHERE d.kind = 'FIELD' AND d.decl_id % 100 = 1) h
   JOIN g_decls d ON d.source = h.target_source AND d.decl_id = h.target_id AND d.name IS NOT NULL)"""
 
-_ALL = (_CHAIN, _CANONICAL, _REFS, _stages(), _VARIABLES, _RECEIVERS)
+_ALL = (_CHAIN, _CANONICAL, _REFS, _stages(), _VARIABLES, _ENCLOSING, _RECEIVERS)
 #: Lengths of fixed parts of the texts of x3: before the package, and from a body's brace to the inner type.
 _HEAD, _SKIP = 72,98
 _LINES = """ls AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"""
@@ -214,7 +221,12 @@ ORACLES = {
     "r8_resolve_type_refs": _graph("SELECT source, ref_id, count(*) AS n, sum(target_id)::BIGINT AS ids FROM staged GROUP BY ALL", _CHAIN, _CANONICAL, _REFS, _stages()),
     "r9_receiver_class": _graph("SELECT source, node_id, t.source AS class_source, t.id AS class_id FROM (SELECT * FROM round0 UNION ALL SELECT * FROM round1 UNION ALL SELECT * FROM round2)", *_ALL),
     "r10_resolve_expressions": _graph("""SELECT source, ref_id, target_source, target_id FROM variables UNION SELECT source, node_id, owner_source, member_id FROM hit1
-      UNION SELECT source, node_id, owner_source, member_id FROM hit2""", *_ALL),
+      UNION SELECT source, node_id, owner_source, member_id FROM hit2 UNION SELECT source, ref_id, target_source, target_id FROM staged_c
+      UNION SELECT n.source, n.node_id, e.source, e.type_id FROM g_made n JOIN enclosing e USING (source, scope_id) WHERE n.kind = 'THIS'""", *_ALL),
+    "r6_inherited_members": _graph("""SELECT DISTINCT source AS owner_source, id AS owner_id, name, ts AS target_source, member AS member_id, d AS steps FROM (
+        SELECT u.*, m.name, m.member, min(u.d) OVER (PARTITION BY u.source, u.id, m.name) AS least FROM up u JOIN own m ON m.source = u.ts AND m.id = u.tid) WHERE d = least""",
+      """own AS MATERIALIZED (SELECT t.source, t.decl_id AS id, m.name, m.decl_id AS member FROM g_decls t JOIN g_decls m ON m.source = t.source AND m.scope_id = t.body_scope_id WHERE t.kind = 'TYPE' AND m.kind IN ('FIELD', 'LOCAL')),
+      up(source, id, ts, tid, d) AS (SELECT source, decl_id, source, decl_id, 0 FROM g_decls WHERE kind = 'TYPE' UNION SELECT u.source, u.id, e.super_source, e.super_id, u.d + 1 FROM up u JOIN g_supers e ON e.source = u.ts AND e.decl_id = u.tid)"""),
     "r11_resolve_occurrences": _graph("SELECT * FROM found", *_ALL, _INDEX, _TIGHTEST, _OCCURRENCES),
     "r13_hover": _graph("""SELECT request_id, 'Java declaration' || coalesce(': ' || label, '') AS text, t.name_start AS name_start, t.name_end AS name_end FROM (
       SELECT request_id, source, arg_min({'i': target_id, 'name_start': name_start, 'name_end': name_end}, {'a': name_start, 'b': target_id}) AS t FROM found WHERE source = target_source GROUP BY ALL) f
