@@ -91,6 +91,20 @@ def a6_replace_contribution(spark, d):
     return V.replace_contribution(decls, new)
 
 
+@query
+def a6_bucketed_replacement(spark, d):
+    """The table after three contributions, the last one written twice."""
+    decls = A.materialize(R.project_classes(table(spark, d, "g_decls"), table(spark, d, "g_files")), "decls")
+    path = A.new_folder(spark, "contributions")
+    A.replace_in_buckets(path, decls, decls.select("source"))
+    renamed = decls.where("fqn not like 'p.%'").select("source", F.concat(F.lit("new."), "fqn").alias("fqn"), "kind")
+    A.replace_in_buckets(path, renamed, renamed.select("source"))
+    emptied = decls.where("source like '%7'").select("source")
+    for _ in range(2):
+        A.replace_in_buckets(path, decls.limit(0), emptied)
+    return spark.read.parquet(path).select("source", "fqn", "kind")
+
+
 @query
 def a7_trace_rows(spark, d):
     events = _read(spark, d, "events").select(F.lit("in").alias("dir"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", "props")
@@ -834,31 +848,75 @@ def st1_edit_stream(spark, d):
     return spark.read.parquet(f"{at}/log").select("source", "revision", "contents")
 
 
+def _in_batches(spark, rows, order, run, batches=3):
+    """Runs ``run`` on a stream over a folder each time that a next range of ``rows`` by ``order`` has been
+    added to it."""
+    folder = A.new_folder(spark, "arriving")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    for k in range(batches):
+        part = rows.where((F.col(order) >= low + (high + 1 - low) * k // batches) & (F.col(order) < low + (high + 1 - low) * (k + 1) // batches))
+        part.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).parquet(folder))
+
+
+def _event_rows(spark, d):
+    kind = F.when(F.col("event_type") == "error", "CLOSE").otherwise("CHANGE")
+    return _read(spark, d, "events").select(F.col("event_id").alias("seq"), kind.alias("event"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri"), F.lit(1).alias("version"), F.array("event_type", "props").alias("changes"))
+
+
 @query
 def st2_heads_stream(spark, d):
-    at = f"{A.shared_dir(spark)}/heads-{uuid.uuid4().hex}"
-    ST.run_batches(ST.heads_stream(ST.edit_stream(_edits(spark, d))), f"{at}/checkpoint", ST.append_versions(f"{at}/heads"), "update")
-    newest = spark.read.parquet(f"{at}/heads").groupBy("source").agg(F.max_by(F.struct("revision", "contents"), "revision").alias("h"))
+    at = A.new_folder(spark, "heads")
+    _in_batches(spark, _event_rows(spark, d), "seq", lambda s: ST.run_batches(ST.heads_stream(ST.edit_stream(s)), f"{at}/checkpoint", ST.split_late(at), "update", True), 2)
+    newest = spark.read.parquet(f"{at}/kept").groupBy("source").agg(F.max_by(F.struct("revision", "contents"), "revision").alias("h"))
     return newest.select("source", "h.revision", "h.contents")
 
 
 @query
 def st3_diagnostics_stream(spark, d):
-    at = f"{A.shared_dir(spark)}/published-{uuid.uuid4().hex}"
-    size = lambda t: t.select("source", F.octet_length("contents").cast("long").alias("n_bytes"))
-    ST.diagnostics_stream(_edits(spark, d), f"{at}/checkpoint", f"{at}/out", size)
-    out = spark.read.parquet(f"{at}/out")
-    last = out.groupBy("source").agg(F.max_by(F.struct("version", "n_bytes"), "batch").alias("p"))
-    return last.select("source", "p.version", "p.n_bytes")
+    """Superclasses that no open text declares, after three batches of edits: each order is an edit of its
+    customer's text, which it replaces by one class with a superclass."""
+    orders = _read(spark, d, "orders")
+    text = F.format_string("class T%s extends T%s { }", (F.col("o_orderkey") % 97).cast("string"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 131).cast("string"))
+    edits = orders.select(
+        F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 11 == 0, "CLOSE").otherwise("CHANGE").alias("event"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("uri"),
+        F.lit(1).alias("version"), F.when(F.col("o_orderkey") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(text)).alias("changes"),
+    )
+    at = A.new_folder(spark, "diagnostics")
+
+    def facts(texts):
+        types = X.extract_types(texts)
+        declared = types.select("source", F.lit("DECLARES").alias("kind"), "name", F.col("name_at").alias("start_at"), (F.col("name_at") + F.length("name")).alias("end_at"))
+        base = F.col("name_at") + F.length("name") + F.length(F.lit(" extends "))
+        return declared.unionByName(types.where("superclass is not null").select("source", F.lit("WANTS"), F.col("superclass"), base, base + F.length("superclass")).toDF(*declared.columns))
+
+    def diagnose(wants, declares):
+        missing = wants.join(declares.select("name").distinct(), "name", "left_anti")
+        return missing.select("source", "start_at", "end_at", F.lit("cannot-find-symbol").alias("code"), F.concat(F.lit("cannot find symbol: "), "name").alias("message"))
+
+    _in_batches(spark, edits, "seq", lambda s: ST.diagnostics_stream(s, f"{at}/checkpoint", at, facts, diagnose))
+    return spark.read.parquet(f"{at}/published").select("source", "version", "start_at", "end_at", "code", "message")
 
 
 @query
 def st4_batch_barrier(spark, d):
-    at = f"{A.shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
-    ST.snapshots_stream(_edits(spark, d), f"{at}/checkpoint", at)
-    seen = spark.read.parquet(f"{at}/snapshots")
-    last = seen.select(F.max("as_of").alias("as_of"))
-    return seen.join(last, "as_of").select("source", "revision", "contents", "as_of")
+    """The newest texts at the end of each of three batches, while the log already holds rows of the future."""
+    at = A.new_folder(spark, "snapshots")
+    rows = _event_rows(spark, d)
+    ahead = ST.edit_stream(rows).withColumn("revision", F.col("revision") + (1 << 40))
+    ahead.write.parquet(f"{at}/log/batch=99")
+    _in_batches(spark, rows, "seq", lambda s: ST.snapshots_stream(s, f"{at}/checkpoint", at))
+    return spark.read.parquet(f"{at}/snapshots").select("source", "revision", "contents", "as_of")
+
+
+@query
+def st5_late_stream(spark, d):
+    """The rule on late rows in keyed state, over three batches, with late rows in an output of their own."""
+    at = A.new_folder(spark, "late")
+    rows = table(spark, d, "g_versions").select(F.col("key").alias("source"), "revision", "seq", F.lit("").alias("contents"))
+    _in_batches(spark, rows, "seq", lambda s: ST.run_batches(ST.heads_stream(s, every=True), f"{at}/checkpoint", ST.split_late(at), "update", True))
+    part = lambda n: spark.read.parquet(f"{at}/{n}").select(F.col("source").alias("key"), "revision", "seq", F.lit(n == "late").alias("late"))
+    return part("kept").unionByName(part("late"))
 
 
 @query

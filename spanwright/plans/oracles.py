@@ -331,10 +331,17 @@ ORACLES |= {
     "b12_local_types": _graph("""SELECT source, ref_id, source AS target_source, target_id FROM near
       UNION ALL SELECT r.source, r.ref_id, r.source, i.decl_id FROM g_irefs r JOIN g_inner i ON i.source = r.source AND i.scope_id = (r.scope_id // 100) * 100 + 1 AND i.name = r.name
       WHERE NOT EXISTS (SELECT 1 FROM near x WHERE x.source = r.source AND x.ref_id = r.ref_id)""", _LOCAL_HITS),
-    "st3_diagnostics_stream": """SELECT source, CASE WHEN e.k <> 'error' THEN 1 END AS version, CASE WHEN e.k <> 'error' THEN strlen(e.p)::BIGINT END AS n_bytes FROM (
-      SELECT concat('u', user_id) AS source, arg_max({'k': event_type, 'p': props}, event_id) AS e FROM events GROUP BY ALL)""",
-    "st4_batch_barrier": """SELECT concat('u', user_id) AS source, max(event_id) AS revision, arg_max(props, event_id) AS contents,
-      (SELECT max(event_id) FROM events WHERE event_type <> 'error') AS as_of FROM events WHERE event_type <> 'error' GROUP BY user_id""",
+    "a6_bucketed_replacement": _graph("""SELECT d.source, CASE WHEN f.package IS NULL THEN 'new.' || d.name ELSE f.package || '.' || d.name END AS fqn, 'CLASS' AS kind
+      FROM g_decls d JOIN g_files f USING (source) WHERE d.kind = 'TYPE' AND d.scope_id = 0 AND d.source NOT LIKE '%7'"""),
+    "st3_diagnostics_stream": """WITH e AS (SELECT 'c' || o_custkey AS source, arg_max(o_orderkey, o_orderkey) AS last, max(o_orderkey) FILTER (o_orderkey % 11 <> 0) AS k, any_value(o_custkey) AS c FROM orders GROUP BY o_custkey),
+      t AS (SELECT source, last % 11 = 0 AS closed, 'T' || (k % 97) AS name, 'T' || ((k * 7 + c) % 131) AS base FROM e),
+      m AS (SELECT *, NOT closed AND base IS NOT NULL AND base NOT IN (SELECT name FROM t WHERE name IS NOT NULL) AS bad FROM t)
+      SELECT source, CASE WHEN NOT closed THEN 1 END AS version, CASE WHEN bad THEN length(name) + 15 END::BIGINT AS start_at, CASE WHEN bad THEN length(name) + 15 + length(base) END::BIGINT AS end_at,
+        CASE WHEN bad THEN 'cannot-find-symbol' END AS code, CASE WHEN bad THEN 'cannot find symbol: ' || base END AS message FROM m""",
+    "st4_batch_barrier": """WITH b AS (SELECT min(event_id) AS low, max(event_id) + 1 AS high FROM events),
+      cuts AS (SELECT (SELECT max(event_id) FROM events WHERE event_type <> 'error' AND event_id < low + (high - low) * k // 3) AS as_of FROM b, (SELECT unnest([1, 2, 3]) AS k))
+      SELECT concat('u', user_id) AS source, max(event_id) AS revision, arg_max(props, event_id) AS contents, as_of FROM events JOIN cuts ON event_id <= as_of WHERE event_type <> 'error' GROUP BY user_id, as_of""",
+    "st5_late_stream": _graph("""SELECT key, revision, seq, coalesce(revision < max(revision) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM g_versions"""),
     "st5_late_policy": _graph("""SELECT key, revision, seq, coalesce(revision < max(revision) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM g_versions"""),
 }
 

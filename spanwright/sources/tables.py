@@ -72,6 +72,30 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def replace_in_buckets(path: str, new: DataFrame, sources: DataFrame, buckets: int = 64) -> None:
+    """Makes ``new`` all that the given ``sources`` (source) have in the table at ``path``, which is kept in
+    ``buckets`` partitions by a hash of the source: only the buckets of those sources are read and
+    overwritten.  The same call again leaves the same table, so a batch may be run again."""
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int").alias("bucket")
+    told = sources.select("source").distinct()
+    touched = sorted(r[0] for r in told.select(bucket).distinct().collect())  # ``buckets`` at most
+    rows = new.join(told, "source", "left_semi").select(*new.columns, bucket)
+    if exists(spark, path):
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+        rows = rows.unionByName(old.join(told, "source", "left_anti"))
+    rows = materialize(rows, "buckets")
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    left = {r[0] for r in rows.select("bucket").distinct().collect()}
+    remove(spark, [f"{path}/bucket={b}" for b in touched if b not in left])
+    discard(rows)
+
+
 def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     """One row per file below ``path``: source (kind, path, entry_path) and the whole text, of every
     file whether or not a language claims it."""
