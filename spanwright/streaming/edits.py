@@ -58,7 +58,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         self.held.clear()
-        yield pd.DataFrame({"source": [], "revision": [], "seq": [], "contents": [], "late": []}).astype({"revision": "int64", "seq": "int64", "late": "bool"})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -67,7 +67,8 @@ class InOrder(StatefulProcessor):
 def heads_stream(versions: DataFrame, every: bool = False, expire_ms: int | None = None) -> DataFrame:
     """Keyed state over (source, revision, contents, and seq where rows do not arrive by revision): after each
     batch the newest row of each source that has one, and the rows that came late.  A close leaves the
-    text.  Run it with ``stateful`` in :func:`run_batches`."""
+    text.  Run it with ``stateful`` in :func:`run_batches`, but with ``expire_ms``, whose timers make batches
+    without data too, with a trigger that goes on until the query is stopped."""
     rows = versions if "seq" in versions.columns else versions.withColumn("seq", F.col("revision"))
     rows = rows.select("source", "revision", "seq", "contents")
     return rows.groupBy("source").transformWithStateInPandas(

@@ -1,7 +1,9 @@
 """Small literal cases whose results are known."""
 
 import json
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from spanwright.operators import extract as X
 from spanwright.operators import imports as B
 from spanwright.operators import lines as M
 from spanwright.operators import navigate as NV
+from spanwright.operators import resolve as R
 from spanwright.operators import segments as G
 from spanwright.operators import spans as P
 from spanwright.operators import text as T
@@ -187,17 +190,148 @@ def test_files_and_trace(spark, tmp_path):
     assert back.msg == "m" and back.time.timestamp() == 1.5
 
 
+def _feed(tmp_path, schema, parts):
+    """A stream in which each part arrives as a batch of its own, run by the given function."""
+
+    def run(spark, name, start):
+        folder = tmp_path / name
+        folder.mkdir()
+        names = [c.split()[0] for c in schema.split(", ")]
+        for k, part in enumerate(parts):
+            (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, e, strict=True))) for e in part))
+            start(spark.readStream.schema(schema).json(str(folder)))
+
+    return run
+
+
 def test_edit_streams(spark, tmp_path):
-    events = [(1, "OPEN", "u", 1, ["a"]), (2, "CHANGE", "u", 2, ["b", "c"]), (3, "CHANGE", "u", 3, []), (4, "OPEN", "v", 1, ["z"]), (5, "CLOSE", "v", None, [])]
-    (tmp_path / "in").mkdir()
-    for k, part in enumerate((events[:3], events[3:])):
-        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(("seq", "event", "uri", "version", "changes"), e, strict=True))) for e in part))
-    stream = lambda: spark.readStream.schema(ST.EVENTS).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    ST.run_batches(ST.edit_stream(stream()), f"{tmp_path}/c1", ST.append_versions(f"{tmp_path}/log"))
+    feed = _feed(tmp_path, ST.EVENTS, [[(1, "OPEN", "u", 1, ["a"]), (2, "CHANGE", "u", 2, ["b", "c"]), (3, "CHANGE", "u", 3, [])], [(4, "OPEN", "v", 1, ["z"]), (5, "CLOSE", "v", None, [])]])
+    feed(spark, "in", lambda s: ST.run_batches(ST.edit_stream(s), f"{tmp_path}/c1", ST.append_versions(f"{tmp_path}/log")))
     assert sorted((r.source, r.revision, r.contents) for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [("u", 1, "a"), ("u", 2, "c"), ("v", 4, "z")]
-    ST.run_batches(ST.heads_stream(ST.edit_stream(stream())), f"{tmp_path}/c2", ST.append_versions(f"{tmp_path}/heads"), "update")
-    assert sorted((r.source, r.contents) for r in spark.read.parquet(f"{tmp_path}/heads").collect()) == [("u", "c"), ("v", "z")]
-    found = lambda t: t.select("source", F.length("contents").alias("size"))
-    ST.diagnostics_stream(stream(), f"{tmp_path}/c3", f"{tmp_path}/out", found)
-    out = {r.source: (r.version, r.size) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert out["v"] == (None, None)
+
+
+LATE = [[("u", 5, 1, "five"), ("u", 3, 2, "late at once"), ("v", 1, 3, "one")], [("u", 4, 4, "late"), ("u", 5, 5, "again"), ("w", 9, 6, "w")], [("u", 4, 7, "late?"), ("v", 1, 8, "same"), ("v", 0, 9, "late")]]
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    feed = _feed(tmp_path, "source string, revision long, seq long, contents string", LATE)
+    feed(spark, "in", lambda s: ST.run_batches(ST.heads_stream(s, every=True), f"{tmp_path}/c", ST.split_late(f"{tmp_path}/out"), "update", True))
+    texts = lambda part: sorted(r.contents for r in spark.read.parquet(f"{tmp_path}/out/{part}").collect())
+    assert texts("late") == ["late", "late", "late at once", "late?"]
+    assert texts("kept") == ["again", "five", "one", "same", "w"]
+    assert spark.conf.get(ST._PROVIDER).endswith("HDFSBackedStateStoreProvider")  # the session is as it was
+
+
+def test_idle_state_expires(spark, tmp_path):
+    """Timers make batches without data: the query goes on until nothing is held of u any more."""
+    folder, out = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    names = ("source", "revision", "seq", "contents")
+
+    def arrive(k, rows):
+        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+        (tmp_path / f"{k}.json").rename(folder / f"{k}.json")
+        for _ in range(60):
+            time.sleep(0.5)
+            seen = [r.seq for part in ("kept", "late") for r in (spark.read.schema("seq long").parquet(f"{out}/{part}").collect() if os.path.isdir(f"{out}/{part}") else [])]
+            if {r[2] for r in rows} <= set(seen):
+                return
+        raise AssertionError("the rows did not come")
+
+    stream = spark.readStream.schema("source string, revision long, seq long, contents string").json(str(folder))
+    before = spark.conf.get(ST._PROVIDER)
+    spark.conf.set(ST._PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    heads = ST.heads_stream(stream, every=True, expire_ms=1500)
+    query = heads.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").foreachBatch(ST.split_late(out)).start()
+    spark.conf.set(ST._PROVIDER, before)
+    try:
+        arrive(0, [("u", 5, 1, "five"), ("u", 3, 2, "late")])
+        time.sleep(8)
+        arrive(1, [("u", 4, 3, "first again")])
+    finally:
+        query.stop()
+    assert [r.contents for r in spark.read.parquet(f"{out}/late").collect()] == ["late"]
+
+
+def test_diagnostics_follow_edits(spark, tmp_path):
+    """A text's error goes when another text declares the name, and comes back when that is edited."""
+    parts = [
+        [(1, "OPEN", "a", 7, ["class A extends B { }"]), (2, "OPEN", "x", 1, ["class X extends A { }"])],
+        [(3, "OPEN", "b", 1, ["class B { }"])],
+        [(4, "CHANGE", "b", 2, ["class C { }"]), (5, "CLOSE", "x", None, [])],
+    ]
+    seen, asked = [], []
+
+    def facts(texts):
+        types = X.extract_types(texts)
+        rows = types.select("source", F.lit("DECLARES").alias("kind"), "name", F.col("name_at").alias("start_at"), F.col("name_at").alias("end_at"))
+        return rows.unionByName(types.where("superclass is not null").select("source", F.lit("WANTS").alias("kind"), F.col("superclass").alias("name"), F.col("name_at").alias("start_at"), F.col("body_at").alias("end_at")))
+
+    def diagnose(wants, declares):
+        asked.append(sorted({r.source for r in wants.collect()}))
+        return wants.join(declares.select("name").distinct(), "name", "left_anti").select("source", "start_at", "end_at", F.lit("x").alias("code"), F.col("name").alias("message"))
+
+    def start(stream):
+        ST.diagnostics_stream(stream, f"{tmp_path}/c", f"{tmp_path}/d", facts, diagnose, 4)
+        seen.append(sorted((r.source, r.version, r.message) for r in spark.read.parquet(f"{tmp_path}/d/published").collect()))
+
+    # rows of the future are in the log from the start, and no batch sees them
+    ahead = spark.createDataFrame([(99, "CHANGE", "a", 9, ["class A { }"])], ST.EVENTS)
+    ahead.write.parquet(f"{tmp_path}/d/log/batch=50")
+    _feed(tmp_path, ST.EVENTS, parts)(spark, "in", start)
+    assert seen == [
+        [("a", 7, "B"), ("x", 1, None)],
+        [("a", 7, None), ("b", 1, None), ("x", 1, None)],
+        [("a", 7, "B"), ("b", 2, None), ("x", None, None)],
+    ]
+    assert asked == [["a", "x"], ["a"], ["a", "x"]]  # b's edits ask for its dependants too, and only for those
+
+
+def test_replacing_twice_changes_nothing(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    rows = lambda *x: spark.createDataFrame(list(x), "source string, n int")
+    sources = lambda *x: spark.createDataFrame([(s,) for s in x], "source string")
+    now = lambda: sorted((r.source, r.n) for r in spark.read.parquet(path).collect())
+    A.replace_in_buckets(path, rows(("a", 1), ("a", 2), ("b", 3), ("c", 4)), sources("a", "b", "c"), 3)
+    for _ in range(2):
+        A.replace_in_buckets(path, rows(("a", 9), ("z", 1)), sources("a", "b"), 3)  # z is none of the sources
+        assert now() == [("a", 9), ("c", 4)]
+    for _ in range(2):
+        A.replace_in_buckets(path, rows(), sources("c"), 3)
+        assert now() == [("a", 9)]
+
+
+def test_receivers(spark):
+    """``this``, created types, calls without a receiver, static access, and chains of them."""
+    decls = spark.createDataFrame(
+        [("f", 1, "TYPE", "A", 0, 10, None), ("f", 2, "FIELD", "b", 10, None, "B"), ("f", 3, "METHOD", "go", 10, 11, "B"), ("g", 1, "TYPE", "B", 0, 20, None), ("g", 2, "FIELD", "a", 20, None, "A")],
+        "source string, decl_id long, kind string, name string, scope_id long, body_scope_id long, type_name string",
+    )
+    nodes = spark.createDataFrame(
+        [
+            ("f", 1, "THIS", None, None, 11), ("f", 2, "FIELD_ACCESS", "b", 1, 11), ("f", 3, "FIELD_ACCESS", "a", 2, 11), ("f", 4, "OBJECT_CREATION", None, None, 11), ("f", 5, "FIELD_ACCESS", "a", 4, 11),
+            ("f", 6, "METHOD_CALL", "go", None, 11), ("f", 7, "FIELD_ACCESS", "a", 6, 11), ("f", 8, "NAME_REF", "B", None, 11), ("f", 9, "FIELD_ACCESS", "a", 8, 11), ("f", 10, "FIELD_ACCESS", "no", 9, 11),
+        ],
+        "source string, node_id long, kind string, name string, receiver_id long, scope_id long",
+    )
+    enclosing = spark.createDataFrame([("f", 10, 1), ("f", 11, 1), ("g", 20, 1)], "source string, scope_id long, type_id long")
+    declared = spark.createDataFrame([("f", 2, "g", 1), ("f", 3, "g", 1), ("g", 2, "f", 1)], "source string, decl_id long, class_source string, class_id long")
+    none = spark.createDataFrame([], "source string, ref_id long, target_source string, target_id long")
+    types = spark.createDataFrame([("f", 8, 1, "g", 1)], "source string, ref_id long, targets long, first_source string, first_id long")
+    created = spark.createDataFrame([("f", 4, "g", 1)], "source string, node_id long, class_source string, class_id long")
+    found = R.receiver_class(nodes, none, types, declared, enclosing, decls, created)
+    assert {r.node_id: (r.class_source, r.class_id) for r in found.collect()} == {1: ("f", 1), 2: ("g", 1), 3: ("f", 1), 4: ("g", 1), 5: ("f", 1), 6: ("g", 1), 7: ("f", 1), 8: ("g", 1), 9: ("f", 1)}
+    members = R.resolve_members(nodes, found, enclosing, decls)
+    assert {r.ref_id: (r.target_source, r.target_id) for r in members.collect()} == {2: ("f", 2), 3: ("g", 2), 5: ("g", 2), 6: ("f", 3), 7: ("g", 2), 9: ("g", 2)}
+
+
+def test_members_of_the_nearest_supertypes(spark):
+    decls = spark.createDataFrame(
+        [("s", k, "TYPE", f"T{k}", 0, 10 * k) for k in range(1, 6)] + [("s", 100, "FIELD", "x", 20, None), ("s", 101, "FIELD", "x", 30, None), ("s", 102, "FIELD", "x", 40, None), ("s", 103, "FIELD", "y", 40, None)],
+        "source string, decl_id long, kind string, name string, scope_id long, body_scope_id long",
+    )
+    # 1 extends 2 and 3, which extend 4; 4 extends 1
+    direct = spark.createDataFrame([("s", 1, "s", 2), ("s", 1, "s", 3), ("s", 2, "s", 4), ("s", 3, "s", 4), ("s", 4, "s", 1)], "source string, decl_id long, super_source string, super_id long")
+    owners = spark.createDataFrame([("s", k, n) for k in (1, 2, 4, 5) for n in "xyz"], "owner_source string, owner_id long, name string")
+    got = {(r.owner_id, r.name, r.member_id, r.steps) for r in R.find_inherited_members(owners, decls, direct, "VARIABLE").collect()}
+    assert got == {(1, "x", 100, 1), (1, "x", 101, 1), (1, "y", 103, 2), (2, "x", 100, 0), (2, "y", 103, 1), (4, "x", 102, 0), (4, "y", 103, 0)}
