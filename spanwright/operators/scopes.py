@@ -71,8 +71,17 @@ def label_at(spans: DataFrame, decls: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def declaration_facts(decls: DataFrame) -> DataFrame:
-    """Each declaration's name, namespace, declaring scope and owned type reference."""
+    """Each declaration's name, namespace, declaring scope, owned type reference, and the spans of itself and
+    of its name; constructors have no name, and what has none has no span of it."""
     kind = F.col("kind")
     space = F.when(kind.isin("TYPE", "TYPE_PARAM"), "TYPE").when(kind.isin("METHOD", "CONSTRUCTOR"), "METHOD").otherwise("VARIABLE")
     name = F.when(kind != "CONSTRUCTOR", F.col("name"))
-    return decls.select("source", "decl_id", "kind", name.alias("name"), space.alias("namespace"), "scope_id", "type_name")
+    spot = F.when(name.isNotNull(), F.col("name_start"))
+    return decls.select("source", "decl_id", "kind", name.alias("name"), space.alias("namespace"), "scope_id", "type_name", "start_at", "end_at", spot.alias("name_start"), (spot + F.octet_length(name)).alias("name_end"))
+
+
+def declarations_by_id(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Lists of ids (request_id, source, ids) to their declarations (.., pos), in the lists' order; an id that
+    the source does not have is left out, one that is listed twice comes twice."""
+    rows = asked.select("request_id", "source", F.posexplode("ids").alias("pos", "decl_id"))
+    return rows.join(facts, ["source", "decl_id"])

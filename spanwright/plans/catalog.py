@@ -386,6 +386,16 @@ def s6_declaration_facts(spark, d):
     return SC.declaration_facts(table(spark, d, "g_decls"))
 
 
+@query
+def s6_declarations_by_id(spark, d):
+    """For each order its type, two of its fields if it has them, and an id of nothing."""
+    orders = _read(spark, d, "orders")
+    key = F.col("o_orderkey") * 1000
+    asked = orders.select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.array(key + 102, key, key + 101, key + 99, key).alias("ids"))
+    found = SC.declarations_by_id(asked, SC.declaration_facts(table(spark, d, "g_decls")))
+    return found.select("request_id", F.col("pos").cast("long").alias("pos"), "decl_id", "name", "name_start", "name_end")
+
+
 def _refs(spark, d):
     return table(spark, d, "g_decls").where("type_name is not null").select("source", F.col("decl_id").alias("ref_id"), "scope_id", F.col("type_name").alias("name"))
 

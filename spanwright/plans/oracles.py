@@ -207,7 +207,11 @@ ORACLES = {
     "s3_enclosing_type": _graph("SELECT source, scope_id, type_id FROM enclosing", _CHAIN, _ENCLOSING),
     "s4_declaration_label": _graph("SELECT * FROM labels", _LABELS),
     "s5_label_at": _graph("SELECT source, name_start, arg_min(label, decl_id) AS label FROM g_decls JOIN labels USING (source, decl_id) GROUP BY ALL", _LABELS),
-    "s6_declaration_facts": _graph("SELECT source, decl_id, kind, name, CASE kind WHEN 'TYPE' THEN 'TYPE' WHEN 'METHOD' THEN 'METHOD' ELSE 'VARIABLE' END AS namespace, scope_id, type_name FROM g_decls"),
+    "s6_declaration_facts": _graph("""SELECT source, decl_id, kind, name, CASE kind WHEN 'TYPE' THEN 'TYPE' WHEN 'METHOD' THEN 'METHOD' ELSE 'VARIABLE' END AS namespace, scope_id, type_name,
+      start_at, end_at, name_start, name_start + strlen(name) AS name_end FROM g_decls"""),
+    "s6_declarations_by_id": _graph("""SELECT o.request_id, o.pos, d.decl_id, d.name, d.name_start, d.name_start + strlen(d.name) AS name_end FROM (
+        SELECT o_orderkey AS request_id, 'c' || o_custkey AS source, unnest([0, 1, 2, 3, 4])::BIGINT AS pos, o_orderkey * 1000 + unnest([102, 0, 101, 99, 0]) AS id FROM orders) o
+      JOIN g_decls d ON d.source = o.source AND d.decl_id = o.id"""),
     "r1_resolve_lexical": _graph("SELECT * FROM lexical", _CHAIN, _CANONICAL, _REFS, _stages()),
     "r2_resolve_exact_imports": _graph("SELECT * FROM exact", _CHAIN, _CANONICAL, _REFS, _stages()),
     "r3_resolve_same_package": _graph("SELECT source, ref_id, count(*) AS n, sum(target_id)::BIGINT AS ids FROM package GROUP BY ALL", _CHAIN, _CANONICAL, _REFS, _stages()),
