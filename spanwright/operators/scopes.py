@@ -13,22 +13,21 @@ from ..sources.tables import materialize
 
 
 def scope_chain(scopes: DataFrame) -> DataFrame:
-    """(source, scope_id, ancestor_id, distance), itself at 0.  Pointer doubling: each round joins
-    the chains found with the jumps of twice the length; a tree of depth d takes log2 d rounds."""
+    """(source, scope_id, ancestor_id, distance), itself at 0.  Pointer doubling: pairs at the distance
+    reached so far are jumps, and each round joins them with the nearer pairs of where they end, so a tree of
+    depth d takes log2 d rounds, each of them one join and one written table."""
     scopes = materialize(scopes.select("source", "scope_id", "parent_id"), "scopes")
-    pairs = scopes.select("source", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    jumps = scopes.where("parent_id is not null").select("source", "scope_id", F.col("parent_id").alias("to"))
-    reach = 1
+    own = scopes.select("source", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("distance"))
+    above = scopes.where("parent_id is not null").select("source", "scope_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
+    jumps, reach = above, 1
     while True:
-        jumps = materialize(jumps, "jumps")
-        if jumps.isEmpty():
-            return pairs
-        far = pairs.select("source", F.col("scope_id").alias("to"), "ancestor_id", "distance")
-        more = jumps.join(far, ["source", "to"]).select("source", "scope_id", "ancestor_id", (F.col("distance") + reach).alias("distance"))
-        pairs = pairs.unionByName(materialize(more, "chains"))
-        onward = jumps.select("source", F.col("scope_id").alias("to"), F.col("to").alias("next"))
-        jumps = jumps.join(onward, ["source", "to"]).select("source", "scope_id", F.col("next").alias("to"))
-        reach *= 2
+        onward = above.select("source", F.col("scope_id").alias("_to"), F.col("ancestor_id").alias("_next"), F.col("distance").alias("_more"))
+        more = jumps.withColumnRenamed("ancestor_id", "_to").join(onward, ["source", "_to"])
+        more = materialize(more.select("source", "scope_id", F.col("_next").alias("ancestor_id"), (F.col("distance") + F.col("_more")).alias("distance")), "chains")
+        if more.isEmpty():
+            return own.unionByName(above)
+        above, reach = above.unionByName(more), 2 * reach
+        jumps = more.where(F.col("distance") == reach)
 
 
 def declaration_chain(chain: DataFrame, decls: DataFrame) -> DataFrame:

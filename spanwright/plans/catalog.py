@@ -423,13 +423,13 @@ def _candidates(spark, d, refs=None, more=None):
     return R.resolve_type_names(_refs(spark, d) if refs is None else refs, _chain(spark, d), decls, table(spark, d, "g_imports"), files, _canonical(spark, d), more)
 
 
-def _summaries(spark, d, refs=None, imports=None):
+def _summaries(spark, d, refs=None, imports=None, every=False):
     """References by the first stage with a type: the scopes of their file, else its import environment."""
     decls, files = table(spark, d, "g_decls"), table(spark, d, "g_files")
-    refs = A.materialize((_refs(spark, d) if refs is None else refs).select("source", "ref_id", "scope_id", "name"), "refs")
+    refs = (_refs(spark, d) if refs is None else refs).select("source", "ref_id", "scope_id", "name")
     imports = table(spark, d, "g_imports").where("kind = 'TYPE'") if imports is None else imports
     environment = E.import_environment(refs, files, imports, decls, A.materialize(E.contents(_canonical(spark, d)), "contents"), None, False)
-    return E.summarise(refs, R.resolve_lexical(refs, _chain(spark, d), decls), environment)
+    return E.summarise(refs, R.resolve_lexical(refs, _chain(spark, d), decls), environment, every)
 
 
 @query
@@ -440,8 +440,7 @@ def r4_classify(spark, d):
 
 @query
 def r5_resolve_type_names(spark, d):
-    found = _summaries(spark, d).select("source", "ref_id", "targets", "stage")
-    rows = _refs(spark, d).select("source", "ref_id").join(found, ["source", "ref_id"], "left").withColumn("targets", F.coalesce("targets", F.lit(0)))
+    rows = _summaries(spark, d, every=True).select("source", "ref_id", "targets", "stage")
     return rows.withColumn("result", F.when(F.col("targets") == 0, "UNRESOLVED").when(F.col("targets") == 1, "RESOLVED").otherwise("AMBIGUOUS"))
 
 

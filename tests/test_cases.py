@@ -13,6 +13,7 @@ from spanwright.operators import imports as B
 from spanwright.operators import lines as M
 from spanwright.operators import navigate as NV
 from spanwright.operators import resolve as R
+from spanwright.operators import scopes as SC
 from spanwright.operators import segments as G
 from spanwright.operators import spans as P
 from spanwright.operators import text as T
@@ -103,6 +104,45 @@ def test_right_edge_hits(spark):
     assert P.containing(points, spans, closed=False).where("at = 14").count() == 1
 
 
+def test_tightest_by_levels(spark):
+    """Spans of all widths against a walk over all of them: points that only a wide span has, or none has."""
+    rng = random.Random(5)
+    columns = "source string, start_at long, end_at long, entity_kind string, entity_id long, ord int"
+    spans, points = [], []
+    for k in range(300):
+        start, width = rng.randrange(20_000), rng.choice([0, 1, 5, 63, 64, 65, 900, 1023, 1024, 5_000])
+        spans.append((f"f{k % 3}", start, start + width, "NODE", k, k % 4))
+    spans += [("f0", 0, 1 << 40, "SCOPE", 1000, 3), ("f0", 0, 1 << 40, "SCOPE", 1001, 2), ("f3", 10, 1 << 20, "SCOPE", 1002, 0)]
+    for k in range(400):
+        points.append((f"f{k % 4}", k, rng.randrange(30_000)))
+    points += [("f9", 900, 5), ("f0", 901, None), (None, 902, 5), ("f0", 903, 1 << 39), ("f0", 903, 1 << 39)]
+    want = {}
+    for source, key, at in points:
+        around = [(e - s, s, e, o, i) for src, s, e, _, i, o in spans if at is not None and src == source and s <= at <= e]
+        if around:
+            want[key] = min(around)[-1]
+    table = spark.createDataFrame(points, "source string, request_id long, at long")
+    found = P.tightest_containing(table, spark.createDataFrame(spans, columns), ["source", "request_id"]).collect()
+    assert {r.request_id: r.entity_id for r in found} == want and len(found) == len(want) and want[903] == 1001
+    assert P.tightest_containing(table, spark.createDataFrame([], columns), ["source", "request_id"]).count() == 0
+    assert P.tightest_containing(table.limit(0), spark.createDataFrame(spans, columns), ["source", "request_id"]).count() == 0
+
+
+def test_scope_chain_by_doubling(spark):
+    """A deep tree, a wide one and a forest give every pair of a scope and one above, with its distance."""
+    parents = {("deep", k): k - 1 if k else None for k in range(13)} | {("wide", k): 0 if k else None for k in range(20)}
+    parents |= {("forest", k): k - 5 if k >= 5 else None for k in range(23)}
+    want = set()
+    for (source, k) in parents:
+        at, steps = k, 0
+        while at is not None:
+            want.add((source, k, at, steps))
+            at, steps = parents[source, at], steps + 1
+    rows = spark.createDataFrame([(s, k, p) for (s, k), p in parents.items()], "source string, scope_id long, parent_id long")
+    got = [tuple(r) for r in SC.scope_chain(rows).select("source", "scope_id", "ancestor_id", "distance").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_extraction(spark):
     text = 'package a . b;\nimport x.Y;\nimport static x.Y.*;\nimport z.*;\n// class No {\nclass A extends B<C> {\n String s = "class Z {";\n interface I { }\n}\n'
     texts = spark.createDataFrame([("f", text), ("g", "class Q { }")], "source string, contents string")
