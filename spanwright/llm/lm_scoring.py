@@ -4,9 +4,10 @@ A text is a sequence of bits.  First comes its *class* (one of a few kinds of tr
 language where that is known, each with a model of its own), then its tokens:
 
 * Where the three words before are a *phrase context* (those whose hash falls in one of ``PHRASES``
-  parts; the text's content chooses them), one bit says whether the next word is the one that always
+  parts; the text's content chooses them), one bit says whether the next token is the one that always
   followed there in the training texts, with a probability that an adaptive map gives for how often
-  it did.  The phrases are a table that grows with the corpus and is joined by context.
+  it did.  The text's end is such a token, so after any words the probabilities of all words and the end
+  add up to 1.  The phrases are a table that grows with the corpus and is joined by context.
 * Otherwise the word is one of the text's own earlier words, or it is spelled; how often it is the
   former is learnt online along the text.
 * A spelled word's bytes are written in a prefix code of their frequencies.  Each bit is predicted in
@@ -76,15 +77,16 @@ class Texts:
         if distinct:
             self.distinct, self.index, self.which = np.unique(self.hash, return_index=True, return_inverse=True)
 
-    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
-        """Words that a phrase context stands before, and its hash."""
-        n = np.diff(self.first)
-        n = np.maximum(n - PHRASE, 0)
-        at = np.repeat(self.first[:-1] + PHRASE, n) + S.ramp(n)
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens (a text's words and its end) that a phrase context stands before, its hash, and theirs."""
+        n = np.maximum(np.diff(self.first) - PHRASE + 1, 0)
+        text = np.repeat(np.arange(len(n)), n)
+        at = self.first[text] + PHRASE + S.ramp(n)
         total = sum((self.hash[at - k] * _U(0x9E3779B97F4A7C15 * (2 * k + 5) & (2**64 - 1)) for k in range(1, PHRASE + 1)), np.zeros(len(at), _U))
         total = S.mix(total, 71)
+        then = np.where(at == self.first[text + 1], END, np.append(self.hash, END)[at])
         kept = total & _U(PHRASES - 1) == 0
-        return at[kept], total[kept]
+        return (at + text)[kept], total[kept], then[kept]
 
     def spelled(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, size = self.start[self.index[some]], (self.end - self.start)[self.index[some]]
@@ -326,13 +328,13 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = S.byte_view(batch.column("text"))
         for i, j in S.rounds(off, 2 * S.CHUNK_BYTES, 1 << 20):
             t = Texts(data[off[i] : off[j]], off[i : j + 1] - off[i], False)
-            at, context = t.phrases()
-            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(t.hash[at].view(np.int64))], ["hash", "next"])
+            _, context, then = t.phrases()
+            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(then.view(np.int64))], ["hash", "next"])
 
 
 def count_phrases(texts: DataFrame) -> DataFrame:
     """(hash, n, lo, hi): how often each phrase context came, and the least and greatest hash of the
-    words that followed: a phrase foretells a word if they are the same.  One shuffle, map side first."""
+    tokens that followed: a phrase foretells a token if they are the same.  One shuffle, map side first."""
     rows = texts.select("text").mapInArrow(_phrase_rows, "hash long, next long")
     return rows.groupBy("hash").agg(F.count("next").alias("n"), F.min("next").alias("lo"), F.max("next").alias("hi"))
 
@@ -451,16 +453,16 @@ def _scored(sent):
                 tokens = Tokens(model, t)
                 base = S.segment_sums(np.log10(tokens.count + 1.0), tokens.first)
                 hits = S.segment_sums((tokens.count > 0).astype(np.int64), tokens.first)
-                at, context = t.phrases()
+                at, context, follows = t.phrases()
                 logs = np.log10(tokens.p)
-                logs[tokens.at[at]] = 0  # these get their phrases by join
+                logs[at] = 0  # these get their phrases by join
                 rare = np.flatnonzero(tokens.known == 0)
                 # the lists of a text: its rare words, then its phrases
-                owner = np.concatenate([np.searchsorted(t.first, x, "right") - 1 for x in (rare, at)])
+                owner = np.concatenate([np.searchsorted(first, x, "right") - 1 for first, x in ((t.first, rare), (tokens.first, at))])
                 order = np.argsort(owner, kind="stable")
                 key = np.concatenate([t.hash[rare], context])[order]
-                then = np.concatenate([np.zeros(len(rare), _U), t.hash[at]])[order]
-                p = np.concatenate([np.full(len(rare), np.nan), tokens.p[tokens.at[at]]])[order]
+                then = np.concatenate([np.zeros(len(rare), _U), follows])[order]
+                p = np.concatenate([np.full(len(rare), np.nan), tokens.p[at]])[order]
                 n = j - i
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
                 score = S.segment_sums(logs, tokens.first) + tokens.kind_cost * np.log10(2)
