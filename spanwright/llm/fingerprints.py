@@ -11,7 +11,8 @@ long text costs time in proportion to its length.
 
 Null text: empty.  Texts without words have the empty fingerprint, and two empty ones are alike (1).
 Texts shorter than k words or than a window have one fingerprint.  Equal texts have equal
-fingerprints.  Repeated ids are ordered by the hash of their text.  Empty tables give no rows.
+fingerprints.  Repeated ids are ordered by the hash of their text; null ids follow after all others.  Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -92,18 +93,21 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     id; after the last comes the first.  One shuffle: rows go by range of ids, and each range also
     gets the first row of the range below it."""
     ranged = docs.withColumn("__range", id_ranges(docs, id_col))
-    heads = ranged.groupBy("__range").agg(F.max(id_col).alias("__head"))
+    order = F.xxhash64(carried[0])
+    # the first row of a range: the greatest id, null only where there is no other, then the least hash
+    heads = ranged.groupBy("__range").agg(F.max(F.struct(F.col(id_col).alias("id"), F.bitwise_not(order).alias("h"))).alias("__head"))
     # at most RANGES rows from here on: one task, and small enough to broadcast
     down = W.orderBy(F.desc("__range"))
     heads = heads.select(
-        "__head",
+        F.col("__head.id").alias("__head"), F.bitwise_not("__head.h").alias("__hash"),
         F.coalesce(F.lag("__range").over(down), F.first("__range").over(W.orderBy("__range"))).alias("__to"),
-    )
-    guests = ranged.join(F.broadcast(heads), ranged[id_col] == heads["__head"]).withColumn("__range", F.col("__to")).drop("__head", "__to")
+    )
+    guests = ranged.join(F.broadcast(heads), ranged[id_col].eqNullSafe(heads["__head"]) & (order == heads["__hash"]))
+    guests = guests.withColumn("__range", F.col("__to")).drop("__head", "__hash", "__to").dropDuplicates(["__range"])
     rows = ranged.withColumn("__guest", F.lit(False)).unionByName(guests.withColumn("__guest", F.lit(True)))
-    order = W.partitionBy("__range").orderBy("__guest", F.desc(id_col), F.xxhash64(carried[0]))
+    after = W.partitionBy("__range").orderBy("__guest", F.desc(id_col), order)
     for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
+        rows = rows.withColumn(f"next_{c}", F.lead(c).over(after))
     return rows.where("not __guest").drop("__range", "__guest")
 
 

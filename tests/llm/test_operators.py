@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanwright.llm import (
     char_models, fingerprints, jaccard_join, language_id, lm_scoring, media_columns, packing, quality, queries, repeat_index, shared, source_mix, toxicity,
@@ -114,6 +115,17 @@ def test_winnowing(spark):
     assert len(value) == len(set(value))
 
 
+def test_next_rows_of_null_and_repeated_ids(spark, monkeypatch):
+    """The next row by descending id, then hash, against a sorted list; null ids follow after all others."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
+    for ids in ([5, 4, None, 2, 1], [None, None, None], [7, None], [3], [*range(20), None, None, 4, 4, 19, 0, None], [6, 6, 6, 6]):
+        docs = spark.createDataFrame([(i, f"text {k % 9}") for k, i in enumerate(ids)], "doc_id long, text string")
+        rows = fingerprints.with_next(docs, "doc_id", ["text"]).collect()
+        order = docs.select("doc_id", "text").orderBy(F.desc("doc_id"), F.xxhash64("text")).collect()
+        want = [(a.doc_id, a.text, b.text) for a, b in zip(order, [*order[1:], order[0]], strict=True)]
+        assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text, r.next_text)) for r in rows), ids
+
+
 def test_edited_fingerprints(spark):
     docs = frame(spark, ODD + ["ab cd ef gh " * 9, "q"])
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -299,20 +311,20 @@ def test_phrases_of_the_other_texts(spark):
     split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
     n_kept = {}
     for t in split:  # which contexts count is the operator's choice, by their hash
-        for i in range(3, len(t)):
+        for i in range(3, len(t) + 1):
             n_kept[tuple(t[i - 3 : i])] = None
     raw = [" ".join(c + ("x",)).encode() for c in n_kept]
     seen = lm_scoring.Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), False)
-    at, _ = seen.phrases()
-    kept = {c for k, c in enumerate(n_kept) if 4 * k + 3 in set(at.tolist())}
+    at, _, _ = seen.phrases()
+    kept = {c for k, c in enumerate(n_kept) if 5 * k + 3 in set(at.tolist())}
     assert 0 < len(kept) < len(n_kept)
     follow = defaultdict(Counter)
     for k, t in enumerate(split):
         if k % 3:
-            for i in range(3, len(t)):
-                follow[tuple(t[i - 3 : i])][t[i]] += 1
+            for i in range(3, len(t) + 1):
+                follow[tuple(t[i - 3 : i])][(*t, None)[i]] += 1
     for k, t in enumerate(split):
-        asked = [(tuple(t[i - 3 : i]), t[i]) for i in range(3, len(t)) if tuple(t[i - 3 : i]) in kept]
+        asked = [(tuple(t[i - 3 : i]), (*t, None)[i]) for i in range(3, len(t) + 1) if tuple(t[i - 3 : i]) in kept]
         hits = 0
         for c, w in asked:
             left = follow[c] - Counter([w]) if k % 3 else follow[c]
