@@ -17,6 +17,8 @@ tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,10 +90,11 @@ def id_ranges(docs: DataFrame, id_col: str) -> Column:
     )
 
 
-def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, carried: list[str], add: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``next_<c>`` of each carried column: the value of the row that follows by descending
     id; after the last comes the first.  One shuffle: rows go by range of ids, and each range also
-    gets the first row of the range below it."""
+    gets the first row of the range below it.  ``add`` adds columns once those first rows are there, so that
+    it works on each row once."""
     ranged = docs.withColumn("__range", id_ranges(docs, id_col))
     order = F.xxhash64(carried[0])
     # the first row of a range: the greatest id, null only where there is no other, then the least hash
@@ -105,6 +108,8 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     guests = ranged.join(F.broadcast(heads), ranged[id_col].eqNullSafe(heads["__head"]) & (order == heads["__hash"]))
     guests = guests.withColumn("__range", F.col("__to")).drop("__head", "__hash", "__to").dropDuplicates(["__range"])
     rows = ranged.withColumn("__guest", F.lit(False)).unionByName(guests.withColumn("__guest", F.lit(True)))
+    if add is not None:
+        rows = add(rows)
     after = W.partitionBy("__range").orderBy("__guest", F.desc(id_col), order)
     for c in carried:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(after))
@@ -115,7 +120,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of each text and of its edited text: the last half (rounded down) of its code
     points replaced by as many first ones of the next text; with their likenesses."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(texts, "text", "fp"), "doc_id", ["text", "fp"])
+    rows = with_next(texts, "doc_id", ["text", "fp"], lambda rows: with_fingerprint(rows, "text", "fp"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(next_text, int(n_chars div 2)))"))
     rows = rows.select("doc_id", "n_chars", "edited", "fp", "next_fp")
