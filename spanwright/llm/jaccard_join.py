@@ -17,9 +17,14 @@ the lowest band each token is a lane of its own.
    are verified on the sets, and linked classes merge, so that a group of copies needs no pairs;
 4. all pairs that still share a key across different components, past size and bit-sketch bounds,
    are verified.  A key that more than ``CROWD`` rows outside its main component share (a passage
-   that many texts quote) makes no pairs.  Its texts list all their lanes instead, and each takes its
-   ``n/4 + 1`` in another order, those first that are in the fewest components.  Two linked texts
-   that share no other key are both among them, so the same pigeonhole finds them: no link is lost.
+   that many texts quote) makes no pairs.  Its texts meet by the finest lanes instead, one for each
+   token, in one order for all: those in the fewest components first.  Of two linked texts the
+   smaller differs from the larger in at most a ninth of its set, the larger from the smaller in at
+   most a fifth, so the first token that both hold is among the first ``n/9 + 1`` of the one and the
+   first ``n/5 + 1`` of the other, and only such rows meet.  A letter sent to many, with too much of
+   its own in each copy to link, has only tokens of its own among its ninth and makes no pairs; with
+   less of its own the copies link and are one component.  Two linked texts that share no other key
+   are both among those of crowded keys, so no link is lost.
 
 Nulls, empty texts: set size 0, linked with nothing.  Equal texts are one class.  Very long texts
 are one round each.  Rows whose ids are null or repeated keep their own links; a null id is its own
@@ -94,9 +99,9 @@ def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [packed[base[i] // 8 : base[i + 1] // 8] for i in range(len(size))]
 
 
-def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, every: bool = False) -> pa.RecordBatch:
-    """The lanes that the chosen texts must list, fullest first, or ``every`` lane: the text (its
-    number), the key (whose low bits are the band), and how many lanes of the band it need not list."""
+def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
+    """The lanes that the chosen texts must list, fullest first: the text (its number) and the key
+    (whose low bits are the band)."""
     n = np.diff(bounds)
     out = []
     n64 = n.astype(np.int64)
@@ -133,17 +138,15 @@ def lane_keys(h: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, every: bool
                 count = np.concatenate([count, np.zeros(len(weak), np.int64)])
                 have[weak] += 1
                 need[weak] = have[weak]
-            if not every:
-                # fuller lanes are the rarer ones: they come first
-                rank = (owner.astype(_U) << _U(52)) | (_U(4095) - np.minimum(count, 4095).astype(_U)) << _U(_FIELD) | key >> _U(64 - _FIELD)
-                order = np.argsort(rank)
-                owner, key = owner[order], key[order]
-                keep = S.ramp(have) < need[owner]
-                owner, key = owner[keep], key[keep]
-            key = key & ~_U(_BAND) | _U(k)
-            out.append((mine[owner], key.view(np.int64), (have - need)[owner].astype(np.int32)))
-    out = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["text", "key", "spare"])
+            # fuller lanes are the rarer ones: they come first
+            rank = (owner.astype(_U) << _U(52)) | (_U(4095) - np.minimum(count, 4095).astype(_U)) << _U(_FIELD) | key >> _U(64 - _FIELD)
+            order = np.argsort(rank)
+            owner, key = owner[order], key[order]
+            keep = S.ramp(have) < need[owner]
+            key = key[keep] & ~_U(_BAND) | _U(k)
+            out.append((mine[owner[keep]], key.view(np.int64)))
+    out = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["text", "key"])
 
 
 def _signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -167,16 +170,16 @@ def _describe(batches):
 
 
 class _Listed:
-    """Rows (to, key, sig, spare, known) of lanes: ``to`` is the key, or any number where the key is
-    known to be shared, since two rows of this task go to the key's partition."""
+    """Rows (to, key, sig, known) of lanes, and one more column where it is named: ``to`` is the key, or
+    any number where the key is known to be shared, since two rows of this task go to the key's partition."""
 
     def __init__(self):
         self.told = np.zeros(0, np.int64)
 
-    def __call__(self, rows: pa.RecordBatch, sig: np.ndarray) -> pa.RecordBatch:
+    def __call__(self, rows: pa.RecordBatch, sig: np.ndarray, *more: str) -> pa.RecordBatch:
         key, sig = rows.column("key").to_numpy(), sig[rows.column("text").to_numpy()]
         order = np.lexsort((sig, key))
-        key, sig, spare = key[order], sig[order], rows.column("spare").to_numpy()[order]
+        key, sig = key[order], sig[order]
         place = S.ramp(np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))) if len(key) else key
         known = place > 1
         known[np.isin(key, self.told)] = True
@@ -184,7 +187,8 @@ class _Listed:
         if len(self.told) > WITNESSED:
             self.told = self.told[:0]
         to = np.where(known, S.mix(sig.view(_U) + key.view(_U), 15).view(np.int64), key)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (to, key, sig, spare, known)], ["to", "key", "sig", "spare", "known"])
+        others = [rows.column(c).to_numpy()[order] for c in more]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (to, key, sig, *others, known)], ["to", "key", "sig", *more, "known"])
 
 
 def _lanes(batches):
@@ -194,16 +198,20 @@ def _lanes(batches):
         _, fresh = np.unique(sig, return_index=True)
         fresh = np.sort(fresh[~np.isin(sig[fresh], seen) & (np.diff(bounds)[fresh] >= 4)])
         seen = np.union1d(seen, sig[fresh])  # eight bytes for each text of this task
-        yield listed(lane_keys(h, bounds, fresh), sig).drop_columns(["spare"])
+        yield listed(lane_keys(h, bounds, fresh), sig)
 
 
-def _all_lanes(batches):
+def _tokens(batches):
+    """Each token of a set as a lane of its own, with the set's size."""
     listed = _Listed()
     for batch in batches:
         sig = batch.column("sig").to_numpy()
         for i in range(0, batch.num_rows, 64):
             h, n = _longs(batch.column("shingles").slice(i, 64))
-            yield listed(lane_keys(h, np.concatenate([[0], np.cumsum(n)]), np.arange(len(n)), True), sig[i : i + 64])
+            n = n.astype(np.int64)
+            text = np.repeat(np.arange(len(n)), n)
+            rows = [pa.array(text), pa.array(h.view(np.int64)), pa.array(np.repeat(n, n).astype(np.int32))]
+            yield listed(pa.RecordBatch.from_arrays(rows, ["text", "key", "size"]), sig[i : i + 64], "size")
 
 
 def _sets(batches):
@@ -331,7 +339,7 @@ def _folded(batches):
         yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), *(pa.array(out[:, k]) for k in range(FOLD))], ["sig", "n", *(f"s{k}" for k in range(FOLD))])
 
 
-def _rows_of_open_keys(rows: DataFrame) -> DataFrame:
+def _rows_of_open_keys(rows: DataFrame, *more: str) -> DataFrame:
     """Rows (key, sig, root) of keys with several components; ``out`` is true outside the key's most
     frequent component, ``rest`` counts those rows."""
     per = rows.groupBy("key", "root").agg(F.count("sig").alias("c"))
@@ -339,30 +347,46 @@ def _rows_of_open_keys(rows: DataFrame) -> DataFrame:
         F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"), F.count("root").alias("roots")
     )
     rows = rows.join(main.where("roots > 1").drop("roots"), "key").withColumn("out", F.expr("root <> main"))
-    return rows.select("key", "sig", "root", "out", "rest")
+    return rows.select("key", "sig", "root", "out", "rest", *more)
+
+
+_SIDE = ("root", "sig", "n", "out", *(f"s{k}" for k in range(FOLD)))
+_FAR = " + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(FOLD))
+
+
+def _met(x: DataFrame, y: DataFrame, more: str) -> DataFrame:
+    """Pairs of a key's rows of ``x`` and ``y`` in different components that folded sketches and ``more`` allow."""
+    x, y = (t.select("key", *(F.col(c).alias(f"{p}_{c}") for c in _SIDE)) for t, p in ((x, "a"), (y, "b")))
+    near = x.join(y, "key").where(f"a_root <> b_root and {more} and 9 * ({_FAR}) <= a_n + b_n")
+    return near.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b"))
 
 
 def _cross_pairs(rows: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs of a key in different components that sizes and folded sketches allow.  One side of a
     pair is always outside the key's main component, so a group of linked copies makes no pairs."""
     rows = rows.join(info, "sig")
-    side = ["root", "sig", "n", "out", *(f"s{k}" for k in range(FOLD))]
-    x = rows.where("out").select("key", *(F.col(c).alias(f"a_{c}") for c in side))
-    y = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in side))
-    far = " + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(FOLD))
-    fits = f"a_root <> b_root and (not b_out or a_root < b_root) and 5 * a_n >= 4 * b_n and 5 * b_n >= 4 * a_n and 9 * ({far}) <= a_n + b_n"
-    return x.join(y, "key").where(fits).select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
-
-
-def _rarest(lanes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, sig) from all shared lanes of some texts: of each text's lanes in a band those that it
-    must list if lanes in the fewest components come first.  Lanes that it shares with none come
-    before all these and are not in ``lanes``; it need not list the ``spare`` last ones."""
-    named = _named(lanes, roots)
+    fits = "(not b_out or a_root < b_root) and 5 * a_n >= 4 * b_n and 5 * b_n >= 4 * a_n"
+    return _met(rows.where("out"), rows, fits).distinct()
+
+
+def _rare_pairs(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """The same of rows of tokens: the smaller text (or one of two as large) is met in its first ninth."""
+    rows = rows.join(info, "sig")
+    fits = "a_n <= b_n and 5 * a_n >= 4 * b_n"
+    few = rows.where("first")
+    return _met(few.where("out"), rows, fits).unionByName(_met(few.where("not out"), rows.where("out"), fits)).distinct()
+
+
+def _rarest(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, sig, root, first) from the tokens that several of some texts hold: those of each text's first
+    fifth, tokens in the fewest components first, and whether they are in its first ninth.  Tokens that it
+    shares with none come before all these and are not in ``tokens``."""
+    named = _named(tokens, roots)
     spread = named.groupBy("key").agg(F.count_distinct("root").alias("df"))
-    mine = W.partitionBy("sig", F.col("key").bitwiseAND(_BAND)).orderBy(F.desc("df"), F.desc("key"))
+    mine = W.partitionBy("sig").orderBy(F.desc("df"), F.desc("key"))
     ranked = named.join(spread, "key").withColumn("last", F.row_number().over(mine))
-    return ranked.where("last > spare and df > 1").select("key", "sig").distinct()
+    ranked = ranked.where("df > 1 and last >= size - size div 5")
+    return ranked.select("key", "sig", "root", F.expr("last >= size - size div 9").alias("first"))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,11 +437,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     S.discard(keyed)
     pairs = _cross_pairs(rows_open.where(f"rest <= {CROWD}"), info)
     crowded = rows_open.where(f"rest > {CROWD}").select("sig").distinct()
-    lanes = sets.join(crowded, "sig", "left_semi").mapInArrow(_all_lanes, "to long, key long, sig long, spare int, known boolean")
-    lanes = S.materialize(_only_shared(lanes, "key long, sig long, spare int"), "lanes")
-    rare = S.materialize(_rows_of_open_keys(_named(_rarest(lanes, roots), roots)), "rare")
-    S.discard(lanes)
-    pairs = pairs.unionByName(_cross_pairs(rare, info)).distinct()
+    tokens = sets.join(crowded, "sig", "left_semi").mapInArrow(_tokens, "to long, key long, sig long, size int, known boolean")
+    tokens = S.materialize(_only_shared(tokens, "key long, sig long, size int"), "tokens")
+    rare = S.materialize(_rows_of_open_keys(_rarest(tokens, roots), "first"), "rare")
+    S.discard(tokens)
+    pairs = pairs.unionByName(_rare_pairs(rare, info)).distinct()
 
     near = S.materialize(_possible(pairs, classes), "near")
     S.discard(rows_open, rare)
