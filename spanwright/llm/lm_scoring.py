@@ -3,10 +3,9 @@
 A text is a sequence of bits.  First comes its *class* (one of a few kinds of training text, by
 language where that is known, each with a model of its own), then its tokens:
 
-* Where the three words before are a *phrase context* (those whose hash falls in one of ``PHRASES``
-  parts; the text's content chooses them), one bit says whether the next token is the one that always
-  followed there in the training texts, with a probability that an adaptive map gives for how often
-  it did.  The text's end is such a token, so after any words the probabilities of all words and the end
+* Where a token has three words before it, these are its *phrase context*: one bit says whether the
+  next token is the one that always followed there in the training texts, with a probability that an
+  adaptive map gives for how often it did.  The text's end is such a token, so after any words the probabilities of all words and the end
   add up to 1.  The phrases are a table that grows with the corpus and is joined by context.
 * Otherwise the word is one of the text's own earlier words, or it is spelled; how often it is the
   former is learnt online along the text.
@@ -50,7 +49,7 @@ BLOCKS = 1024  # parts in which bit counts are summed
 WORDS_A_TASK = 1 << 19  # distinct words whose bits one task counts
 WORDS_AT_ONCE = 1 << 12  # words whose bits are in memory at a time
 FREQUENT = 1 << 18  # words whose counts are sent to all tasks; those of the rest are joined
-PHRASE, PHRASES = 3, 8  # words of a phrase context; of so many hashes one is kept (a power of two)
+PHRASE = 3  # words of a phrase context
 SURE = 8  # a phrase's count beyond which its bit's probability no longer changes
 PRIOR = 0.3
 GATES = 12
@@ -85,8 +84,7 @@ class Texts:
         total = sum((self.hash[at - k] * _U(0x9E3779B97F4A7C15 * (2 * k + 5) & (2**64 - 1)) for k in range(1, PHRASE + 1)), np.zeros(len(at), _U))
         total = S.mix(total, 71)
         then = np.where(at == self.first[text + 1], END, np.append(self.hash, END)[at])
-        kept = total & _U(PHRASES - 1) == 0
-        return (at + text)[kept], total[kept], then[kept]
+        return at + text, total, then
 
     def spelled(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, size = self.start[self.index[some]], (self.end - self.start)[self.index[some]]

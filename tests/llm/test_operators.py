@@ -296,7 +296,12 @@ def test_mixed_bits_are_a_distribution():
 def test_lm_beats_its_base_on_unseen_texts(spark):
     got = queries()["op6_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
     model, base = (-got[f"sum({k})"] / math.log10(2) / got["sum(n_tokens)"] for k in ("score", "base_score"))
-    assert model < base - 0.5
+    assert model < base - 2
+
+
+def test_lm_beats_its_base_on_most_unseen_texts(spark):
+    rows = queries()["op6_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out")
+    assert rows.where("score > base_score").count() > 0.8 * rows.count()
 
 
 def test_phrases_of_the_other_texts(spark):
@@ -309,22 +314,13 @@ def test_phrases_of_the_other_texts(spark):
     mine = docs.where("doc_id % 3 <> 0")
     got = {x.doc_id: x for x in lm_scoring.lm_scores(docs, mine, docs.doc_id % 3 != 0).collect()}
     split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
-    n_kept = {}
-    for t in split:  # which contexts count is the operator's choice, by their hash
-        for i in range(3, len(t) + 1):
-            n_kept[tuple(t[i - 3 : i])] = None
-    raw = [" ".join(c + ("x",)).encode() for c in n_kept]
-    seen = lm_scoring.Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), False)
-    at, _, _ = seen.phrases()
-    kept = {c for k, c in enumerate(n_kept) if 5 * k + 3 in set(at.tolist())}
-    assert 0 < len(kept) < len(n_kept)
     follow = defaultdict(Counter)
     for k, t in enumerate(split):
         if k % 3:
             for i in range(3, len(t) + 1):
                 follow[tuple(t[i - 3 : i])][(*t, None)[i]] += 1
     for k, t in enumerate(split):
-        asked = [(tuple(t[i - 3 : i]), (*t, None)[i]) for i in range(3, len(t) + 1) if tuple(t[i - 3 : i]) in kept]
+        asked = [(tuple(t[i - 3 : i]), (*t, None)[i]) for i in range(3, len(t) + 1)]
         hits = 0
         for c, w in asked:
             left = follow[c] - Counter([w]) if k % 3 else follow[c]
