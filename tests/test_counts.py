@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanwright.operators import environment as E
 from spanwright.operators import spans as P
 from spanwright.plans import catalog
+from spanwright.sources import tables as A
 
 
 def plan(df):
@@ -31,3 +33,61 @@ def test_spans_around_points_are_counted_by_a_sweep(spark, monkeypatch, most):
 
 def test_points_do_not_meet_spans(spark, small):
     assert "Join" not in plan(catalog.queries()["p2_containing"](spark, small))
+
+
+@pytest.fixture(scope="module")
+def shared_names(spark):
+    """Sixty files of one package, each with a type of one of two names, that import it, a member that 30 heirs
+    of another name have from one type, and on demand all members of both."""
+    files = spark.range(60).selectExpr("concat('c', id) as source", "if(id % 2 = 0, 'p', 'q') as package")
+    own = spark.range(60).selectExpr("if(id % 2 = 0, 'p', 'q') as parent", "concat('T', id % 4) as name", "concat('c', id) as target_source", "id as target_id", "true as own", "true as is_static", "if(id % 3 = 0, 'PACKAGE', 'PUBLIC') as access", "if(id % 2 = 0, 'p', 'q') as home")
+    inner = own.selectExpr("concat(parent, '.', name) as parent", "'I' as name", "target_source", "target_id + 100 as target_id", "own", "target_id % 5 <> 0 as is_static", "access", "home")
+    down = inner.selectExpr("if(target_id % 8 < 4, 'p.T0', 'q.T1') as parent", "name", "target_source", "target_id", "false as own", "is_static", "access", "home").where("target_id % 7 < 4")
+    held = own.unionByName(inner).unionByName(down)
+    imports = spark.range(480).selectExpr(
+        "concat('c', id % 60) as source", "id as ord", "concat(if(id % 3 = 0, 'p.T', 'q.T'), id % 4, if(id % 8 < 4, '.I', '')) as name",
+        "case id % 4 when 0 then 'STATIC' when 1 then 'TYPE' when 2 then 'STATIC_ON_DEMAND' else 'TYPE_ON_DEMAND' end as kind",
+    )
+    decls = spark.range(60).selectExpr("concat('c', id) as source", "id as decl_id", "'TYPE' as kind", "concat('T', id % 4) as name", "cast(0 as bigint) as scope_id")
+    return files, held, imports, decls
+
+
+def test_types_of_imported_names_are_counted_once(spark, shared_names):
+    files, held, imports, decls = shared_names
+    asked = files.select("source", F.explode(F.array(F.lit("I"), F.lit("T1"))).alias("name"))
+    keyed = files.select("source", F.col("package").alias("_package"))
+    got = E.import_environment(asked, files, imports, decls, held).where("stage in (2, 4)")
+    ways = imports.withColumn("static", F.expr("kind like 'STATIC%'"))
+    may = "(not static or is_static) and (access = 'PUBLIC' or home = _package)"
+    one = ways.where("kind in ('TYPE', 'STATIC')").withColumn("full", F.col("name")).drop("name")
+    single = one.join(held.withColumn("full", F.concat_ws(".", "parent", "name")), "full").join(keyed, "source").where(may).where("own or static")
+    single = single.join(asked, ["source", "name"]).withColumn("stage", F.lit(2))
+    wide = ways.where("kind like '%DEMAND'").withColumnRenamed("name", "parent").join(asked, "source").join(held, ["parent", "name"]).join(keyed, "source").where(may)
+    wide = wide.join(single, ["source", "name"], "left_anti").withColumn("stage", F.lit(4))
+    columns = ["source", "name", "stage", "target_source", "target_id"]
+    want = single.select(*columns).unionByName(wide.select(*columns)).distinct().groupBy("source", "name", "stage").agg(F.count("target_id"), F.sum("target_id"))
+    packaged = E.package_summary(decls, files).join(keyed.withColumnRenamed("_package", "package"), "package").select("source", "name")
+    want = want.join(packaged.withColumn("stage", F.lit(4)), ["source", "name", "stage"], "left_anti")
+    assert rows(got.select("source", "name", "stage", "targets", "ids")) == rows(want) != []
+
+
+def listed(df, most):
+    """Whether any join of the run made more than ``most`` rows."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        if "Join" in p.nodeName():
+            found.append(p.metrics().apply("numOutputRows").value())
+        kids = [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else []
+        left += kids + [p.children().apply(i) for i in range(p.children().size())]
+    return max(found) > most
+
+
+def test_import_checks_do_not_list_types(spark, shared_names):
+    files, held, imports, decls = shared_names
+    every = A.materialize(held.crossJoin(spark.range(20)).withColumn("target_id", F.col("target_id") + 1000 * F.col("id")).drop("id"), "held")
+    nothing = spark.createDataFrame([], "source string, ord long")
+    checked = E.import_checks(imports, files, decls, every, nothing)
+    assert rows(checked) == rows(E.import_checks(imports, files, decls, every.repartition(3), nothing)) != []
+    assert not listed(checked, 4 * imports.count())
