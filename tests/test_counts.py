@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwright.operators import environment as E
+from spanwright.operators import resolve as R
 from spanwright.operators import spans as P
 from spanwright.plans import catalog
 from spanwright.sources import tables as A
@@ -91,3 +92,22 @@ def test_import_checks_do_not_list_types(spark, shared_names):
     checked = E.import_checks(imports, files, decls, every, nothing)
     assert rows(checked) == rows(E.import_checks(imports, files, decls, every.repartition(3), nothing)) != []
     assert not listed(checked, 4 * imports.count())
+
+
+def test_members_of_supertypes_are_asked_by_lists(spark, monkeypatch):
+    """A round holds a row for each type and supertype, however many names are asked."""
+    decls = spark.range(20).selectExpr("'s' as source", "id as decl_id", "'TYPE' as kind", "'T' as name", "cast(0 as bigint) as scope_id", "id + 100 as body_scope_id")
+    fields = spark.range(20).selectExpr("'s' as source", "id + 200 as decl_id", "'FIELD' as kind", "concat('v', id) as name", "id + 100 as scope_id", "cast(null as bigint) as body_scope_id")
+    direct = spark.range(1, 20).selectExpr("'s' as source", "id as decl_id", "'s' as super_source", "id div 2 as super_id")
+    owners = decls.select(F.col("source").alias("owner_source"), F.col("decl_id").alias("owner_id"), F.explode(F.array(*[F.lit(f"v{k}") for k in range(30)])).alias("name"))
+    most, written = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label: most.append((label, (out := written(df, label)).count())) or out)
+    got = rows(R.find_inherited_members(owners, decls.unionByName(fields), direct, "VARIABLE"))
+    want = []
+    for k in range(20):
+        up = [k]
+        while up[-1]:
+            up.append(up[-1] // 2)
+        want += [("s", k, f"v{t}", "s", 200 + t, n) for n, t in enumerate(up)]
+    assert got == sorted(want)
+    assert max(n for label, n in most if label == "asked") <= 20
