@@ -111,3 +111,18 @@ def test_members_of_supertypes_are_asked_by_lists(spark, monkeypatch):
         want += [("s", k, f"v{t}", "s", 200 + t, n) for n, t in enumerate(up)]
     assert got == sorted(want)
     assert max(n for label, n in most if label == "asked") <= 20
+
+
+def test_receivers_meet_one_member_of_a_name(spark, monkeypatch):
+    """Fields that one type declares fifty times over are told apart once, not in each round."""
+    columns = "source string, decl_id long, kind string, name string, scope_id long, body_scope_id long"
+    decls = spark.createDataFrame([("s", 1, "TYPE", "T", 0, 10)] + [("s", 100 + k, "FIELD", "x", 10, None) for k in range(50)], columns)
+    nodes = spark.createDataFrame([("s", 1, "THIS", None, None, 5), *(("s", k, "FIELD_ACCESS", "x", k - 1, 5) for k in range(2, 5))], "source string, node_id long, kind string, name string, receiver_id long, scope_id long")
+    enclosing = spark.createDataFrame([("s", 5, 1)], "source string, scope_id long, type_id long")
+    declared = spark.createDataFrame([("s", 100 + k, "s", 1 + k) for k in range(50)], "source string, decl_id long, class_source string, class_id long")
+    nothing = spark.createDataFrame([], "source string, ref_id long, target_source string, target_id long")
+    types = spark.createDataFrame([], "source string, ref_id long, targets long, first_source string, first_id long")
+    calls, find = [], R.held_members
+    monkeypatch.setattr(R, "held_members", lambda *a: calls.append(a) or find(*a))
+    assert rows(R.receiver_class(nodes, nothing, types, declared, enclosing, decls)) == [("s", k, "s", 1) for k in range(1, 5)]
+    assert len(calls) == 2
