@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanwright.operators import environment as E
 from spanwright.operators import resolve as R
 from spanwright.operators import spans as P
-from spanwright.plans import catalog
+from spanwright.plans import catalog, graph
 from spanwright.sources import tables as A
 
 
@@ -126,3 +126,12 @@ def test_receivers_meet_one_member_of_a_name(spark, monkeypatch):
     monkeypatch.setattr(R, "held_members", lambda *a: calls.append(a) or find(*a))
     assert rows(R.receiver_class(nodes, nothing, types, declared, enclosing, decls)) == [("s", k, "s", 1) for k in range(1, 5)]
     assert len(calls) == 2
+
+
+def test_views_find_all_they_read_of_line_items(spark, small, monkeypatch):
+    """The table that a query writes once holds what the views read, and nothing else of the line items."""
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append(df) or write(df, label))
+    views = [n for n in graph.VIEWS if n != "li" and "li" in graph._needed(n)]
+    graph.once_for_each_query(lambda s, d: [graph.table(s, d, n).schema for n in views])(spark, small)
+    assert [tuple(df.columns) for df in written] == [graph.LI]
