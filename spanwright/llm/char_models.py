@@ -93,7 +93,7 @@ def _counter(order: int, label: str):
 
 
 def count_grams(docs: DataFrame, label: str, order: int = ORDER) -> pd.DataFrame:
-    """N-gram counts by class of a bounded sample: columns label, k, gram, context, rest, first, n."""
+    """N-gram counts by class: columns label, k, gram, context, rest, first, n."""
     rows = docs.select("text", F.col(label).cast("string").alias(label)).mapInArrow(
         _counter(order, label), "label string, k int, gram long, context long, rest long, first boolean, n long"
     )

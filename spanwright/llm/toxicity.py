@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of words, toxic and ordinary, learn from a bounded sample of labelled rows.  A word's count
-in a class is the number of its texts (a word that one text repeats tells little), and
+Two models of words, toxic and ordinary, learn from all labelled rows.  A word's count in a class
+is the number of its texts (a word that one text repeats tells little), and
 
     p_class(w) = max(n_class(w) - DISCOUNT, 0) / N_class + left_class * p_shared(w)
     p_shared(w) = max(n(w) - D, 0) / N + D * words / N * p_characters(w)
@@ -11,13 +11,14 @@ of characters (``char_models``), so that a rare expression, one of ``DISCOUNT``
 class, has the same shares under both and gives no verdict of its own.  A text's features are its
 log-likelihood ratio per character and, as a few expressions decide in a long text, the parts of it
 above a few thresholds of the words' ratios, per character.  A logistic curve over their square roots,
-fitted on a part of the sample that the models have not seen, gives the score; at last the models learn
-from the whole sample.
-
-Bounds: ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` rows in expectation; words beyond ``DISCOUNT`` texts of
-these alone leave Spark.  Null, empty and letterless texts have features 0 and the score of such texts.
-Repeated rows score alike.  Very long texts are scored whole.  Without rows of both labels every score
-is the share of toxic ones (0 without any).  An empty table gives no rows.  Extra columns are ignored.
+fitted on three rows in ten, which its models have not seen, gives the score; at last the models learn
+from all rows.
+
+Rows are counted, and the curve is fitted, by Spark.  What leaves it are words beyond ``DISCOUNT`` texts and
+n-grams of characters, which grow with the vocabulary and not with the rows.  Null, empty and letterless
+texts have features 0 and the score of such texts.  Repeated rows score alike.  Very long texts are
+scored whole.  Without rows of both labels every score is the share of toxic ones (0 without any).  An
+empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared as S
 from .char_models import CharModel, Words, count_grams
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
 ORDER = 5
 DISCOUNT = 2.0  # texts that are taken from a word's count in a class
 ABOVE = (1, 2, 3, 4, 6)  # bits of a word's ratio
@@ -84,7 +86,7 @@ class Models:
 
 
 def learn(rows: DataFrame) -> Models | None:
-    """Models of a bounded sample (label, text); none without words of both labels."""
+    """Models of rows (label, text); none without words of both labels."""
     by_label = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     counts = rows.select(F.col("label").cast("long"), "text").mapInArrow(_counted, "word long, label int, n long").groupBy("word").agg(*by_label)
     counts = S.materialize(counts, "words")
@@ -112,15 +114,11 @@ def features(model: Models, memory: S.Remembered, data: np.ndarray, off: np.ndar
     return np.sign(x) * np.sqrt(np.abs(x))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, spreads and weights (first the constant) of a ridge logistic curve, by damped Newton steps."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w += 0.5 * np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
-    return mean, spread, w
+def logistic(rows: DataFrame, n: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (first the constant) of a ridge logistic curve over ``n`` rows (label, x)."""
+    curve = LogisticRegression(featuresCol="x", labelCol="label", regParam=ridge / n, maxIter=200)
+    curve = curve.fit(rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("x")))
+    return np.array([curve.intercept, *curve.coefficients.toArray()])
 
 
 class Detector:
@@ -143,38 +141,33 @@ class Detector:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, self.share))], ["doc_id", "score"])
             return
-        mean, spread, w = self.curve
+        w = self.curve
         for batch in self.rows(batches):
             x = batch.column(1).values.to_numpy().reshape(batch.num_rows, -1)
-            score = 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / spread) @ w[1:], -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", key: str = "doc_id") -> Detector:
-    """Learns from texts (key, text) and their labels (key, label) of 0 or 1.  Labels are sampled
-    first, so the side that meets the texts has a bounded size and is broadcast."""
+    """Learns from all texts (key, text) that have a label (key, label) of 0 or 1."""
     rows = labels.select(F.col(key).alias("key"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
     if len(counts) < 2:
         return Detector(None, None, share)
-    rate = F.when(F.col("label") == 1, min(1.0, SAMPLE_TOXIC / counts[1])).otherwise(min(1.0, SAMPLE_ORDINARY / counts[0]))
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < rate * (1 << 30))
-    sample = docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "key")
-    sample = S.materialize(sample.withColumn("curve", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(10)) < 3), "sample")
-    models = learn(sample.where("not curve"))
+    known = docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")).join(rows.hint("merge"), "key")
+    known = S.materialize(known.withColumn("curve", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(10)) < 3), "known")
+    models = learn(known.where("not curve"))
     if models is None:
         return Detector(None, None, share)
     detector = Detector(models, None, share)
-    seen = sample.where("curve").select(F.col("label").cast("long"), "text").mapInArrow(detector.rows, "label long, x array<double>").toArrow()
-    y = seen.column(0).to_numpy().astype(float)
-    if not 0 < y.sum() < len(y):
+    seen = S.materialize(known.where("curve").select(F.col("label").cast("long"), "text").mapInArrow(detector.rows, "label long, x array<double>"), "curve")
+    toxic, n = seen.agg(F.sum("label"), F.count(F.lit(1))).first()
+    if not toxic or toxic == n:
         return Detector(None, None, share)
-    mean, spread, w = logistic(seen.column(1).combine_chunks().values.to_numpy().reshape(len(y), -1), y)
-    w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))  # the corpus holds fewer toxic rows than the sample
-    detector.curve = (mean, spread, w)
-    detector.model = learn(sample)
+    detector.curve = logistic(seen, n)
+    detector.model = learn(known)
     return detector
 
 
@@ -187,7 +180,7 @@ def score(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(S.crc_mod("doc_id", 5) != 0)
-    detector = fit(docs, labels)
+    detector = fit(docs.where(S.crc_mod("doc_id", 5) != 0), labels)
     return score(docs, detector).select(
         "doc_id", (S.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

@@ -432,6 +432,19 @@ def test_toxic_ratios_by_dictionaries(spark):
     assert got[probe.index("vile")] > 3
 
 
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """The models and the curve, however many rows there are."""
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('word', id % 10, if(id % 4 = 0, concat(' vile', id % 3), ' fine')) as text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 4 = 0, 1, 0) as toxic")
+    learnt, curves, learn, logistic = [], [], toxicity.learn, toxicity.logistic
+    monkeypatch.setattr(toxicity, "learn", lambda rows: learnt.append(rows.count()) or learn(rows))
+    monkeypatch.setattr(toxicity, "logistic", lambda *a: curves.append(a[1]) or logistic(*a))
+    detector = toxicity.fit(docs, labels)
+    assert learnt[-1] == 9000 == learnt[0] + curves[0]
+    found = toxicity.score(docs, detector).join(labels, "doc_id").groupBy("toxic").agg(F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    assert {r.toxic: r.low > 0.5 if r.toxic else r.high < 0.5 for r in found} == {0: True, 1: True}
+
+
 def test_toxic_texts_are_found(spark):
     folder = "/root/testdata/sf0.1"
     rows = queries()["op10_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
