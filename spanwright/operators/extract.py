@@ -8,9 +8,11 @@ line, or of the text.  Blanks have the length of what they stand for, so offsets
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spans import nest_tokens, tokens
+from ..sources.tables import materialize
+from .spans import nest_tokens
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 _QUALIFIED = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
@@ -62,18 +64,29 @@ def extract_types(texts: DataFrame) -> DataFrame:
     """Headers of classes, interfaces, enums, records and annotation interfaces with a body: kind,
     name, superclass head, where the header, the name and the body start and where the body ends, the depth of
     its brace, and the header of the type around it.  The bodies of types are brackets of their own, so the type
-    around one is its parent among them: no type is paired with the others of its file."""
-    clean = _clean(texts)
+    around one is its parent among them: no type is paired with the others of its file.  Texts are read once, dealt
+    over all tasks, as the work on one is far more than its size tells.  A header reaches its body, so it is
+    looked for only between an opening brace and what ends the statement before."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     header = rf"(?:@\s*interface|(?<![\w$.])(?:class|interface|enum|record))\s+{_NAME}[^{{}};]*"
-    heads = tokens(clean, header, "$^").select("source", F.col("at").alias("header_at"), (F.col("at") + F.length("token")).alias("body_at"), "token")
-    bodies = nest_tokens(tokens(clean, r"[{}]", r"^\}$")).select("source", F.col("start_at").alias("body_at"), F.col("end_at").alias("body_end"), "depth")
+    between, braces = F.split("contents", "[{}]", -1), F.regexp_extract_all("contents", F.lit("([{}])"), F.lit(0))
+
+    def brace(code, mark):
+        head = F.when(mark == "{", F.regexp_extract(F.substring_index(code, ";", -1), header, 0)).otherwise("")
+        return F.struct((F.length(code) + 1).cast("long").alias("size"), F.when(mark == "{", 1).otherwise(-1).alias("step"), head.alias("token"))
+
+    found = _clean(texts.repartition(parts, "source")).select("source", F.posexplode(F.zip_with(F.slice(between, 1, F.size(braces)), braces, brace)).alias("n", "b"))
+    found = found.select("source", (F.sum("b.size").over(W.partitionBy("source").orderBy("n")) - 1).alias("at"), "b.step", "b.token")
+    bodies = nest_tokens(materialize(found, "braces").repartition("source"))
     kind = F.regexp_replace(F.regexp_extract("token", r"^(@\s*interface|\w+)", 1), r"\s", "")
     lead = F.regexp_extract("token", r"^((?:@\s*interface|\w+)\s+)", 1)
     base = F.when(kind == "class", F.regexp_extract("token", rf"\bextends\s+({_QUALIFIED})", 1))
-    rows = heads.join(bodies, ["source", "body_at"]).select(
-        "source", "header_at", "body_at", "body_end", "depth", kind.alias("kind"), F.regexp_extract("token", rf"^(?:@\s*interface|\w+)\s+({_NAME})", 1).alias("name"),
-        (F.col("header_at") + F.length(lead)).alias("name_at"), F.when(base != "", F.regexp_replace(base, r"\s", "")).alias("superclass"),
+    at = F.col("start_at") - F.length("token")
+    rows = bodies.where("token <> ''").select(
+        "source", at.alias("header_at"), F.col("start_at").alias("body_at"), F.col("end_at").alias("body_end"), "depth", kind.alias("kind"), F.regexp_extract("token", rf"^(?:@\s*interface|\w+)\s+({_NAME})", 1).alias("name"),
+        (at + F.length(lead)).alias("name_at"), F.when(base != "", F.regexp_replace(base, r"\s", "")).alias("superclass"),
     )
+    rows = materialize(rows, "types")
     bracket = F.explode(F.array(F.struct(F.col("body_at").alias("at"), F.lit(1).alias("step")), F.struct(F.col("body_end").alias("at"), F.lit(-1).alias("step")))).alias("b")
     inside = nest_tokens(rows.select("source", F.lit("").alias("token"), bracket).select("source", "token", "b.at", "b.step"))
     inside = inside.select("source", F.col("start_at").alias("body_at"), F.col("parent_at").alias("outer_body"))
