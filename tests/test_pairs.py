@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanwright.operators import extract as X
 from spanwright.operators import imports as B
 from spanwright.operators import resolve as R
 from spanwright.operators.pairs import paired
@@ -77,3 +78,21 @@ def test_pairs_are_not_shuffled(spark, small, name):
 
 def test_listed_owners_are_not_broadcast(spark, small):
     assert "Broadcast" not in plan(catalog.queries()["r6_find_members"](spark, small))
+
+
+def test_labels_cross_the_network_once(spark, small):
+    """Only types meet scopes, and places meet no declarations: they are the declarations' own."""
+    text = catalog.queries()["s5_label_at"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in text and not any("Join" in line and "name_start" in line for line in text.splitlines())
+
+
+def test_texts_are_read_once_by_all_tasks(spark, monkeypatch):
+    """Types of forty small texts in one partition: one scan of the texts, dealt."""
+    written, write = [], X.materialize
+    monkeypatch.setattr(X, "materialize", lambda df, label: written.append((label, df.rdd.getNumPartitions(), plan(df))) or write(df, label))
+    texts = spark.range(0, 40, 1, 1).selectExpr("concat('s', id) as source", "concat('class A', id, ' { ; x = new B() { }; class C extends A { } } interface D; enum E {') as contents")
+    found = X.extract_types(texts)
+    assert "regexp_extract_all" not in plan(found) and [w[0] for w in written] == ["braces", "types"]
+    assert "REPARTITION" in written[0][2]
+    got = [tuple(r) for r in found.where("source = 's7'").orderBy("header_at").select("name", "superclass", "depth", "header_at", "body_at", "enclosing_at").collect()]
+    assert got == [("A7", None, 1, 0, 9, None), ("C", "A", 2, 30, 48, 0)]
