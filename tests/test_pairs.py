@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanwright.operators import extract as X
 from spanwright.operators import imports as B
+from spanwright.operators import pairs
 from spanwright.operators import resolve as R
 from spanwright.operators.pairs import paired
 from spanwright.plans import catalog
@@ -96,3 +97,19 @@ def test_texts_are_read_once_by_all_tasks(spark, monkeypatch):
     assert "REPARTITION" in written[0][2]
     got = [tuple(r) for r in found.where("source = 's7'").orderBy("header_at").select("name", "superclass", "depth", "header_at", "body_at", "enclosing_at").collect()]
     assert got == [("A7", None, 1, 0, 9, None), ("C", "A", 2, 30, 48, 0)]
+
+
+@pytest.mark.parametrize("name", ["r7_resolve_variables", "b12_local_types"])
+def test_scopes_are_met_where_their_file_is(spark, small, monkeypatch, name):
+    """Each table is shuffled once, by file; files with more rows than one task should have go by finer keys."""
+    written, write = [], pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df, label: written.append((label, plan(df))) or write(df, label))
+    want = rows(catalog.queries()[name](spark, small))
+    texts = [text for label, text in written if label == "by_source"]
+    assert len(texts) == 1 and not any("Exchange hashpartitioning(source" in line and "scope" in line.split("hashpartitioning")[1].split(")")[0] for line in texts[0].splitlines())
+    if name.startswith("r7"):
+        assert texts[0].count("Exchange hashpartitioning") == 3
+    assert spark.conf.get(pairs._ALL_KEYS) == "true"
+    monkeypatch.setattr(pairs, "ROWS", 400)
+    split = catalog.queries()[name](spark, small)
+    assert "Union" in split._jdf.queryExecution().optimizedPlan().toString() and rows(split) == want != []
