@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -328,6 +329,48 @@ def test_phrases_of_the_other_texts(spark):
         assert (got[k].n_phrases, got[k].n_foretold) == (len(asked), hits), k
 
 
+def test_phrases_take_little_disk(spark, monkeypatch):
+    """No table of phrases or of asked contexts is written: lists of them go from task to task once,
+    and only those that foretell something come back."""
+    written, write = [], shared.materialize
+
+    def told(df, label):
+        out = write(df, label)
+        written.append(sum(Path(f.removeprefix("file:")).stat().st_size for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(shared, "materialize", told)
+    contexts = queries()["op6_lm_scoring"](spark, "/root/testdata/sf0.01").agg({"n_phrases": "sum"}).first()[0]
+    assert sum(written) < 12 * contexts
+
+
+def test_phrases_are_listed_once_for_texts_inside(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "a b c d")], "doc_id long, text string"))
+    own = shared.crc_mod("doc_id", 7) != 2
+    one, two = ({r.doc_id: r for r in lm_scoring.lm_scores(docs, docs.where(own), own, inside=k).collect()} for k in (True, False))
+    assert len(one) == len(two) == docs.count()
+    for k, r in one.items():
+        assert (r.n_phrases, r.n_foretold, r.n_known, r.n_tokens) == (two[k].n_phrases, two[k].n_foretold, two[k].n_known, two[k].n_tokens)
+        assert r.score == pytest.approx(two[k].score, rel=1e-9)
+
+
+def test_phrase_lists_are_packed_and_unpacked():
+    r = np.random.default_rng(3)
+    held, rows, lists = lm_scoring.Phrases(7, 0), 0, []
+    want = []
+    for texts in (5, 40000, 40000, 3):  # more rows than a list can name
+        owner, own = np.sort(r.integers(0, texts, 900)), r.random(texts) < 0.5
+        context, then, p = r.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2), r.integers(0, 2**63, 900).astype(np.uint64), r.random(900)
+        lists += held.add(rows, texts, owner, context, then, p, own)
+        want += zip((owner + rows).tolist(), (context & np.uint64(2**48 - 1)).tolist(), (then & np.uint64(2**32 - 1)).tolist(), own[owner].tolist(), strict=True)
+        rows += texts
+    lists += held.flush()
+    assert sum(len(x[3]) for x in lists) == lm_scoring.PACKED * len(want) and {x[0] for x in lists} == set(range(7))
+    row, context, then, cost, own, kind = lm_scoring.unpacked([x[1:] for x in lists])
+    assert sorted(zip(row.tolist(), context.tolist(), then.tolist(), own.tolist(), strict=True)) == sorted(want)
+    assert (kind == 0).all() and (cost >= 0).all()
+
+
 def test_mix(spark):
     r = random.Random(9)
     texts = [" ".join(["w"] * r.randrange(0, 400)) for _ in range(300)] + ODD
