@@ -365,7 +365,7 @@ def test_phrase_lists_are_packed_and_unpacked():
         want += zip((owner + rows).tolist(), (context & np.uint64(2**48 - 1)).tolist(), (then & np.uint64(2**32 - 1)).tolist(), own[owner].tolist(), strict=True)
         rows += texts
     lists += held.flush()
-    assert sum(len(x[3]) for x in lists) == lm_scoring.PACKED * len(want) and {x[0] for x in lists} == set(range(7))
+    assert sum(len(x[3]) for x in lists) < lm_scoring.PACKED * len(want) and {x[0] for x in lists} == set(range(7))
     row, context, then, cost, own, kind = lm_scoring.unpacked([x[1:] for x in lists])
     assert sorted(zip(row.tolist(), context.tolist(), then.tolist(), own.tolist(), strict=True)) == sorted(want)
     assert (kind == 0).all() and (cost >= 0).all()
