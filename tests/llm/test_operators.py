@@ -362,7 +362,7 @@ def test_phrase_lists_are_packed_and_unpacked():
         owner, own = np.sort(r.integers(0, texts, 900)), r.random(texts) < 0.5
         context, then, p = r.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2), r.integers(0, 2**63, 900).astype(np.uint64), r.random(900)
         lists += held.add(rows, texts, owner, context, then, p, own)
-        want += zip((owner + rows).tolist(), (context & np.uint64(2**48 - 1)).tolist(), (then & np.uint64(2**32 - 1)).tolist(), own[owner].tolist(), strict=True)
+        want += zip((owner + rows).tolist(), (context & np.uint64(2**48 - 1)).tolist(), (then & np.uint64(2**24 - 1)).tolist(), own[owner].tolist(), strict=True)
         rows += texts
     lists += held.flush()
     assert sum(len(x[3]) for x in lists) < lm_scoring.PACKED * len(want) and {x[0] for x in lists} == set(range(7))
